@@ -108,9 +108,21 @@ def number_text(expr: str) -> str:
     sign = f"if(cast({expr} AS DOUBLE) < 0, '-', '')"
     tail = f"if(char_length({digits}) > 1, concat('.', substr({digits}, 2)), '')"
     power = f"concat('e', if({exponent} < 0, '-', '+'), lpad(cast(abs({exponent}) AS STRING), 2, '0'))"
-    plain = f"regexp_replace(cast(cast({expr} AS DECIMAL(38, 18)) AS STRING), '[.]?0+$', '')"
+    plain = f"regexp_replace(cast(try_cast({expr} AS DECIMAL(38, 18)) AS STRING), '[.]?0+$', '')"
     return (
         f"CASE WHEN cast({expr} AS DOUBLE) = 0 THEN '0'"
         f" WHEN {exponent} < -4 OR {exponent} >= 6 THEN concat({sign}, substr({digits}, 1, 1), {tail}, {power})"
         f" ELSE {plain} END"
     )
+
+
+def json_text_sql(v: str) -> str:
+    """A VARIANT value as text: strings as they are, numbers as in ``number_text``, the rest as JSON."""
+    kind = f"schema_of_variant({v})"
+    return (
+        f"CASE WHEN {v} IS NULL THEN NULL"
+        f" WHEN {kind} = 'STRING' THEN try_variant_get({v}, '$', 'string')"
+        f" WHEN {kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({kind}, 'DECIMAL')"
+        f" THEN {number_text(f"try_variant_get({v}, '$', 'double')")}"
+        f" ELSE to_json({v}) END"
+    )
