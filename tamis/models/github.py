@@ -110,7 +110,7 @@ LABEL = rule_set(
 )
 
 
-def team(depth: int = 3) -> RuleSet:
+def team(depth: int = 2) -> RuleSet:
     """A team; parent teams nest and ``depth`` levels are checked.
 
     What lies deeper stays as JSON text and is reported as `nesting_limit`, never passed over silently.

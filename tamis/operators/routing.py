@@ -64,12 +64,14 @@ def route(
     out = out.select(*keep, "undecodable", *records)
 
     compiled = {t: Compiler(rs, ident(names[t]), as_of, tag=f"{i}_") for i, (t, rs) in enumerate(catalog.items())}
-    helpers = [
-        F.expr(f"CASE WHEN {mt} = {quote(t)} AND NOT undecodable THEN {sql} END").alias(name)
-        for t, c in compiled.items() for name, sql in c.helpers()
-    ]
-    if helpers:
-        out = out.select("*", *helpers)
+    stages: dict[int, list] = {}
+    for t, c in compiled.items():
+        for i, stage in enumerate(c.helpers()):
+            stages.setdefault(i, []).extend(
+                F.expr(f"CASE WHEN {mt} = {quote(t)} AND NOT undecodable THEN {sql} END").alias(name)
+                for name, sql in stage)
+    for i in sorted(stages):
+        out = out.select("*", *stages[i])
     errors = branches({t: c.errors() for t, c in compiled.items()}, NO_ERRORS)
     out = out.select("*", F.expr(f"CASE WHEN undecodable THEN {decode_failure_sql()} ELSE {errors} END").alias("errors"))
     warnings = {}

@@ -48,8 +48,8 @@ def validate(
     c = Compiler(rules, ident(root) if root else "", as_of)
     helpers = c.helpers()
     out = df
-    if helpers:
-        out = out.select("*", *[F.expr(sql).alias(name) for name, sql in helpers])
+    for stage in helpers:
+        out = out.select("*", *[F.expr(sql).alias(name) for name, sql in stage])
     errors = c.errors()
     if undecodable:
         bad = ident(undecodable)
@@ -73,7 +73,7 @@ def validate(
     if field_count and rules.field_count:
         extra.append(F.expr(c.resolve(rules.field_count)).cast("bigint").alias("field_count"))
     out = out.select("*", F.expr(name).alias("test_name"), *extra)
-    return out.drop(*[name for name, _ in helpers]) if helpers else out
+    return out.drop(*[name for stage in helpers for name, _ in stage])
 
 
 def decode_failure_sql(message: str = "Failed to unmarshal record") -> str:

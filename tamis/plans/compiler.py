@@ -123,32 +123,46 @@ def assemble(segments: list[Segment], empty: str) -> str:
     return arrays[0] if len(arrays) == 1 else f"concat({', '.join(arrays)})"
 
 
+@dataclass
+class Scope:
+    """Where a structure is being compiled."""
+
+    top: bool = True  # on a plain path from the root, outside of arrays
+    gone: list[str] = field(default_factory=list)  # conditions under which a nullable parent is absent
+    holes: int | None = None  # inside a shared expression: shared structures met so far
+
+
+def _count(rs: RuleSet, counts: dict[str, list], top: bool = True) -> None:
+    for f in rs.fields:
+        if f.kind == "record" or (f.kind == "records" and f.dive and top):
+            counts.setdefault(f.of.name, [f.of, 0])[1] += 1
+            if f.kind == "record":
+                _count(f.of, counts, top)
+
+
+def _spot(x: str, gone: list[str], prefix: Pieces, inner: list[str]) -> str:
+    skip = " OR ".join(gone) or "false"
+    holes = f", 'h', array({', '.join(inner)})" if inner else ""
+    return f"named_struct('x', {x}, 'skip', {skip}, 'p', {to_sql(prefix)}{holes})"
+
+
 @dataclass
 class Compiler:
     rules: RuleSet
     root: str = ""  # SQL of the struct that holds the record; empty = top-level columns
     as_of: dt.datetime | str | None = None
     tag: str = ""  # keeps helper columns of several rule sets in one plan apart
-    shared: dict[str, list[str]] = field(default_factory=dict)
-    shared_sets: dict[str, RuleSet] = field(default_factory=dict)
-    share: frozenset[str] = frozenset()
+    spots: dict[str, list[str]] = field(default_factory=dict)  # places of each shared structure
+    shared: dict[str, RuleSet] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.now = moment(self.as_of)
-        counts: dict[str, int] = {}
-        self._occurrences(self.rules, counts)
-        self.share = frozenset(n for n, c in counts.items() if c > 1)
-        parts, fails = self._structure(self.rules, self.root, lit(self.rules.name + "."), 0, True)
-        self._parts, self._fails = parts, fails
-
-    def _occurrences(self, rs: RuleSet, counts: dict[str, int]) -> None:
-        # structures found along plain (non-array) nesting; those met more than once are checked by
-        # one shared expression over all places instead of one copy per place
-        for f in rs.fields:
-            if f.kind == "record":
-                counts[f.of.name] = counts.get(f.of.name, 0) + 1
-                if counts[f.of.name] == 1:
-                    self._occurrences(f.of, counts)
+        counts: dict[str, list] = {}
+        _count(self.rules, counts)
+        # A structure found at several places is checked by one shared expression over all its places
+        # instead of one copy per place.
+        self.shared = {name: rs for name, (rs, n) in counts.items() if n > 1 and len(rs.fields) > 4}
+        self._parts, self._fails = self._structure(self.rules, self.root, lit(self.rules.name + "."), 0, Scope())
 
     # -- errors --------------------------------------------------------------------------------
     def _error(self, rule: Rule, kind: str, label: Pieces, path: Pieces, value: str) -> str:
@@ -164,7 +178,7 @@ class Compiler:
             detail = [NO_TEXT] * 4
         return error_struct(to_sql(label), to_sql(pieces), code, f"cast({value} AS STRING)", *detail)
 
-    def _field(self, f: Field, rs: RuleSet, x: str, prefix: Pieces, level: int, top: bool
+    def _field(self, f: Field, rs: RuleSet, x: str, prefix: Pieces, level: int, scope: "Scope"
                ) -> tuple[list[Segment], list[str]]:
         r = raw(x, f.name)
         label, path = lit(f.label), prefix + lit(f.label)
@@ -180,7 +194,7 @@ class Compiler:
             segments.append(Segment("one", f"CASE {' '.join(whens)} END"))
             own = any_of([sql for _, sql in tests])
             fails.append(f"NOT ({skip}) AND {own}" if skip else own)
-        inner = self._inner(f, r, prefix, level, top)
+        inner = self._inner(f, r, prefix, level, scope)
         if inner:
             segment, inner_fails = inner
             # elements are looked at only when the field's own rules hold
@@ -195,7 +209,7 @@ class Compiler:
                 fails.append(inner_fails)
         return segments, fails
 
-    def _inner(self, f: Field, r: str, prefix: Pieces, level: int, top: bool) -> tuple[Segment, str] | None:
+    def _inner(self, f: Field, r: str, prefix: Pieces, level: int, scope: "Scope") -> tuple[Segment, str] | None:
         e, i = f"e{level}", f"i{level}"
         element = f"{f.label}["
         if f.kind == "texts" and f.each:
@@ -210,7 +224,10 @@ class Compiler:
             return Segment("many", f"coalesce({sql}, {NO_ERRORS})"), fails
         if f.kind == "records" and f.dive:
             place = prefix + lit(element) + (("sql", f"cast({i} AS STRING)"),) + lit("].")
-            parts, fails = self._structure(f.of, e, place, level + 1, False)
+            if scope.top and f.of.name in self.shared and not self._holes(f.of):
+                ref = self._add_spot(f.of, f"transform({r}, ({e}, {i}) -> {_spot(e, [], place, [])})")
+                return Segment("many", ref), f"size({ref}) > 0"
+            parts, fails = self._structure(f.of, e, place, level + 1, Scope(top=False))
             if fails == "false":
                 return None
             found = f"coalesce(exists({r}, {e} -> {fails}), false)"
@@ -218,14 +235,16 @@ class Compiler:
             return Segment("many", f"coalesce({sql}, {NO_ERRORS})"), found
         if f.kind == "record":
             place = prefix + lit(f.label + ".")
-            if top and f.of.name in self.share:
-                skip = f"{r} IS NULL" if f.nullable else "false"
-                spots = self.shared.setdefault(f.of.name, [])
-                spots.append(f"named_struct('x', {r}, 'skip', {skip}, 'p', {to_sql(place)})")
-                ref = f"{ident(self._shared_name(f.of.name))}[{len(spots) - 1}]"
-                self.shared_sets[f.of.name] = f.of
+            gone = [*scope.gone, f"{r} IS NULL"] if f.nullable else scope.gone
+            if f.of.name in self.shared and (scope.top or scope.holes is not None):
+                if scope.holes is not None:
+                    ref = f"o.h[{scope.holes}]"
+                    scope.holes += 1
+                else:
+                    ref = self._place(f.of, r, place, gone)
                 return Segment("many", ref), f"size({ref}) > 0"
-            parts, fails = self._structure(f.of, r, place, level, top)
+            inner = scope if scope.holes is not None else Scope(scope.top, gone)
+            parts, fails = self._structure(f.of, r, place, level, inner)
             if fails == "false":
                 return None
             sql = assemble(parts, NO_ERRORS)
@@ -234,26 +253,62 @@ class Compiler:
             return Segment("many", sql), fails
         return None
 
-    def _structure(self, rs: RuleSet, x: str, prefix: Pieces, level: int, top: bool) -> tuple[list[Segment], str]:
+    def _structure(self, rs: RuleSet, x: str, prefix: Pieces, level: int, scope: "Scope"
+                   ) -> tuple[list[Segment], str]:
         segments: list[Segment] = []
         fails: list[str] = []
         for f in rs.fields:
-            s, bad = self._field(f, rs, x, prefix, level, top)
+            s, bad = self._field(f, rs, x, prefix, level, scope)
             segments += s
             fails += bad
         return segments, any_of(fails)
 
-    def _shared_name(self, name: str) -> str:
+    # -- structures that occur at several places ------------------------------------------------
+    def _holes(self, rs: RuleSet) -> list[tuple[list[Field], RuleSet]]:
+        """Shared structures inside a shared structure: field path and rule set, in declaration order."""
+        out: list[tuple[list[Field], RuleSet]] = []
+        for f in rs.fields:
+            if f.kind == "record":
+                if f.of.name in self.shared:
+                    out.append(([f], f.of))
+                else:
+                    out += [([f, *path], inner) for path, inner in self._holes(f.of)]
+        return out
+
+    def _place(self, rs: RuleSet, x: str, prefix: Pieces, gone: list[str]) -> str:
+        """Register one place of a shared structure; returns SQL of the errors found there."""
+        inner = []
+        for path, nested in self._holes(rs):
+            at, label, skip = x, prefix, list(gone)
+            for f in path:
+                at, label = raw(at, f.name), label + lit(f.label + ".")
+                if f.nullable:
+                    skip.append(f"{at} IS NULL")
+            inner.append(self._place(nested, at, label, skip))
+        return self._add_spot(rs, f"array({_spot(x, gone, prefix, inner)})")
+
+    def _add_spot(self, rs: RuleSet, sql: str) -> str:
+        spots = self.spots.setdefault(rs.name, [])
+        spots.append(sql)
+        return f"{ident(self._column(rs.name))}[{len(spots) - 1}]"
+
+    def _column(self, name: str) -> str:
         return f"__{self.tag}{name}"
 
-    def helpers(self) -> list[tuple[str, str]]:
-        """Columns to compute first: errors of every place of a structure that occurs repeatedly."""
-        out = []
-        for name, spots in self.shared.items():
-            parts, fails = self._structure(self.shared_sets[name], "o.x", (("sql", "o.p"),), 50, False)
-            body = f"CASE WHEN o.skip THEN {NO_ERRORS} WHEN {fails} THEN {assemble(parts, NO_ERRORS)} ELSE {NO_ERRORS} END"
-            out.append((self._shared_name(name), f"transform(array({', '.join(spots)}), o -> {body})"))
-        return out
+    def helpers(self) -> list[list[tuple[str, str]]]:
+        """Stages of columns to compute before the errors, inner structures first."""
+        stages: dict[int, list[tuple[str, str]]] = {}
+        for name, spots in self.spots.items():
+            rs = self.shared[name]
+            parts, fails = self._structure(rs, "o.x", (("sql", "o.p"),), 50, Scope(top=False, holes=0))
+            body = f"CASE WHEN o.skip OR NOT {fails} THEN {NO_ERRORS} ELSE {assemble(parts, NO_ERRORS)} END"
+            each = f"coalesce(flatten(transform(s, o -> {body})), {NO_ERRORS})"
+            sql = f"transform(array({', '.join(spots)}), s -> {each})"
+            stages.setdefault(self._height(rs), []).append((self._column(name), sql))
+        return [stages[h] for h in sorted(stages)]
+
+    def _height(self, rs: RuleSet) -> int:
+        return 1 + max((self._height(nested) for _, nested in self._holes(rs)), default=-1)
 
     def errors(self) -> str:
         whens = f"WHEN {self._fails} THEN {assemble(self._parts, NO_ERRORS)}"
