@@ -22,6 +22,7 @@ from tamis.plans.ruleset import Field, Rule, RuleSet
 NARROW = ("orders", "o_orderkey")
 WIDE = ("customer", "c_custkey")
 PERIOD = 41  # a leaf is good for most keys
+BASE_TIME = 1735689600  # 2025-01-01
 
 
 def q(text: str) -> str:
@@ -84,7 +85,7 @@ def bad_texts(rules: dict[str, object], k: str) -> list[str]:
     return out
 
 
-def leaf_value(f: Field, i: int, k: str) -> tuple[str, str]:
+def leaf_value(f: Field, i: int, k: str, spoil: bool = True) -> tuple[str, str]:
     """Shared SQL of the leaf's value and its SQL type; NULL means absent."""
     rules = {r.name: r.param for r in f.rules}
     mode = f"(({k} + {i * 7}) % {PERIOD})"
@@ -108,23 +109,25 @@ def leaf_value(f: Field, i: int, k: str) -> tuple[str, str]:
         return f"CASE WHEN {mode} = 0 THEN NULL ELSE '{{\"k\": ' || {k} || '}}' END", "string"
     else:
         raise ValueError(f.kind)
+    if not spoil:
+        return good, typ
     whens = " ".join(f"WHEN {n + 1} THEN {b}" for n, b in enumerate(bad))
     return f"cast(CASE {mode} WHEN 0 THEN NULL {whens} ELSE {good} END AS {typ})", typ
 
 
 # ---- checking predicates, written for the checking database ------------------------------------
-URL = r"^[a-z]+://[a-z0-9.]+(/[a-z0-9/._-]*)?$"
+URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[a-zA-Z0-9.:-]+(/([^?#%]|%[0-9a-fA-F][0-9a-fA-F])*)?(\?[^#]*)?(#([^%]|%[0-9a-fA-F][0-9a-fA-F])*)?$"
 DUCK = {
     "url": lambda c, p: f"NOT regexp_matches({c}, '{URL}')",
     "email": lambda c, p: f"NOT regexp_matches({c}, '^[a-z0-9]+@[a-z]+[.][a-z]+$')",
-    "ip": lambda c, p: (f"NOT (regexp_matches({c}, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') AND"
-                        f" list_bool_and(list_transform(string_split({c}, '.'), lambda x: try_cast(x AS int) <= 255)))"),
+    "ip": lambda c, p: (f"NOT (regexp_matches({c}, '^2001:db8::[0-9]+$') OR regexp_matches({c}, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$')"
+                        f" AND list_bool_and(list_transform(string_split({c}, '.'), lambda x: coalesce(try_cast(x AS int) <= 255, false))))"),
     "hostname": lambda c, p: f"NOT regexp_matches({c}, '^[a-z][a-z0-9-]+([.][a-z0-9-]+)*[a-z0-9]$')",
     "hostname_rfc1123": lambda c, p: f"NOT regexp_matches({c}, '^[a-z0-9]([a-z0-9-]*[a-z0-9])?([.][a-z0-9]([a-z0-9-]*[a-z0-9])?)*$')",
     "hexadecimal": lambda c, p: f"NOT regexp_matches({c}, '^(0[xX])?[0-9a-fA-F]+$')",
     "semver": lambda c, p: f"NOT regexp_matches({c}, '^(0|[1-9][0-9]*)[.](0|[1-9][0-9]*)[.](0|[1-9][0-9]*)(-[0-9a-z.]+)?$')",
-    "loose_semver": lambda c, p: f"NOT regexp_matches({c}, '^[0-9]+[.][0-9]+[.][0-9]+(-[0-9a-z.]+)?$')",
-    "api_version": lambda c, p: f"NOT regexp_matches({c}, '^v?[0-9]+([.][0-9]+)*$')",
+    "loose_semver": lambda c, p: f"NOT regexp_matches({c}, '^[0-9]+[.][0-9]+[.][0-9]+(-[0-9A-Za-z.]+)?$')",
+    "api_version": lambda c, p: f"NOT regexp_matches({c}, '^(v?[0-9]+([.][0-9]+)*|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})$')",
     "api_content_type": lambda c, p: f"NOT regexp_matches(split_part({c}, ';', 1), '^[a-z]+/[a-z]+$')",
     "priority_level": lambda c, p: f"lower({c}) NOT IN ('low', 'normal', 'high', 'urgent', 'critical', '1', '2', '3', '4', '5')",
     "deployment_name": lambda c, p: f"NOT regexp_matches({c}, '^[a-zA-Z]([a-zA-Z0-9-]*[a-zA-Z0-9])?$')",
@@ -145,12 +148,34 @@ def duck_rule(rule: Rule, f: Field, c: str) -> str:
     return DUCK[rule.name](c, rule.param)
 
 
+@dataclass
+class Spec:
+    """Chosen inputs of a record, by field path; what is not chosen is good if required, else absent.
+
+    ``values``: SQL of scalars (times in epoch seconds). ``sizes``: SQL of the size of a collection, -1 for
+    null. ``items``: SQL of its first elements (keys, for a map). ``map_values``: SQL of a map's first values.
+    ``present``: SQL condition under which a nullable structure is there.
+    """
+
+    values: dict[str, str] = field(default_factory=dict)
+    sizes: dict[str, str] = field(default_factory=dict)
+    items: dict[str, list[str]] = field(default_factory=dict)
+    map_values: dict[str, list[str]] = field(default_factory=dict)
+    present: dict[str, str] = field(default_factory=dict)
+
+
 @dataclass
 class Flat:
-    """A structure laid out as flat seed columns, with the Spark record and the checking SQL."""
+    """A structure laid out as flat seed columns, with the Spark record and the checking SQL.
+
+    ``names`` maps a field path to its zero-filled value, ``path#`` to the size of a collection, ``path.0`` to
+    an element and ``path!`` to the presence of a nullable structure, for use in further checking SQL.
+    """
 
     rules: RuleSet
     key: str
+    spec: Spec | None = None
+    names: dict[str, str] = field(default_factory=dict)
     columns: dict[str, str] = field(default_factory=dict)
     findings: list[str] = field(default_factory=list)
     n: int = 0
@@ -170,23 +195,30 @@ class Flat:
             inner = f"CASE {whens} END"
             self.findings.append(f"CASE WHEN {gate} THEN {inner} END" if gate else inner)
 
-    def structure(self, rs: RuleSet, prefix: str, gate: str) -> tuple[str, list[str]]:
+    def structure(self, rs: RuleSet, prefix: str, gate: str, at: str = "") -> tuple[str, list[str]]:
         """Spark SQL of the record and the zero tests of its leaves."""
         items, zeros = [], []
         filled: dict[str, str] = {}
         for f in rs.fields:
-            sql, zero = self._field(f, rs, prefix, gate, filled)
+            sql, zero = self._field(f, rs, prefix, gate, filled, at + f.name)
             items.append(f"'{f.name}', {sql}")
             zeros.append(zero)
         return f"named_struct({', '.join(items)})", zeros
 
-    def _field(self, f: Field, rs: RuleSet, prefix: str, gate: str, filled: dict[str, str]) -> tuple[str, str]:
+    def _field(self, f: Field, rs: RuleSet, prefix: str, gate: str, filled: dict[str, str], at: str
+               ) -> tuple[str, str]:
         path = prefix + f.label
         style = self.rules.style
         if f.kind == "time":
-            # minutes after a fixed day; NULL is the zero time
-            c = self.column(f"cast(CASE {self._mode()} WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 1000 + {self.key} % 500 + {self.n} END AS bigint)")
-            filled[f.name] = f"coalesce({c}, -1000000000)"
+            # epoch seconds; NULL is the zero time
+            if self.spec:
+                sql = self.spec.values.get(at, f"{BASE_TIME}" if f.rules and not f.omit_empty else "NULL")
+            else:
+                sql = (f"CASE {self._mode()} WHEN 0 THEN NULL WHEN 1 THEN {BASE_TIME}"
+                       f" ELSE {BASE_TIME} + 60 * (1000 + {self.key} % 500 + {self.n}) END")
+            c = self.column(f"cast({sql} AS bigint)")
+            self.names[at] = c
+            filled[f.name] = f"coalesce({c}, -62135596800)"
             cases = []
             for r in f.rules:
                 if r.name == "required":
@@ -196,19 +228,23 @@ class Flat:
             if f.omit_empty:
                 cases = [(f"{c} IS NOT NULL AND {w}", code) for w, code in cases]
             self._finding(cases, path, gate)
-            return f"timestamp_seconds(1735689600 + {c} * 60)", f"{c} IS NULL"
+            return f"timestamp_seconds({c})", f"{c} IS NULL"
         if f.kind == "record":
-            return self._record(f, prefix, gate)
+            return self._record(f, prefix, gate, at)
         if f.kind == "records":
-            return self._records(f, path, gate)
+            return self._records(f, path, gate, at)
         if f.kind in ("texts", "values", "text_map", "value_map"):
-            return self._collection(f, path, gate)
-        sql, typ = leaf_value(f, self.n, self.key)
+            return self._collection(f, path, gate, at)
+        sql, typ = leaf_value(f, self.n, self.key, self.spec is None)
+        if self.spec:
+            needed = any(r.name in ("required", "min", "eq") for r in f.rules) and not f.omit_empty
+            sql = f"cast({self.spec.values.get(at, sql if needed else 'NULL')} AS {typ})"
         c = self.column(sql)
         zero = {"string": "''", "bigint": "0", "double": "0", "boolean": "false"}[typ]
         pointer = f.nullable or f.kind == "any"
         v = c if pointer else f"coalesce({c}, {zero})"
         absent = f"{c} IS NULL" if pointer else f"{v} = {zero}"
+        self.names[at] = v
         filled[f.name] = v
         cases = []
         for r in f.rules:
@@ -224,40 +260,61 @@ class Flat:
         self._finding(cases, path, gate)
         return c, absent
 
-    def _record(self, f: Field, prefix: str, gate: str) -> tuple[str, str]:
-        gone = self.column(f"{self._mode()} IN (0, 1, 2, 3)")
-        at = len(self.findings)
+    def _record(self, f: Field, prefix: str, gate: str, at: str) -> tuple[str, str]:
+        gone = f"{self._mode()} IN (0, 1, 2, 3)"
+        if self.spec:
+            there = self.spec.present.get(at, "false" if f.nullable or f.omit_empty else "true")
+            gone = f"NOT ({there})"
+            if f.nullable and there == "false":
+                return f"cast(NULL AS {f.of.struct_type})", "true"
+        gone = self.column(gone)
+        self.names[at + "!"] = f"NOT {gone}"
+        start = len(self.findings)
         if f.nullable:
             inner_gate = f"NOT {gone}" + (f" AND {gate}" if gate else "")
-            sql, _ = self.structure(f.of, f"{prefix}{f.label}.", inner_gate)
+            sql, _ = self.structure(f.of, f"{prefix}{f.label}.", inner_gate, at + ".")
             return f"CASE WHEN NOT {gone} THEN {sql} END", gone
         # an absent plain structure is all zero: its leaves count as absent
         mark = set(self.columns)
-        sql, zeros = self.structure(f.of, f"{prefix}{f.label}.", gate)
+        sql, zeros = self.structure(f.of, f"{prefix}{f.label}.", gate, at + ".")
         for c in set(self.columns) - mark:
-            if self.columns[c].startswith("cast(CASE") or self.columns[c].startswith("CASE WHEN"):
+            if self.columns[c].startswith("cast(") or self.columns[c].startswith("CASE WHEN"):
                 self.columns[c] = f"CASE WHEN {self.columns[gone]} THEN NULL ELSE {self.columns[c]} END"
         zero = "(" + " AND ".join(f"({z})" for z in zeros) + ")"
         if f.omit_empty:
-            self.findings[at:] = [f"CASE WHEN NOT {zero} THEN {x} END" for x in self.findings[at:]]
+            self.findings[start:] = [f"CASE WHEN NOT {zero} THEN {x} END" for x in self.findings[start:]]
         return sql, zero
 
-    def _records(self, f: Field, path: str, gate: str) -> tuple[str, str]:
+    def _records(self, f: Field, path: str, gate: str, at: str) -> tuple[str, str]:
         style = self.rules.style
-        size = self.column(f"CASE {self._mode()} WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END")
+        size = f"CASE {self._mode()} WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END"
+        if self.spec:
+            size = self.spec.sizes.get(at, "-1")
+            if size == "-1":
+                self.names[at + "#"] = "-1"
+                return f"cast(NULL AS ARRAY<{f.of.struct_type}>)", "true"
+        size = self.column(f"cast({size} AS int)")
+        self.names[at + "#"] = size
         own = [(f"{size} = -1", code_of(style, r)) for r in f.rules if r.name == "required"]
         self._finding(own, path, gate)
         elements = []
         nests = len(f.of.fields) >= 20 or any(g.kind in ("record", "records") for g in f.of.fields)
         for j in range(1 if nests else 2):
             inner = f"{size} > {j}" + (f" AND {gate}" if gate else "")
-            sql, _ = self.structure(f.of, f"{path}[{j}].", inner if f.dive else "false")
+            sql, _ = self.structure(f.of, f"{path}[{j}].", inner if f.dive else "false", f"{at}.{j}.")
             elements.append(sql)
-        return f"CASE WHEN {size} >= 0 THEN slice(array({', '.join(elements)}), 1, {size}) END", f"{size} = -1"
+        array = f"array({', '.join(elements)})"
+        if self.spec:  # sizes beyond the laid-out elements repeat the last one
+            array = f"concat({array}, array_repeat({elements[-1]}, greatest({size} - {len(elements)}, 0)))"
+        return f"CASE WHEN {size} >= 0 THEN slice({array}, 1, {size}) END", f"{size} = -1"
 
-    def _collection(self, f: Field, path: str, gate: str) -> tuple[str, str]:
+    def _collection(self, f: Field, path: str, gate: str, at: str) -> tuple[str, str]:
         style = self.rules.style
-        size = self.column(f"CASE {self._mode()} WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END")
+        size = f"CASE {self._mode()} WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END"
+        if self.spec:
+            size = self.spec.sizes.get(at, "0" if f.rules and not f.omit_empty else "-1")
+        size = self.column(f"cast({size} AS int)")
+        self.names[at + "#"] = size
         cases = []
         for r in f.rules:
             cases.append((f"{size} = -1" if r.name == "required" else f"greatest({size}, 0) {SIZE[r.name]} {r.param}",
@@ -267,13 +324,26 @@ class Flat:
         self._finding(cases, path, gate)
         item = Field(f.name, "text", f.each, label=f.label)
         elements = []
-        for j in range(2):
+        given = self.spec.items.get(at, []) if self.spec else [None, None]
+        for j, chosen in enumerate(given):
             sql, _ = leaf_value(item, self.n, self.key)
-            c = self.column(sql)
+            c = self.column(chosen or sql)
             elements.append(c)
+            self.names[f"{at}.{j}"] = f"coalesce({c}, '')"
             tests = [(duck_rule(r, item, f"coalesce({c}, '')"), code_of(style, r)) for r in f.each]
             self._finding(tests, f"{path}[{j}]", f"{size} > {j}" + (f" AND {gate}" if gate else ""))
-        if f.kind in ("texts", "values"):
+        if self.spec:
+            values = [self.column(v) for v in self.spec.map_values.get(at, [])]
+            for j, c in enumerate(values):
+                self.names[f"{at}={j}"] = c
+            more = f"transform(sequence(1, greatest({size}, 1)), i -> concat('extra', i))"
+            keys = f"slice(concat(cast(array({', '.join(elements)}) AS ARRAY<STRING>), {more}), 1, greatest({size}, 0))"
+            if f.kind in ("texts", "values"):
+                sql = keys
+            else:
+                filled = f"concat(cast(array({', '.join(values)}) AS ARRAY<STRING>), array_repeat('plain', greatest({size}, 0)))"
+                sql = f"map_from_arrays({keys}, slice({filled}, 1, greatest({size}, 0)))"
+        elif f.kind in ("texts", "values"):
             sql = f"slice(array({', '.join(elements)}), 1, {size})"
         else:
             sql = f"map_from_arrays(slice(array('k1', 'k2'), 1, {size}), slice(array({', '.join(elements)}), 1, {size}))"

@@ -298,7 +298,7 @@ TRANSACTION = rule_set(
               "Multiple operations in autocommit transaction", None,
               "Use explicit transactions for multiple related operations", "best-practices"),
         Check("WRITE_IN_READONLY", f"$read_only AND coalesce(exists($queries, q -> {_IS_WRITE}), false)", "ReadOnly",
-              "Write operation in read-only transaction", f"filter($queries, q -> {_IS_WRITE})[0].operation",
+              "Write operation in read-only transaction", f"get(filter($queries, q -> {_IS_WRITE}), 0).operation",
               "Remove read-only flag or change to read operations", "consistency"),
         Check("EXCESSIVE_SAVEPOINTS", f"{count_of('$savepoints')} > 10", "Savepoints",
               "High number of savepoints: {size($savepoints)}", "size($savepoints)",

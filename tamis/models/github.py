@@ -259,7 +259,7 @@ PULL_REQUEST_EVENT = rule_set(
               "Consider issue triage and maintenance practices", "maintenance"),
         Check("SELF_ASSIGNED",
               f"$pull_request.user.login = $sender.login AND {count_of('$pull_request.assignees')} = 1"
-              " AND coalesce($pull_request.assignees[0].login, '') = $pull_request.user.login",
+              " AND coalesce(get($pull_request.assignees, 0).login, '') = $pull_request.user.login",
               "PullRequest.Assignees", "Pull request author assigned to their own PR", None,
               "Consider assigning to a team member for review", "workflow"),
         Check("NO_REVIEWERS",

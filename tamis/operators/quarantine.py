@@ -27,7 +27,7 @@ def write_split(validated: DataFrame, path: str, fmt: str = "parquet", mode: str
     executor costs a re-read, not a re-validation.
     """
     validated.write.mode(mode).partitionBy("is_valid").format(fmt).save(path)
-    return validated.sparkSession.read.format(fmt).load(path)
+    return validated.sparkSession.read.schema(validated.schema).format(fmt).load(path)
 
 
 def write_report(validated: DataFrame, path: str, threshold: float | None = None, fmt: str = "json",

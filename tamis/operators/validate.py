@@ -18,8 +18,8 @@ RESULT_COLUMNS = ("errors", "is_valid", "warnings", "test_name")
 def test_name_sql(title: str) -> str:
     """Test name: the title, then the first error code of a bad row or the first warning code."""
     return (
-        f"CASE WHEN NOT is_valid AND size(errors) > 0 THEN concat({quote(title + ':')}, errors[0].code)"
-        f" WHEN size(warnings) > 0 THEN concat({quote(title + ':')}, warnings[0].code)"
+        f"CASE WHEN NOT is_valid AND size(errors) > 0 THEN concat({quote(title + ':')}, get(errors, 0).code)"
+        f" WHEN size(warnings) > 0 THEN concat({quote(title + ':')}, get(warnings, 0).code)"
         f" ELSE {quote(title)} END"
     )
 

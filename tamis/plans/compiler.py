@@ -215,7 +215,8 @@ class Compiler:
         if f.kind == "texts" and f.each:
             item = Field(f.name, "text", f.each, label=f.label)
             v = f"coalesce({e}, '')"
-            tests = [(rule, predicates.breaks(rule.name, v, "text", rule.param)) for rule in f.each]
+            tests = [(rule, f"{v} = ''" if rule.name == "required" else
+                      predicates.breaks(rule.name, v, "text", rule.param)) for rule in f.each]
             label = lit(element) + (("sql", f"cast({i} AS STRING)"),) + lit("]")
             whens = " ".join(
                 f"WHEN {sql} THEN {self._error(rule, item.kind, label, prefix + label, v)}" for rule, sql in tests)
