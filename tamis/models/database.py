@@ -156,7 +156,7 @@ SECURITY = rule_set(
     style="database",
 )
 
-_Q = "lower($query)"
+_Q = "$:lowered"
 _PLAN = "$execution_plan"
 
 QUERY = rule_set(
@@ -179,6 +179,7 @@ QUERY = rule_set(
     record("performance", PERFORMANCE, optional, nullable=True),
     record("security", SECURITY, optional, nullable=True),
     value_map("context", optional),
+    lets={"lowered": "lower($query)"},
     checks=[
         Check("SUSPICIOUS_SQL_PATTERNS", contains_any(_Q, SUSPICIOUS), "Query",
               "Potentially dangerous SQL patterns detected: {" + all_contained(_Q, SUSPICIOUS) + "}", None,

@@ -201,11 +201,11 @@ INSTALLATION = rule_set(
     "Installation", integer("id", required, gt=0), text("node_id", required, min=1), style="github",
 )
 
-_TITLE = "lower($pull_request.title)"
-_BODY = "lower(coalesce($pull_request.body, ''))"
+_TITLE = "$:title"
+_BODY = "$:body"
 _CHANGES = "($pull_request.additions + $pull_request.deletions)"
 _SHORT = "($pull_request.body IS NULL OR octet_length($pull_request.body) < 10)"
-_BOTH = f"concat({_TITLE}, '\\n', {_BODY})"
+_BOTH = "$:both"
 _AGE = hours_between("$pull_request.created_at", "$now")
 
 PULL_REQUEST_EVENT = rule_set(
@@ -217,6 +217,11 @@ PULL_REQUEST_EVENT = rule_set(
     record("sender", USER, required),
     record("organization", USER, optional, nullable=True),
     record("installation", INSTALLATION, optional, nullable=True),
+    lets={
+        "title": "lower($pull_request.title)",
+        "body": "lower(coalesce($pull_request.body, ''))",
+        "both": "lower(concat($pull_request.title, '\\n', coalesce($pull_request.body, '')))",
+    },
     checks=[
         Check("WIP_DETECTED", contains_any(_TITLE, WIP_MARKS), "PullRequest.Title",
               "Pull request title contains WIP indicator: '{" + first_contained(_TITLE, WIP_MARKS) + "}'",

@@ -74,6 +74,10 @@ def route(
         out = out.select("*", *stages[i])
     errors = branches({t: c.errors() for t, c in compiled.items()}, NO_ERRORS)
     out = out.select("*", F.expr(f"CASE WHEN undecodable THEN {decode_failure_sql()} ELSE {errors} END").alias("errors"))
+    lets = [F.expr(f"CASE WHEN {mt} = {quote(t)} AND NOT undecodable THEN {sql} END").alias(name)
+            for t, c in compiled.items() for name, sql in c.lets()]
+    if lets:
+        out = out.select("*", *lets)
     warnings = {}
     for t, c in compiled.items():
         found, any_found = c.warnings()

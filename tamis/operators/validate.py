@@ -55,6 +55,9 @@ def validate(
         bad = ident(undecodable)
         errors = f"CASE WHEN {bad} THEN {decode_failure_sql()} ELSE {errors} END"
     out = out.select("*", F.expr(errors).alias("errors"))
+    lets = c.lets()
+    if lets:
+        out = out.select("*", *[F.expr(sql).alias(name) for name, sql in lets])
     found, any_found = c.warnings(tuple(checks))
     gate = any_found if rules.checks_when_invalid else f"size(errors) = 0 AND {any_found}"
     if undecodable:
@@ -73,7 +76,7 @@ def validate(
     if field_count and rules.field_count:
         extra.append(F.expr(c.resolve(rules.field_count)).cast("bigint").alias("field_count"))
     out = out.select("*", F.expr(name).alias("test_name"), *extra)
-    return out.drop(*[name for stage in helpers for name, _ in stage])
+    return out.drop(*[name for stage in [*helpers, lets] for name, _ in stage])
 
 
 def decode_failure_sql(message: str = "Failed to unmarshal record") -> str:

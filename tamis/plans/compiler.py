@@ -326,18 +326,24 @@ class Compiler:
 
     # -- warnings ------------------------------------------------------------------------------
     def resolve(self, sql: str) -> str:
-        """Replace ``$a.b`` by the zero-filled field and ``$now`` by the evaluation instant."""
+        """Replace ``$a.b`` by the zero-filled field, ``$:x`` by a shared value, ``$now`` by the evaluation instant."""
 
         def one(m: re.Match) -> str:
             if m[1] == "now":
                 return self.now
+            if m[1].startswith(":"):
+                return ident(self._column("let_" + m[1][1:]))
             rs, x = self.rules, self.root
             names = m[1].split(".")
             for name in names[:-1]:
                 x, rs = raw(x, name), rs.by_name[name].of
             return filled(rs.by_name[names[-1]], raw(x, names[-1]))
 
-        return re.sub(r"\$([a-z_]+(?:\.[a-z_]+)*)", one, sql)
+        return re.sub(r"\$(:?[a-z_]+(?:\.[a-z_]+)*)", one, sql)
+
+    def lets(self) -> list[tuple[str, str]]:
+        """Columns with values that several checks share, to compute before the warnings."""
+        return [(self._column("let_" + name), self.resolve(sql)) for name, sql in self.rules.lets]
 
     def _warning(self, c: Check) -> str:
         value = f"cast({c.value} AS STRING)" if c.value else "cast(NULL AS STRING)"

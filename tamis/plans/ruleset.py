@@ -6,7 +6,7 @@ A rule set is plain data. ``tamis.plans.compiler`` turns it into SQL expressions
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # kind -> Spark type; `record` and `records` take their type from the nested rule set
 SCALARS = {
@@ -169,7 +169,7 @@ class RuleSet:
     style: str = "base"  # wording and codes of errors, see plans/messages.py
     checks_when_invalid: bool = False
     field_count: str | None = None  # SQL for the per-row field count metric
-    depth: int = field(default=0, compare=False)
+    lets: tuple[tuple[str, str], ...] = ()  # values shared by several checks, named $:name there
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "by_name", {f.name: f for f in self.fields})
@@ -203,4 +203,5 @@ def title_case(name: str) -> str:
 def rule_set(name: str, *fields: Field, **kw: object) -> RuleSet:
     checks = tuple(kw.pop("checks", ()))
     extra = tuple(kw.pop("extra_errors", ()))
+    kw["lets"] = tuple(kw.pop("lets", {}).items())
     return RuleSet(name, tuple(fields), checks, extra, **kw)
