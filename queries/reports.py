@@ -211,8 +211,8 @@ def strict(spark, sf):
 
 STRICT = f"""WITH s AS ({seed_sql('events', JSON_SEED)})
 SELECT k, k % 12 IN (0, 1, 2, 3, 4, 6, 7, 8) AS undecodable, CASE WHEN k % 12 = 11 THEN event_type END AS id,
-  CASE WHEN k % 12 = 11 THEN k % 7 END AS priority, CASE WHEN k % 12 = 5 THEN 1704189600 END AS reported,
-  CASE WHEN k % 12 = 5 THEN 2 END AS n_tags FROM s"""
+  CASE WHEN k % 12 = 11 THEN k % 7 END AS priority, CASE WHEN k % 12 = 5 THEN 1704189600::bigint END AS reported,
+  CASE WHEN k % 12 = 5 THEN 2::bigint END AS n_tags FROM s"""
 
 
 def lenient(spark, sf):
@@ -278,7 +278,7 @@ def envelopes(spark, sf):
 
 
 ENVELOPES = f"""SELECT event_id AS k, CASE event_id % 4 WHEN 2 THEN 'nothing' WHEN 3 THEN 'incident' ELSE 'generic' END AS model_type,
-  CASE WHEN event_id % 4 = 0 THEN 50.0 END AS threshold, event_id % 4 = 0 AS is_array, i AS row_index, true AS has_record
+  CASE WHEN event_id % 4 = 0 THEN 50::double END AS threshold, event_id % 4 = 0 AS is_array, i::bigint AS row_index, true AS has_record
 FROM events, (VALUES (0), (1)) t(i) WHERE i = 0 OR event_id % 4 = 0"""
 
 SMALL = {t: CATALOG[t] for t in ("incident", "generic")}
@@ -291,8 +291,8 @@ def routed(spark, sf):
 
 
 # an events record in a generic request has none of the four required fields; a lenient {"type": 5} has one
-ROUTED = """SELECT event_id AS k, i AS row_index, CASE WHEN event_id % 4 = 3 THEN 'incident' ELSE 'generic' END AS model_type, false AS is_valid,
-  CASE event_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 10 END AS n_errors,
+ROUTED = """SELECT event_id AS k, i::bigint AS row_index, CASE WHEN event_id % 4 = 3 THEN 'incident' ELSE 'generic' END AS model_type, false AS is_valid,
+  CAST(CASE event_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 10 END AS bigint) AS n_errors,
   CASE WHEN event_id % 4 = 3 THEN 'IncidentValidator:VALIDATION_FAILED' ELSE 'GenericValidator:required' END AS test_name
 FROM events, (VALUES (0), (1)) t(i) WHERE (i = 0 OR event_id % 4 = 0) AND event_id % 4 <> 2"""
 
@@ -359,7 +359,7 @@ SESSIONS = """WITH ev AS (SELECT cast(ts AS date)::varchar AS batch_id, ts, even
 b AS (SELECT batch_id, min(d) AS d, min(ts) - INTERVAL 10 MINUTE AS started,
     CASE WHEN min(d) % 2 = 0 THEN (batch_id || ' 20:00:00')::timestamp END AS done0 FROM ev GROUP BY batch_id),
 c AS (SELECT batch_id, d, started, CASE WHEN done0 >= started THEN done0 END AS done,
-    CASE WHEN d % 3 > 0 THEN 40.0 + d END AS threshold FROM b WHERE d % 7 <> 0),
+    CASE WHEN d % 3 > 0 THEN (40 + d)::double END AS threshold FROM b WHERE d % 7 <> 0),
 u AS (SELECT ev.*, c.started, c.done FROM ev JOIN c USING (batch_id) WHERE c.done IS NULL OR ev.ts <= c.done),
 g AS (SELECT *, ts - coalesce(lag(ts) OVER (PARTITION BY batch_id ORDER BY ts, event_id), started) > INTERVAL 30 MINUTE AS gap FROM u),
 x AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY batch_id ORDER BY ts, event_id) > 0 AS dead FROM g),
@@ -432,7 +432,7 @@ def all_queries() -> list[Query]:
         Query("g04_gate_success", with_threshold(1.0), threshold_sql(1.0)),
         Query("g05_gate_without_threshold", with_threshold(None), threshold_sql(None)),
         Query("g05_lone_record_gate", lone_gate,
-              V + "SELECT o_orderkey, CASE WHEN is_valid THEN 100.0 ELSE 0.0 END AS success_rate, CASE WHEN is_valid THEN 'success' ELSE 'failed' END AS status FROM v"),
+              V + "SELECT o_orderkey, CAST(CASE WHEN is_valid THEN 100 ELSE 0 END AS DOUBLE) AS success_rate, CASE WHEN is_valid THEN 'success' ELSE 'failed' END AS status FROM v"),
         Query("g04_gate_per_customer", gate_per_customer,
               V + f", c AS (SELECT o_custkey, {COUNTS} FROM v GROUP BY o_custkey) SELECT o_custkey, {RATE} AS success_rate,"
                   f" CASE WHEN {RATE} < o_custkey % 101 THEN 'failed' ELSE 'success' END AS status FROM c"),
@@ -465,7 +465,7 @@ def all_queries() -> list[Query]:
               V + f"SELECT {REQUEST} AS request, count(*) AS total_count, count(*) FILTER (is_valid) AS valid_count, count(*) FILTER (NOT is_valid) AS invalid_count,"
                   " count(*) > 100 AS oversized FROM v GROUP BY request"),
         Query("g14_slow_rows", slow_rows,
-              V + "SELECT o_orderkey, o_orderkey % 205 > 100 AS is_slow, n_warnings + (o_orderkey % 205 > 100)::int AS n_warnings FROM v"),
+              V + "SELECT o_orderkey, o_orderkey % 205 > 100 AS is_slow, (n_warnings + (o_orderkey % 205 > 100)::int)::bigint AS n_warnings FROM v"),
         Query("s01_s05_strict_decode", strict, STRICT),
         Query("s02_arrays", arrays, ARRAYS),
         Query("s02_row_index", row_index, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS row_index FROM orders"),

@@ -40,10 +40,10 @@ def gate(threshold: float | str | Column | None = None) -> Column:
 
 def counts(validated: DataFrame, by: list[str | Column] | tuple = ()) -> DataFrame:
     """Total, valid, invalid and warning records; errors and warnings; per group if ``by`` is given."""
-    return validated.groupBy(*by).agg(*_counters())
+    return validated.groupBy(*by).agg(*counters())
 
 
-def _counters() -> list[Column]:
+def counters() -> list[Column]:
     valid = F.col("is_valid")
     return [
         F.count("*").alias("total_records"),
@@ -57,7 +57,7 @@ def _counters() -> list[Column]:
 
 def summarize(validated: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """The summary: counts, success rate and the distinct names of passing and failing tests."""
-    partial = validated.groupBy(*by, "is_valid", "test_name").agg(*_counters())
+    partial = validated.groupBy(*by, "is_valid", "test_name").agg(*counters())
     names = {True: "successful_test_names", False: "failed_test_names"}
     totals = ["total_records", "valid_records", "invalid_records", "warning_records", "validation_errors",
               "validation_warnings"]

@@ -4,8 +4,9 @@ Two inputs. ``control`` has one row per session event: ``batch_id, kind ('start'
 threshold``. ``chunks`` has one row per accepted request: ``batch_id, ts, valid, invalid, warnings`` (see
 ``chunk_counts``). A session expires when more than 30 minutes pass without an update.
 
-No step brings all rows of one session together: chunks are first added up per session and time slot, and
-only the slots, at most one per 30 minutes, are put in order.
+No step brings all rows of one session together, so a session that holds a third of all rows does no harm:
+rows meet the facts about their session in a salted join, are added up per session and time slot, and only the
+slots, at most one per 30 minutes, are put in order.
 """
 
 from __future__ import annotations
@@ -39,6 +40,16 @@ def start_sessions(control: DataFrame) -> DataFrame:
                         "threshold")
 
 
+SALTS = 32  # tasks that share the rows of one session in a join
+
+
+def _with_facts(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows to one row of facts per session, spreading each session over several tasks (column ``salt``)."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("ts"), F.lit(SALTS)).cast("int"))
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["batch_id", "salt"], how)
+
+
 def _slot(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000))
 
@@ -46,19 +57,20 @@ def _slot(ts: Column, seconds: int) -> Column:
 def _bounds(control: DataFrame) -> DataFrame:
     """Start, threshold and completion time per session."""
     began = start_sessions(control).select("batch_id", "started_at", "threshold")
-    done = control.filter("kind = 'complete'").select("batch_id", F.col("ts").alias("done_ts"))
-    return began.join(done, "batch_id", "left").groupBy("batch_id", "started_at", "threshold").agg(
-        F.min(F.when(F.col("done_ts") >= F.col("started_at"), F.col("done_ts"))).alias("completed_at"))
+    done = _with_facts(control.filter("kind = 'complete'").select("batch_id", "ts"), began)
+    first = done.filter(F.col("ts") >= F.col("started_at")).groupBy("batch_id", "salt").agg(F.min("ts").alias("ts"))
+    first = first.groupBy("batch_id").agg(F.min("ts").alias("completed_at"))
+    return began.join(first, "batch_id", "left")
 
 
 def _slots(bounds: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per session and slot: first and last update, sums, and whether the session had expired before."""
     inside = (F.col("ts") >= F.col("started_at")) & (
         F.col("completed_at").isNull() | (F.col("ts") <= F.col("completed_at")))
-    used = chunks.join(bounds, "batch_id").filter(inside)
+    used = _with_facts(chunks, bounds).filter(inside)
     sums = [F.sum(c).cast("bigint").alias(c) for c in ("valid", "invalid", "warnings")]
-    added = used.groupBy("batch_id", _slot(F.col("ts"), IDLE_SECONDS).alias("slot")).agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *sums)
+    added = used.groupBy("batch_id", "salt", _slot(F.col("ts"), IDLE_SECONDS).alias("slot")).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *sums).drop("salt")
     zero = [F.lit(0).cast("bigint").alias(c) for c in ("valid", "invalid", "warnings")]
     began = bounds.select("batch_id", _slot(F.col("started_at"), IDLE_SECONDS).alias("slot"),
                           F.col("started_at").alias("first_ts"), F.col("started_at").alias("last_ts"), *zero)
@@ -125,11 +137,11 @@ def rejected_chunks(control: DataFrame, chunks: DataFrame) -> DataFrame:
         .when(F.col("ts") >= F.col("dead_from"), "expired")
         .when(F.col("ts") > F.col("completed_at"), "completed")
     )
-    return (chunks.join(known, "batch_id", "left").withColumn("reason", reason)
-            .filter("reason IS NOT NULL").drop("started_at", "completed_at", "dead_from"))
+    return (_with_facts(chunks, known, "left").withColumn("reason", reason)
+            .filter("reason IS NOT NULL").drop("started_at", "completed_at", "dead_from", "salt"))
 
 
-def running_totals(chunks: DataFrame, slot_seconds: int = 60) -> DataFrame:
+def running_totals(chunks: DataFrame, slot_seconds: int = 1) -> DataFrame:
     """Records in the session after each chunk.
 
     A prefix sum in two levels: inside a short slot, and over the slots of the session.
@@ -142,3 +154,22 @@ def running_totals(chunks: DataFrame, slot_seconds: int = 60) -> DataFrame:
     return (cut.withColumn("so_far", F.sum("n").over(inside)).join(slots, ["batch_id", "slot"])
             .withColumn("records_count", (F.col("earlier") + F.col("so_far")).cast("bigint"))
             .drop("slot", "n", "earlier", "so_far"))
+
+
+def idle_cuts(rows: DataFrame, ts: str, by: str, sums: list[Column], keep: list[str]) -> DataFrame:
+    """Cut the rows of each group at pauses of more than 30 minutes and add up the ``keep`` columns per piece.
+
+    Two rows of one 30-minute slot are never too far apart, so pieces are runs of slots and only slots, not
+    rows, are put in order.
+    """
+    slots = rows.groupBy(by, _slot(F.col(ts), IDLE_SECONDS).alias("slot")).agg(
+        F.min(ts).alias("started_at"), F.max(ts).alias("last_ts"), *sums)
+    order = Window.partitionBy(by).orderBy("slot")
+    pause = F.unix_micros(F.col("started_at").cast("timestamp")) - F.lag(
+        F.unix_micros(F.col("last_ts").cast("timestamp"))).over(order)
+    cut = F.coalesce(pause > IDLE_SECONDS * 1_000_000, F.lit(True)).cast("int")
+    pieces = slots.withColumn("cut", cut).withColumn(
+        "piece", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return pieces.groupBy(by, "piece").agg(
+        F.min("started_at").alias("started_at"), F.max("last_ts").alias("last_ts"),
+        *[F.sum(c).cast("bigint").alias(c) for c in keep]).drop("piece")

@@ -112,7 +112,7 @@ def decode(df: DataFrame, rules: RuleSet, column: str = "value", *, mode: str =
 
 def strict_sql(rules: RuleSet, text: str, variant: str, decoded: str) -> tuple[str, str]:
     """SQL of the typed decode and of the failure flag, given the names of the two helper columns."""
-    ddl = f"{rules.ddl}, `{CORRUPT}` STRING"
+    ddl = ", ".join(filter(None, [rules.ddl, f"`{CORRUPT}` STRING"]))
     record = f"from_json({text}, {quote(ddl)}, {_OPTIONS})"
     bad = (
         f"{decoded} IS NULL OR {decoded}.`{CORRUPT}` IS NOT NULL"

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tamis.operators.report import counts, gate, summarize, success_rate
+from tamis.operators.report import counters, counts, gate, success_rate, summarize
+from tamis.operators.sessions import idle_cuts
 
 IDLE = "30 minutes"  # fixed value: a session without an update for longer is gone
 
@@ -34,12 +35,22 @@ def windowed_gate(validated: DataFrame, ts: str, length: str, slide: str | None
 
 
 def idle_sessions(validated: DataFrame, ts: str, by: str = "batch_id", watermark: str | None = None) -> DataFrame:
-    """Sessions cut at pauses of more than 30 minutes, with their counts; for tables and streams."""
-    rows = validated.withWatermark(ts, watermark) if watermark else validated
-    out = counts(rows, [F.session_window(ts, IDLE), by])
-    return out.withColumn("success_rate", success_rate()).withColumn(
-        "started_at", F.col("session_window.start")).withColumn(
-        "expires_at", F.col("session_window.end")).drop("session_window")
+    """Sessions cut at pauses of more than 30 minutes, with their counts; for tables and streams.
+
+    A stream uses ``session_window``; set spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition to
+    have its rows merged before the shuffle. A table is cut by slots, which no large group can slow down.
+    """
+    if validated.isStreaming:
+        rows = validated.withWatermark(ts, watermark) if watermark else validated
+        out = counts(rows, [F.session_window(ts, IDLE), by]).withColumn(
+            "started_at", F.col("session_window.start")).withColumn(
+            "expires_at", F.col("session_window.end")).drop("session_window")
+    else:
+        numbers = ["total_records", "valid_records", "invalid_records", "warning_records", "validation_errors",
+                   "validation_warnings"]
+        out = idle_cuts(validated, ts, by, counters(), numbers).withColumn(
+            "expires_at", F.col("last_ts") + F.expr(f"INTERVAL {IDLE}")).drop("last_ts")
+    return out.withColumn("success_rate", success_rate())
 
 
 def running_counts(validated: DataFrame, by: tuple[str, ...] = ("batch_id",)) -> DataFrame:

@@ -32,11 +32,20 @@ def chunk_events(validated: DataFrame, batch_id: str = "batch_id", ts: str = "ts
         (ok & (F.size("warnings") > 0)).cast("bigint").alias("warnings"))
 
 
+_KEYS = ["batch_id", "kind", "ts"]
+_SUMS = {"threshold": "max", "valid": "sum", "invalid": "sum", "warnings": "sum"}
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.groupby(_KEYS, sort=False, dropna=False, as_index=False).agg(_SUMS)
+
+
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    # records of one request share its time: add them up before the shuffle
+    # add up before the shuffle; times count in milliseconds, so a session has at most a thousand rows per
+    # second however many records it gets
     for pdf in batches:
-        yield pdf.groupby(["batch_id", "kind", "ts"], sort=False, dropna=False, as_index=False).agg(
-            {"threshold": "max", "valid": "sum", "invalid": "sum", "warnings": "sum"})
+        pdf["ts"] = pdf["ts"].dt.floor("ms")
+        yield _merge(pdf)
 
 
 def final_status(total: int, valid: int, invalid: int, threshold: float | None) -> str:
@@ -65,8 +74,9 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         yield pd.DataFrame(out)
         return
 
-    # after the combine step this holds one row per request, not per record
-    events = pd.concat(list(batches))
+    events = None
+    for pdf in batches:  # merged as it comes: bounded by the time the micro-batch spans, not by its rows
+        events = pdf if events is None else _merge(pd.concat([events, pdf]))
     events["rank"] = events["kind"].map({"start": 0, "chunk": 1, "complete": 2})
     accumulated = None
     for e in events.sort_values(["ts", "rank"], kind="stable").itertuples():
