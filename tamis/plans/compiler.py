@@ -65,7 +65,7 @@ def filled(f: Field, r: str) -> str:
     """The value with an absent one replaced by the zero value of its kind."""
     if f.null_aware or f.kind == "record":
         return r
-    zero = {"text": "''", "integer": "0L", "duration": "0L", "real": "0D", "flag": "false", "time": ZERO_TIME}
+    zero = {"text": "''", "integer": "0L", "natural": "0L", "duration": "0L", "real": "0D", "flag": "false", "time": ZERO_TIME}
     return f"coalesce({r}, {zero[f.kind]})"
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 SCALARS = {
     "text": "STRING",
     "integer": "BIGINT",
+    "natural": "BIGINT",  # decoding refuses negative numbers
     "real": "DOUBLE",
     "flag": "BOOLEAN",
     "time": "TIMESTAMP",
@@ -97,6 +98,7 @@ def _maker(kind: str):
 
 text = _maker("text")
 integer = _maker("integer")
+natural = _maker("natural")
 real = _maker("real")
 flag = _maker("flag")
 time = _maker("time")

@@ -42,6 +42,8 @@ def _wrong_leaf(f: Field, v: str, path: str, level: int) -> list[str]:
     at = _at(v, _step(path, f.name))
     if f.kind in _STRINGS:
         return [f"coalesce({_json_kind(at)} NOT IN ('STRING', 'VOID'), false)"]
+    if f.kind == "natural":
+        return [f"coalesce({_json_kind(at)} = 'STRING' OR try_variant_get({at}, '$', 'double') < 0, false)"]
     if f.kind in _NUMBERS:
         return [f"coalesce({_json_kind(at)} = 'STRING', false)"]
     if f.kind in ("texts", "text_map"):
@@ -167,6 +169,10 @@ def lenient_field(f: Field, v: str) -> tuple[str, str]:
                  f" try_cast(try_variant_get({v}, '$', 'double') AS BIGINT))"
                  f" WHEN {kind} = 'STRING' THEN try_cast({prefix} AS BIGINT) END")
         return value, f"{present} AND ({value}) IS NULL"
+    if f.kind == "natural":
+        number = f"try_variant_get({v}, '$', 'double')"
+        value = f"CASE WHEN {_number_kind(v)} AND {number} >= 0 THEN try_cast({number} AS BIGINT) END"
+        return value, f"{present} AND ({value}) IS NULL"
     if f.kind == "real":
         prefix = (f"nullif(regexp_extract(try_variant_get({v}, '$', 'string'),"
                   f" '^[ \\\\t]*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)', 1), '')")

@@ -6,13 +6,18 @@ warnings``. State per session is one small row; expiry is an event-time timer.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# the functions below travel to the executors by value, so this package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 IDLE = pd.Timedelta(minutes=30)  # fixed value: a session without an update for longer is gone
 
 EVENT = ("batch_id STRING, kind STRING, ts TIMESTAMP, threshold DOUBLE, valid BIGINT, invalid BIGINT,"

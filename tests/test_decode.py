@@ -3,10 +3,10 @@ import json
 import pytest
 
 from tamis import CATALOG, decode
-from tamis.plans.ruleset import flag, integer, real, rule_set, text, text_map, texts, value_map, values
+from tamis.plans.ruleset import flag, integer, natural, real, rule_set, text, text_map, texts, value_map, values
 from tamis.sources.records import read_requests, record_identifier, request_records, typed_identifier, with_row_index
 
-MIXED = rule_set("Mixed", text("s"), integer("i"), real("f"), flag("b"), texts("l"), text_map("m"), value_map("v"), values("a"))
+MIXED = rule_set("Mixed", text("s"), integer("i"), real("f"), flag("b"), texts("l"), text_map("m"), value_map("v"), values("a"), natural("n"))
 
 
 def one(spark, record, mode):
@@ -17,7 +17,7 @@ def one(spark, record, mode):
 
 STRICT_BAD = [
     {"s": 5}, {"s": True}, {"s": {}}, {"i": "5"}, {"i": 3.7}, {"i": 10**20}, {"i": True}, {"f": "1.5"}, {"b": "true"}, {"b": 1},
-    {"l": "x"}, {"l": ["a", 5]}, {"m": {"k": 1}}, {"m": []}, {"v": "x"}, {"a": {}}, [{"s": "x"}], "broken {", '"text"', "7"]
+    {"l": "x"}, {"l": ["a", 5]}, {"m": {"k": 1}}, {"m": []}, {"v": "x"}, {"a": {}}, {"n": -1}, {"n": "1"}, [{"s": "x"}], "broken {", '"text"', "7"]
 
 
 @pytest.mark.parametrize("record", STRICT_BAD, ids=str)
@@ -36,13 +36,15 @@ def test_strict_accepts(spark, record, field, value):
 @pytest.mark.parametrize("record, field, value", [
     ({"s": 5}, "s", "5"), ({"s": 1234567}, "s", "1.234567e+06"), ({"s": True}, "s", "true"), ({"i": 42.5}, "i", 42), ({"i": -3.9}, "i", -3),
     ({"i": "42"}, "i", 42), ({"i": "12abc"}, "i", 12), ({"i": " -7"}, "i", -7), ({"f": "42.5"}, "f", 42.5), ({"f": "1e3x"}, "f", 1000.0),
-    ({"f": 42}, "f", 42.0), ({"l": ["a", 5, None]}, "l", ["a", "5", ""]), ({"m": {"k": 1}}, "m", {"k": "1"}), ({"b": True}, "b", True)], ids=str)
+    ({"f": 42}, "f", 42.0), ({"l": ["a", 5, None]}, "l", ["a", "5", ""]), ({"m": {"k": 1}}, "m", {"k": "1"}), ({"b": True}, "b", True),
+    ({"n": 42.5}, "n", 42), ({"n": 0}, "n", 0)], ids=str)
 def test_lenient_converts(spark, record, field, value):
     assert one(spark, record, "lenient")[field] == value
 
 
 @pytest.mark.parametrize("record", [{"i": "abc"}, {"i": True}, {"i": []}, {"i": "99999999999999999999"}, {"f": "abc"}, {"b": 1}, {"b": "true"},
-                                    {"l": "not a list"}, {"m": "not a map"}, {"v": 3}, "{broken"], ids=str)
+                                    {"l": "not a list"}, {"m": "not a map"}, {"v": 3}, {"n": -1.5}, {"n": "42"}, "{broken"],
+                         ids=str)
 def test_lenient_rejects(spark, record):
     assert one(spark, record, "lenient") is None
 

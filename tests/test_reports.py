@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tamis import Check, bad_rows, good_rows, report, rule_set, summarize, validate, write_split
 from tamis.operators import report as rep
-from tamis.plans.ruleset import integer, optional, real, required, text, texts
+from tamis.plans.ruleset import integer, optional, real, required, text, texts, time
 
 RULES = rule_set(
     "Row", integer("a", required, gte=0), text("b", optional, max=3), texts("c", optional, each=dict(min=1)), style="generic",
@@ -89,3 +89,11 @@ def test_user_checks_and_base_style(spark):
     assert [e.code for e in rows[0].errors] == ["REQUIRED_FIELD_MISSING", "INVALID_EMAIL_FORMAT"]
     assert rows[0].errors[0].message == "Field 'Total' is required"
     assert [w.message for w in rows[1].warnings] == ["only 5.0"]
+
+
+def test_columns_of_a_plain_table(spark):
+    """Times without zone, decimals and short integers of an ordinary table are accepted."""
+    rules = rule_set("T", time("at", required, gtefield="since"), time("since"), real("d", gt=0), integer("i", required), style="generic")
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:00' AS at, TIMESTAMP_NTZ '2024-01-02 00:00:00' AS since,"
+                   " CAST(0 AS DECIMAL(10, 2)) AS d, CAST(1 AS SMALLINT) AS i")
+    assert [e.code for e in validate(df, rules).first().errors] == ["gtefield", "gt"]
