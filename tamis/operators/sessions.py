@@ -40,13 +40,25 @@ def start_sessions(control: DataFrame) -> DataFrame:
                         "threshold")
 
 
-SALTS = 32  # tasks that share the rows of one session in a join
+SALTS = 32  # tasks that share the rows of one large session in a join
+LARGE = 1000  # a session is large when it holds more than one row in so many; hence fewer than so many are
+
+
+def _large(rows: DataFrame) -> DataFrame:
+    """Sessions that hold more than 1/LARGE of all rows: fewer than LARGE ids, whatever the size of the table."""
+    sizes = rows.groupBy("batch_id").agg(F.count("*").alias("n")).withColumn("all", F.lit(1))
+    total = sizes.groupBy("all").agg(F.sum("n").alias("total"))  # one row
+    return sizes.join(F.broadcast(total), "all").filter(F.col("n") * LARGE > F.col("total")).select(
+        "batch_id", F.lit(SALTS).alias("salts"))
 
 
 def _with_facts(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-    """Join rows to one row of facts per session, spreading each session over several tasks (column ``salt``)."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("ts"), F.lit(SALTS)).cast("int"))
-    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Join rows to one row of facts per session; large sessions are spread over several tasks (``salt``)."""
+    large = F.broadcast(_large(rows))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = rows.join(large, "batch_id", "left").withColumn("salt", F.pmod(F.xxhash64("ts"), salts)).drop("salts")
+    copies = facts.join(large, "batch_id", "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint")))).drop("salts")
     return salted.join(copies, ["batch_id", "salt"], how)
 
 

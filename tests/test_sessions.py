@@ -34,6 +34,14 @@ def test_states_do_not_depend_on_order(spark, shuffle):
     assert {(r.batch_id, r.reason) for r in ses.rejected_chunks(*tables(spark, shuffle)).collect()} == REJECTED
 
 
+def test_only_large_sessions_are_spread(spark):
+    rows = spark.range(5000).selectExpr("if(id < 2500, 'hot', cast(id AS STRING)) AS batch_id", "timestamp_seconds(id) AS ts")
+    facts = rows.select("batch_id").distinct().withColumn("x", F.length("batch_id"))
+    joined = ses._with_facts(rows, facts)
+    assert joined.count() == 5000
+    assert {r.batch_id: r.n for r in joined.groupBy("batch_id").agg(F.countDistinct("salt").alias("n")).filter("n > 1").collect()} == {"hot": 32}
+
+
 def test_status_over_time(spark):
     control, chunks = tables(spark)
     at = {t: {r.batch_id: r for r in ses.sessions(control, chunks, f"2024-01-01T{t}Z").collect()} for t in ("00:35:00", "01:10:00", "01:11:00")}
