@@ -38,7 +38,7 @@ def seed_sql(name: str, columns: dict[str, str]) -> str:
 
 def utc(expr: str) -> str:
     """Spark only: a time without zone, read as UTC whatever the session's zone is."""
-    return f"to_utc_timestamp(cast({expr} AS TIMESTAMP), current_timezone())"
+    return f"from_utc_timestamp(cast({expr} AS TIMESTAMP), current_timezone())"
 
 
 def joined(cases: list[tuple[str, str]]) -> str:

@@ -224,7 +224,7 @@ def scalar_queries() -> list[Query]:
     low = "lower(text)"
     first_case = " ".join(f"WHEN contains({low}, '{w}') THEN '{w}'" for w in WORDS)
     all_case = ", ".join(f"CASE WHEN contains({low}, '{w}') THEN '{w}' END" for w in WORDS)
-    since = "to_utc_timestamp(cast(ts AS TIMESTAMP), current_timezone())"
+    since = "from_utc_timestamp(cast(ts AS TIMESTAMP), current_timezone())"
     at = "timestamp_seconds(1706745600)"
     return [
         scalar_query("f01_first_contained", "documents", D, "text", scalars.first_contained(low, WORDS), f"CASE {first_case} END", "word"),
