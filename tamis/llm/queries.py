@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import lines, quality
+from tamis.llm import lines, ngram_join, quality
 from tamis.llm.tables import Query, fold, table
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.grouped(table(spark, sf, "documents"))
+
+
+OP5 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND a.n * 10 >= b.n * 9 AND b.n * 10 >= a.n * 9
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(s.sh) AS n_shingles, m.component_id FROM s JOIN m USING (doc_id)"""
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = lines.dedup(table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -33,6 +48,7 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 def all_queries() -> list[Query]:
     return [
+        Query("op5_ngram_jaccard_join", op5_ngram_jaccard_join, OP5),
         Query("op7_line_dedup", op7_line_dedup, OP7),
         Query("op9_quality_classifier", op9_quality_classifier),
     ]
