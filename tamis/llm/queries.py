@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import lines, ngram_join, quality
+from tamis.llm import lines, ngram_join, phrase_index, quality
 from tamis.llm.tables import Query, fold, table
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    out = phrase_index.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP4 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i:i + 9], ' '))) AS g, least(len(ws), 10) AS k FROM b WHERE len(ws) > 0),
+z AS (SELECT DISTINCT k FROM q),
+o AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS i, ws FROM d, z WHERE len(ws) >= k),
+m AS (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM o),
+h AS (SELECT m.doc_id, m.i, m.k, q.item_id FROM m JOIN q ON m.g = q.g AND m.k = q.k),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM h)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.grouped(table(spark, sf, "documents"))
 
@@ -48,6 +67,7 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 def all_queries() -> list[Query]:
     return [
+        Query("op4_benchmark_decontamination", op4_benchmark_decontamination, OP4),
         Query("op5_ngram_jaccard_join", op5_ngram_jaccard_join, OP5),
         Query("op7_line_dedup", op7_line_dedup, OP7),
         Query("op9_quality_classifier", op9_quality_classifier),
