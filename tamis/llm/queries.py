@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import lines, ngram_join, phrase_index, quality
+from tamis.llm import lines, mixture, ngram_join, phrase_index, quality
 from tamis.llm.tables import Query, fold, table
 
 
+def op3_mixing_sources(spark: SparkSession, sf: str) -> DataFrame:
+    out = mixture.mix(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     out = phrase_index.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -67,6 +72,7 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 def all_queries() -> list[Query]:
     return [
+        Query("op3_mixing_sources", op3_mixing_sources),
         Query("op4_benchmark_decontamination", op4_benchmark_decontamination, OP4),
         Query("op5_ngram_jaccard_join", op5_ngram_jaccard_join, OP5),
         Query("op7_line_dedup", op7_line_dedup, OP7),
