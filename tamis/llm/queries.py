@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import lines, mixture, ngram_join, phrase_index, quality
+from tamis.llm import lines, mixture, ngram_join, phrase_index, quality, toxicity
 from tamis.llm.tables import Query, fold, table
 
 
@@ -61,6 +61,14 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (drop_it) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT drop_it), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    tagged = toxicity.tag(docs, toxicity.train(docs, table(spark, sf, "labels")))
+    held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return tagged.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"),
+                         (F.col("toxicity") >= 0.7).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf, "labels"))
@@ -76,5 +84,6 @@ def all_queries() -> list[Query]:
         Query("op4_benchmark_decontamination", op4_benchmark_decontamination, OP4),
         Query("op5_ngram_jaccard_join", op5_ngram_jaccard_join, OP5),
         Query("op7_line_dedup", op7_line_dedup, OP7),
+        Query("op8_toxicity", op8_toxicity),
         Query("op9_quality_classifier", op9_quality_classifier),
     ]
