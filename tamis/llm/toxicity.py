@@ -12,7 +12,9 @@ Forward and backward passes run over all tokens of a batch at once: the tokens a
 matrix product of every block is formed side by side, the block products are chained, and the marginals follow from each
 block's entry. The first token of a document ignores what precedes it, so documents need no padding.
 
-Only the training sample is bounded (``most`` labelled documents of each class); every token of every document is scored.
+Only the training sample is bounded: ``most`` labelled documents of each class for the frequencies, which Spark counts, and of
+these, in hash order, as many as make ``most_bytes`` of text for the fit, which runs on the driver. Every token of every document is
+scored.
 Null, empty and blank texts have no tokens and get the score of a document without toxic tokens.
 """
 
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
@@ -108,7 +110,7 @@ class Field:
         after = np.full(len(mine), -1)
         after[:-1] = np.where(first[1:], -1, mine[1:])
         columns = [mine, np.where(before >= 0, before + self.base[1], -1), np.where(after >= 0, after + self.base[2], -1)]
-        return Tokens(np.column_stack(columns + [c[words.codes] for c in per_word]), words.of, words)
+        return Tokens(np.column_stack(columns + [c[words.codes] for c in per_word]).astype(np.int32), words.of, words)
 
     def marginals(self, features: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(probability of the toxic state, joint probabilities of neighbouring states; zero at first tokens)."""
@@ -230,7 +232,8 @@ def _frequencies(docs: DataFrame) -> DataFrame:
     return counts.groupBy("kind", "name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 2_000, features: int = 4_000, parts: int = 3, held: int = 1, steps: int = 60) -> Field:
+def train(docs: DataFrame, labels: DataFrame, most: int = 4_000, most_bytes: int = 6 << 20, features: int = 4_000, parts: int = 3, held: int = 1,
+          steps: int = 60) -> Field:
     """Fit on at most ``most`` labelled documents of each class outside the held-out fold, with at most ``features`` words
     and word beginnings, the most telling ones. A document labelled twice is toxic if any label says so; null labels count
     as none. Without documents of both classes the field stays untrained and all scores are equal."""
@@ -244,10 +247,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 2_000, features: int =
         return Field([], [])
     # how much likelier a toxic document holds it, and how surely (a lower bound on the ratio by one deviation)
     rate = (F.col("toxic") - F.sqrt("toxic")) / sizes[1] / ((F.col("clean") + 0.5) / sizes[0])
-    telling = _frequencies(sample).where((F.col("toxic") >= 5) & (rate > 6)).withColumn("telling", F.log(rate) * F.col("toxic"))
+    telling = _frequencies(sample).where((F.col("toxic") >= 4) & (rate > 6)).withColumn("telling", F.log(rate) * F.col("toxic"))
     names = telling.orderBy(F.desc("telling"), "kind", "name").limit(features).collect()
     field = Field([r["name"] for r in names if r["kind"] == "word"], [r["name"] for r in names if r["kind"] == "prefix"])
-    texts = sample.toPandas().sort_values("doc_id", kind="stable")
+    # at most 2 * most rows, of which few enough are kept that the driver can hold them; both classes alike
+    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id"))
+    texts = sample.withColumn("upto", upto).where(F.col("upto") <= most_bytes // 2).toPandas().sort_values("doc_id", kind="stable")
+    if texts["toxic"].nunique() < 2:
+        return Field([], [])
     tokens = field.tokens(pa.array(texts["text"], pa.string()))
     y = texts["toxic"].to_numpy()
     marked = (tokens.features[:, [0, 4, 5]] >= 0).any(axis=1)  # own word or its beginning
