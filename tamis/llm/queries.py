@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import lines, mixture, ngram_join, phrase_index, quality, toxicity
+from tamis.llm import lines, mixture, mtree, ngram_join, phrase_index, quality, toxicity
 from tamis.llm.tables import Query, fold, table
 
 
+def op1_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").where("vec_id IS NOT NULL")
+    vectors = rows.select("vec_id", mtree.whole_vectors("embedding").alias("v")).where("v IS NOT NULL")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return mtree.top_k(mtree.build(vectors), queries, 5)
+
+
+OP1 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def op3_mixing_sources(spark: SparkSession, sf: str) -> DataFrame:
     out = mixture.mix(table(spark, sf, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
@@ -80,6 +94,7 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 def all_queries() -> list[Query]:
     return [
+        Query("op1_exact_top_k", op1_exact_top_k, OP1),
         Query("op3_mixing_sources", op3_mixing_sources),
         Query("op4_benchmark_decontamination", op4_benchmark_decontamination, OP4),
         Query("op5_ngram_jaccard_join", op5_ngram_jaccard_join, OP5),
