@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import lines, mixture, mtree, ngram_join, phrase_index, quality, toxicity
+from tamis.llm import html_text, lines, mixture, mtree, ngram_join, phrase_index, quality, toxicity
 from tamis.llm.tables import Query, fold, table
 
 
@@ -23,6 +23,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_mixing_sources(spark: SparkSession, sf: str) -> DataFrame:
     out = mixture.mix(table(spark, sf, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
@@ -95,6 +99,7 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def all_queries() -> list[Query]:
     return [
         Query("op1_exact_top_k", op1_exact_top_k, OP1),
+        Query("op2_html_extraction", op2_html_extraction),
         Query("op3_mixing_sources", op3_mixing_sources),
         Query("op4_benchmark_decontamination", op4_benchmark_decontamination, OP4),
         Query("op5_ngram_jaccard_join", op5_ngram_jaccard_join, OP5),
