@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import html_text, lines, mixture, mtree, ngram_join, phrase_index, quality, toxicity
+from tamis.llm import html_text, lines, mixture, mtree, ngram_join, phrase_index, quality, toxicity, url_filter
 from tamis.llm.tables import Query, fold, table
 
 
@@ -96,6 +96,19 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
                          (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
+RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def all_queries() -> list[Query]:
     return [
         Query("op1_exact_top_k", op1_exact_top_k, OP1),
@@ -106,4 +119,5 @@ def all_queries() -> list[Query]:
         Query("op7_line_dedup", op7_line_dedup, OP7),
         Query("op8_toxicity", op8_toxicity),
         Query("op9_quality_classifier", op9_quality_classifier),
+        Query("op10_url_filters", op10_url_filters),
     ]
