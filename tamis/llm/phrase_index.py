@@ -128,7 +128,8 @@ def search(index: DataFrame, queries: DataFrame, within: int | None = None) -> D
     """Matches of ``queries`` (query_id string, terms array<string>, not empty): query_id, doc_id, start (word number in its
     document, from 0), length (words). Exact phrases, or, with ``within``, proximity matches. Several documents of one id
     are told apart by ``segment`` and ``doc_start``."""
-    terms = queries.select(F.explode(F.array_distinct("terms")).alias("term")).distinct()
+    # written first, so that the size is known when the join is planned: the postings move only if the terms are too many to send out
+    terms = stored(queries.select(F.explode(F.array_distinct("terms")).alias("term")).distinct(), "terms")
     lists = stored(index.where("kind = 'term'").select("segment", "term", "n", "width", "postings").join(terms, "term", "left_semi"), "lists")
     total = lists.groupBy("term").agg(F.sum("n").alias("total"))
     spread = queries.select("query_id", "terms", F.explode("terms").alias("term"))
