@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import html_text, lines, mixture, mtree, ngram_join, phrase_index, quality, toxicity, url_filter
+from tamis.llm import chat, html_text, lines, mixture, mtree, ngram_join, phrase_index, quality, toxicity, url_filter
 from tamis.llm.tables import Query, fold, table
 
 
@@ -66,6 +66,10 @@ m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT s.doc_id, len(s.sh) AS n_shingles, m.component_id FROM s JOIN m USING (doc_id)"""
 
 
+def op6_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.formatted(table(spark, sf, "conversations")).drop("place")
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = lines.dedup(table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -116,6 +120,7 @@ def all_queries() -> list[Query]:
         Query("op3_mixing_sources", op3_mixing_sources),
         Query("op4_benchmark_decontamination", op4_benchmark_decontamination, OP4),
         Query("op5_ngram_jaccard_join", op5_ngram_jaccard_join, OP5),
+        Query("op6_chat_formatting", op6_chat_formatting),
         Query("op7_line_dedup", op7_line_dedup, OP7),
         Query("op8_toxicity", op8_toxicity),
         Query("op9_quality_classifier", op9_quality_classifier),
