@@ -97,17 +97,18 @@ def dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int
     All rows and columns stay; columns of these names that are already there are replaced. Rows that share a doc_id are one
     document, whose lines are counted once. Rows with a null doc_id lose no line."""
     spark = docs.sparkSession
-    docs = docs.drop("lines", "n_lines", "n_dropped", "kept", "surplus")
+    docs = docs.drop("lines", "n_lines", "n_dropped", "kept")
     lines = stored(line_table(docs.where("doc_id IS NOT NULL"), min_chars, batches), "lines", "batch")
     runs = Runs(spark, fanout)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b).select("hash", "doc_id"))
-    drops = surplus(lines, runs.repeated(min_docs))
-    # the join key of rows without surplus lines costs nothing here: all rows are kept by the left join
+    drops = surplus(lines, runs.repeated(min_docs)).withColumnRenamed("surplus", "__surplus")
     joined = docs.join(drops, "doc_id", "left").withColumn("lines", lines_of("text"))
     n = F.size("lines")
-    places = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("surplus", F.array().cast("array<int>")))
-    out = joined.withColumn("n_lines", n.cast("long")).withColumn("places", places)
-    kept = F.array_join(F.transform("places", lambda i: F.get(F.col("lines"), i)), "\n")
-    return (out.withColumn("kept", F.when(F.col("surplus").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept))
-            .withColumn("n_dropped", F.col("n_lines") - F.size("places")).drop("places", "surplus"))
+    # places that stay, by a hash set and in order: time in proportion to the lines, however many go
+    places = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("__surplus", F.array().cast("array<int>")))
+    out = joined.withColumn("n_lines", n.cast("long")).withColumn("__places", places)
+    kept = F.array_join(F.transform("__places", lambda i: F.get(F.col("lines"), i)), "\n")
+    out = (out.withColumn("kept", F.when(F.col("__surplus").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept))
+           .withColumn("n_dropped", F.col("n_lines") - F.size("__places")))
+    return out.select(*docs.columns, "lines", "n_lines", "n_dropped", "kept")

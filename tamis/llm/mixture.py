@@ -129,17 +129,24 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7, b
         F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("units"))  # at most a unit per pass
     plan = stored(planned.join(dealt, ["nth", "block"], "left").select("nth", "block", "units", "passes", "cut", "last_place"), "plan")
 
-    joined = (docs.withColumn("size", n_words("text")).withColumn("place", place(seed))
-              .join(of_source.drop("weight"), F.col("source").eqNullSafe(F.col("of_source"))).withColumn("block", block)
-              .join(plan, ["nth", "block"]))
-    whole = F.col("cut").isNull() | (F.col("place") <= F.col("last_place"))
-    draws = F.filter(F.coalesce("units", F.array().cast("array<struct<pass:int,shard:int>>")), lambda u: (u["pass"] < F.col("passes")) | F.coalesce(whole, F.lit(False)))
-    return joined.withColumn("draws", draws).withColumn("shards", F.lit(shards)).select(*docs.columns, *added)
+    # names of their own, so that no column of the input clashes
+    own = docs.select(*docs.columns, n_words("text").alias("__size"), place(seed).alias("__place"))
+    sources = of_source.select(*[F.col(c).alias(f"__{c}") for c in ("of_source", "nth", "source_size", "target", "blocks")])
+    plan = plan.select(*[F.col(c).alias(f"__of_{c}") for c in ("nth", "block", "units", "passes", "cut", "last_place")])
+    number = F.pmod(F.col("__place"), F.col("__blocks").cast("bigint")).cast("int")
+    joined = own.join(sources, F.col("source").eqNullSafe(F.col("__of_source")))
+    joined = joined.join(plan, (F.col("__nth") == F.col("__of_nth")) & (number == F.col("__of_block")))
+    whole = F.col("__of_cut").isNull() | F.coalesce(F.col("__place") <= F.col("__of_last_place"), F.lit(False))
+    units = F.coalesce("__of_units", F.array().cast("array<struct<pass:int,shard:int>>"))
+    draws = F.filter(units, lambda u: (u["pass"] < F.col("__of_passes")) | whole)
+    return joined.select(*docs.columns, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+                         F.lit(shards).alias("shards"), draws.alias("draws"))
 
 
 def mixed_rows(mixed: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: every row as often as it was drawn, with ``pass`` and ``shard``; one partition holds whole shards, each
     in an order of its own. Documents that are not drawn are not in it."""
-    rows = mixed.drop("pass", "shard").withColumn("draw", F.explode("draws")).withColumn("pass", F.col("draw.pass")).withColumn("shard", F.col("draw.shard"))
+    rows = mixed.drop("pass", "shard")
+    rows = rows.select(*[c for c in rows.columns if c not in ("draws", "shards")], F.inline("draws"))
     order = F.xxhash64(F.lit(seed + 2), "shard", "pass", "doc_id", F.xxhash64("text"))
-    return rows.drop("draw", "draws", "shards").repartition(F.col("shard")).sortWithinPartitions("shard", order)
+    return rows.repartition(F.col("shard")).sortWithinPartitions("shard", order)
