@@ -105,6 +105,8 @@ def leaf_value(f: Field, i: int, k: str, spoil: bool = True) -> tuple[str, str]:
         good, typ, bad = f"(({k} % 90) / 100.0)", "double", ["-0.5", "1.0", "1.5", "0.0"]
     elif f.kind == "flag":
         return f"CASE WHEN {mode} = 0 THEN NULL ELSE {k} % 2 = 0 END", "boolean"
+    elif f.kind == "deep":
+        return "NULL", "string"  # deeper nesting has a query of its own
     elif f.kind == "any":
         return f"CASE WHEN {mode} = 0 THEN NULL ELSE '{{\"k\": ' || {k} || '}}' END", "string"
     else:
@@ -135,7 +137,6 @@ DUCK = {
     "hexcolor": lambda c, p: f"NOT regexp_matches({c}, '^#?[0-9a-fA-F]{{6}}$')",
     "oneof": lambda c, p: f"{c} NOT IN ({', '.join(q(w) for w in str(p).split())})",
     "boolean": lambda c, p: "false",
-    "nesting_limit": lambda c, p: "true",
 }
 SIZE = {"min": "<", "max": ">", "len": "<>", "gt": "<=", "gte": "<", "lte": ">", "eq": "<>"}
 
@@ -241,7 +242,7 @@ class Flat:
             sql = f"cast({self.spec.values.get(at, sql if needed else 'NULL')} AS {typ})"
         c = self.column(sql)
         zero = {"string": "''", "bigint": "0", "double": "0", "boolean": "false"}[typ]
-        pointer = f.nullable or f.kind == "any"
+        pointer = f.nullable or f.kind in ("any", "deep")
         v = c if pointer else f"coalesce({c}, {zero})"
         absent = f"{c} IS NULL" if pointer else f"{v} = {zero}"
         self.names[at] = v

@@ -213,7 +213,6 @@ RULES: dict[str, Callable[[str, str, object], str]] = {
     "hostname_rfc1123": not_hostname_rfc1123,
     "github_username": mismatch(PATTERNS["github_username"]),
     "hexcolor": mismatch(PATTERNS["hexcolor"]),
-    "nesting_limit": lambda v, kind, param: "true",  # structure deeper than the declared depth
 }
 
 

@@ -5,7 +5,7 @@ from tamis.functions.scalars import (
 )
 from tamis.functions.text import count_of, quote
 from tamis.plans.ruleset import (
-    Check, RuleSet, anything, duration, flag, integer, optional, real, record, records, required, rule_set, text,
+    Check, RuleSet, anything, deep, duration, flag, integer, optional, real, record, records, required, rule_set, text,
     text_map, texts, time, value_map, values,
 )
 
@@ -314,34 +314,35 @@ EXAMPLE = rule_set(
 )
 
 
-def schema_rules(depth: int = 4) -> RuleSet:
-    """A JSON schema description; ``items`` nests, up to ``depth`` levels are checked.
+SCHEMA_STEP = rule_set(
+    "APISchema",
+    text("type", optional, oneof="string number integer boolean array object null"),
+    text("format", optional),
+    text("pattern", optional),
+    integer("min_length", optional, nullable=True, gte=0),
+    integer("max_length", optional, nullable=True, gte=0),
+    real("minimum", nullable=True),
+    real("maximum", nullable=True),
+    values("enum", optional),
+    value_map("properties", optional),  # map values are not descended into
+    texts("required", optional, each=dict(min=1)),
+    text("description", optional, max=1000),
+    anything("example"),
+    anything("default"),
+    flag("read_only"),
+    flag("write_only"),
+    flag("deprecated"),
+    style="api",
+)
+BEFORE_ITEMS = 9
+
 
-    What lies deeper stays as JSON text and is reported as `nesting_limit`, never passed over silently.
-    """
-    items = (record("items", schema_rules(depth - 1), optional, nullable=True) if depth
-             else anything("items", optional, nesting_limit=True))
-    return rule_set(
-        f"APISchema{depth}",
-        text("type", optional, oneof="string number integer boolean array object null"),
-        text("format", optional),
-        text("pattern", optional),
-        integer("min_length", optional, nullable=True, gte=0),
-        integer("max_length", optional, nullable=True, gte=0),
-        real("minimum", nullable=True),
-        real("maximum", nullable=True),
-        values("enum", optional),
-        value_map("properties", optional),  # map values are not descended into
-        items,
-        texts("required", optional, each=dict(min=1)),
-        text("description", optional, max=1000),
-        anything("example"),
-        anything("default"),
-        flag("read_only"),
-        flag("write_only"),
-        flag("deprecated"),
-        style="api",
-    )
+def schema_rules(levels: int = 1) -> RuleSet:
+    """A JSON schema description; ``items`` nests to any depth, of which ``levels`` are unrolled into structs."""
+    items = (record("items", schema_rules(levels - 1), optional, nullable=True) if levels
+             else deep("items", SCHEMA_STEP, BEFORE_ITEMS))
+    fields = SCHEMA_STEP.fields
+    return SCHEMA_STEP.with_(name=f"APISchema{levels}", fields=(*fields[:BEFORE_ITEMS], items, *fields[BEFORE_ITEMS:]))
 
 
 SCHEMA = schema_rules().with_(name="APISchema")

@@ -5,7 +5,7 @@ from tamis.functions.scalars import (
 )
 from tamis.functions.text import count_of
 from tamis.plans.ruleset import (
-    Check, RuleSet, anything, duration, flag, integer, optional, real, record, records, required, rule_set, text,
+    Check, RuleSet, anything, deep, duration, flag, integer, optional, real, record, records, required, rule_set, text,
     texts, time, value_map, values,
 )
 
@@ -53,27 +53,26 @@ JOIN_INFO = rule_set(
 )
 
 
-def plan_operation(depth: int = 4) -> RuleSet:
-    """A step of a query plan; steps nest and ``depth`` levels of children are checked.
+STEP = rule_set(
+    "DatabasePlanOperation",
+    text("type", required, min=1),
+    text("table", optional, min=1),
+    text("index", optional, min=1),
+    integer("rows", optional, gte=0),
+    real("cost", optional, gte=0),
+    duration("duration", optional, gte=0),
+    text("filter", optional),
+    texts("sort", optional, each=dict(min=1)),
+    record("join", JOIN_INFO, optional, nullable=True),
+    style="database",
+)
+
 
-    What lies deeper stays as JSON text and is reported as `nesting_limit`, never passed over silently.
-    """
-    children = (records("children", plan_operation(depth - 1), optional) if depth
-                else anything("children", optional, nesting_limit=True))
-    return rule_set(
-        f"DatabasePlanOperation{depth}",
-        text("type", required, min=1),
-        text("table", optional, min=1),
-        text("index", optional, min=1),
-        integer("rows", optional, gte=0),
-        real("cost", optional, gte=0),
-        duration("duration", optional, gte=0),
-        text("filter", optional),
-        texts("sort", optional, each=dict(min=1)),
-        record("join", JOIN_INFO, optional, nullable=True),
-        children,
-        style="database",
-    )
+def plan_operation(levels: int = 2) -> RuleSet:
+    """A step of a query plan; steps nest to any depth, of which ``levels`` are unrolled into structs."""
+    children = (records("children", plan_operation(levels - 1), optional) if levels
+                else deep("children", STEP, len(STEP.fields), many=True))
+    return STEP.with_(name=f"DatabasePlanOperation{levels}", fields=(*STEP.fields, children))
 
 
 PLAN_OPERATION = plan_operation().with_(name="DatabasePlanOperation")

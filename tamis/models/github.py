@@ -5,7 +5,7 @@ from tamis.functions.scalars import (
 )
 from tamis.functions.text import count_of
 from tamis.plans.ruleset import (
-    Check, RuleSet, anything, flag, integer, optional, record, records, required, rule_set, text, texts, time,
+    Check, RuleSet, anything, deep, flag, integer, optional, record, records, required, rule_set, text, texts, time,
 )
 
 # fixed values: word lists, all lower case
@@ -110,29 +110,28 @@ LABEL = rule_set(
 )
 
 
-def team(depth: int = 2) -> RuleSet:
-    """A team; parent teams nest and ``depth`` levels are checked.
+TEAM_STEP = rule_set(
+    "Team",
+    integer("id", required, gt=0),
+    text("node_id", required, min=1),
+    text("url", required, url=True),
+    text("html_url", required, url=True),
+    text("name", required, min=1, max=255),
+    text("slug", required, min=1, max=255),
+    text("description", optional, nullable=True, max=255),
+    text("privacy", required, oneof="closed secret"),
+    text("permission", required, oneof="pull push admin maintain triage"),
+    text("members_url", required, url=True),
+    text("repositories_url", required, url=True),
+    style="github",
+)
+
 
-    What lies deeper stays as JSON text and is reported as `nesting_limit`, never passed over silently.
-    """
-    parent = (record("parent", team(depth - 1), optional, nullable=True) if depth
-              else anything("parent", optional, nesting_limit=True))
-    return rule_set(
-        f"Team{depth}",
-        integer("id", required, gt=0),
-        text("node_id", required, min=1),
-        text("url", required, url=True),
-        text("html_url", required, url=True),
-        text("name", required, min=1, max=255),
-        text("slug", required, min=1, max=255),
-        text("description", optional, nullable=True, max=255),
-        text("privacy", required, oneof="closed secret"),
-        text("permission", required, oneof="pull push admin maintain triage"),
-        text("members_url", required, url=True),
-        text("repositories_url", required, url=True),
-        parent,
-        style="github",
-    )
+def team(levels: int = 1) -> RuleSet:
+    """A team; parent teams nest to any depth, of which ``levels`` are unrolled into structs."""
+    parent = (record("parent", team(levels - 1), optional, nullable=True) if levels
+              else deep("parent", TEAM_STEP, len(TEAM_STEP.fields)))
+    return TEAM_STEP.with_(name=f"Team{levels}", fields=(*TEAM_STEP.fields, parent))
 
 
 TEAM = team().with_(name="Team")

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from tamis.functions import predicates
 from tamis.functions.text import ZERO_TIME, any_of, ident, moment, quote, template
-from tamis.plans import messages
+from tamis.plans import messages, nesting
 from tamis.plans.ruleset import Check, Field, PerElement, Rule, RuleSet
 
 ERROR_TYPE = (
@@ -30,6 +30,15 @@ NO_WARNINGS = f"cast(array() AS ARRAY<{WARNING_TYPE}>)"
 NO_TEXT = "cast(NULL AS STRING)"
 
 
+# RFC 3339 with up to nine decimals; a custom pattern also switches off the lenient time parser
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"
+
+
+def decoded_step(rs: RuleSet, text: str) -> str:
+    """SQL of one step of a structure that nests in itself, decoded from JSON."""
+    return f"from_json({text}, {quote(rs.ddl)}, map('timestampFormat', {quote(TIME_FORMAT)}))"
+
+
 def error_struct(field: str, message: str, code: str, value: str = NO_TEXT, expected: str = NO_TEXT,
                  constraint: str = NO_TEXT, path: str = NO_TEXT, severity: str = NO_TEXT) -> str:
     return (
@@ -252,13 +261,29 @@ class Compiler:
             if f.nullable:
                 return Segment("many", f"CASE WHEN {r} IS NOT NULL THEN {sql} ELSE {NO_ERRORS} END"), f"{r} IS NOT NULL AND {fails}"
             return Segment("many", sql), fails
+        if f.kind == "deep":
+            return Segment("many", self._deep(f, r, prefix, level)), f"{r} IS NOT NULL"
         return None
 
-    def _structure(self, rs: RuleSet, x: str, prefix: Pieces, level: int, scope: "Scope"
+    def _deep(self, f: Field, r: str, prefix: Pieces, level: int) -> str:
+        """Errors of the steps below ``r`` in the order of their paths: the fields declared before the nested one, what is
+        nested, the other fields."""
+        d, e = f"d{level}", f"de{level}"
+        halves = []
+        for key, fields in ((f"{d}.k", f.of.fields[:f.place]), (f"concat({d}.k, array({nesting.LAST}))", f.of.fields[f.place:])):
+            parts, fails = self._structure(f.of, f"{d}.x", (("sql", f"{d}.p"),), level + 1, Scope(top=False), fields)
+            found = NO_ERRORS if fails == "false" else f"CASE WHEN {fails} THEN {assemble(parts, NO_ERRORS)} ELSE {NO_ERRORS} END"
+            halves.append(f"named_struct('k', {key}, 'e', {found})")
+        steps = nesting.steps_sql(f, r, to_sql(prefix), level)
+        typed = f"transform({steps}, {e} -> named_struct('p', {e}.p, 'k', {e}.k, 'x', {decoded_step(f.of, e + '.j')}))"
+        ordered = f"array_sort(flatten(transform({typed}, {d} -> array({', '.join(halves)}))))"
+        return f"flatten(transform({ordered}, {e} -> {e}.e))"
+
+    def _structure(self, rs: RuleSet, x: str, prefix: Pieces, level: int, scope: "Scope", fields: tuple[Field, ...] | None = None
                    ) -> tuple[list[Segment], str]:
         segments: list[Segment] = []
         fails: list[str] = []
-        for f in rs.fields:
+        for f in rs.fields if fields is None else fields:
             s, bad = self._field(f, rs, x, prefix, level, scope)
             segments += s
             fails += bad

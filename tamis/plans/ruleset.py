@@ -18,13 +18,14 @@ SCALARS = {
     "time": "TIMESTAMP",
     "duration": "BIGINT",  # nanoseconds
     "any": "STRING",  # any JSON value, kept as text
+    "deep": "STRING",  # the rest of a structure that nests in itself, kept as JSON text
     "texts": "ARRAY<STRING>",
     "values": "ARRAY<STRING>",
     "text_map": "MAP<STRING, STRING>",
     "value_map": "MAP<STRING, STRING>",
 }
 # kinds that know null by nature; the others have a zero value unless declared nullable
-NULL_AWARE = {"any", "texts", "values", "records", "text_map", "value_map"}
+NULL_AWARE = {"any", "deep", "texts", "values", "records", "text_map", "value_map"}
 
 required = "required"
 optional = "optional"
@@ -70,6 +71,8 @@ class Field:
     of: "RuleSet | None" = None  # nested rule set of `record` / `records`
     dive: bool = True  # `records` without dive are not descended into
     label: str = ""
+    many: bool = False  # `deep`: an array of structures, else one structure
+    place: int = 0  # `deep`: how many fields of the structure precede the nested one
 
     @property
     def null_aware(self) -> bool:
@@ -123,6 +126,12 @@ def records(name: str, of: "RuleSet", presence: str | None = None, *, dive: bool
                  label=label or label_of(name))
 
 
+def deep(name: str, step: "RuleSet", place: int, *, many: bool = False, label: str = "") -> Field:
+    """A structure that nests in itself to any depth under ``name``; ``step`` holds its other fields, the first ``place``
+    of which are declared before the nested one."""
+    return Field(name, "deep", (), True, not many, of=step, many=many, place=place, label=label or label_of(name))
+
+
 @dataclass(frozen=True)
 class Check:
     """A business check. ``when`` and ``{...}`` parts are SQL in which ``$a.b`` is a zero-filled field.

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from tamis.functions.scalars import json_text_sql
 from tamis.functions.text import any_of, ident, quote
+from tamis.plans import nesting
+from tamis.plans.compiler import TIME_FORMAT
 from tamis.plans.ruleset import Field, RuleSet, type_of
 
 CORRUPT = "__corrupt"
-# RFC 3339 with up to nine decimals; a custom pattern also switches off the lenient time parser
-TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"
 _OPTIONS = f"map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '{CORRUPT}', 'timestampFormat', {quote(TIME_FORMAT)})"
 
 # kinds whose JSON value must be a string / must not be a string
@@ -70,11 +70,30 @@ def _wrong(rs: RuleSet, v: str, path: str, level: int, places: dict | None) -> l
             if inner != "false":
                 items = f"try_variant_get({v}, {quote(_step(path, f.name))}, 'array<variant>')"
                 out.append(f"coalesce(exists({items}, {e} -> {inner}), false)")
+        elif f.kind == "deep":
+            out.append(_wrong_below(f, _at(v, _step(path, f.name)), level))
         else:
             out += _wrong_leaf(f, v, path, level)
     return out
 
 
+def _wrong_below(f: Field, at: str, level: int) -> str:
+    """True when what is nested below ``at`` holds, at any depth, a value of the wrong JSON type."""
+    n, s = f"wn{level}", f"ws{level}"
+    container = "ARRAY" if f.many else "OBJECT"
+    misplaced = f"coalesce(NOT startswith({_json_kind('{}')}, '{container}') AND {_json_kind('{}')} != 'VOID', false)"
+    ddl = f"{f.of.ddl}, `{CORRUPT}` STRING"
+    step = (f"named_struct('v', try_parse_json({n}.j), 'd', from_json({n}.j, {quote(ddl)}, {_OPTIONS}))")
+    leaf = any_of(_wrong(f.of, f"{s}.v", "$", level + 1, None))
+    inner = _at(f"{s}.v", f"$.{f.name}")
+    bad = (f"{s}.v IS NOT NULL AND {_json_kind(s + '.v')} != 'VOID' AND ({s}.d.`{CORRUPT}` IS NOT NULL OR NOT startswith({_json_kind(s + '.v')}, 'OBJECT')"
+           f" OR {leaf} OR {misplaced.format(inner, inner)})")
+    steps = nesting.steps_sql(f, f"to_json({at})", "''", level + 30)
+    below = f"exists(transform({steps}, {n} -> {step}), {s} -> {bad})"
+    present = f"{at} IS NOT NULL AND {_json_kind(at)} != 'VOID'"
+    return f"CASE WHEN {present} THEN {misplaced.format(at, at)} OR coalesce({below}, false) ELSE false END"
+
+
 def _repeated(rs: RuleSet, counts: dict[str, list]) -> None:
     for f in rs.fields:
         if f.kind == "record":

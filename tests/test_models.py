@@ -144,12 +144,58 @@ def test_nested_paths_and_recursion(spark):
         "DatabaseQuery.ExecutionPlan.Operations[1].Children[0].Join.Type": "oneof"}
 
 
-def test_structures_deeper_than_declared_are_reported(spark):
-    plan = {"type": "x"}
-    for _ in range(6):
-        plan = {"type": "x", "children": [plan]}
+def nested(depth, step, below, value):
+    """A structure nested ``depth`` times, the innermost of which is ``value``."""
+    out = value
+    for _ in range(depth):
+        out = {**step, below: [out] if below == "children" else out}
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 12, 40])
+def test_plans_nest_to_any_depth(spark, depth):
+    good = nested(depth, {"type": "x"}, "children", {"type": "x"})
+    bad = nested(depth, {"type": "x"}, "children", {"type": "", "rows": -1, "join": {"type": "odd", "condition": "c"}})
+    wrong = nested(depth, {"type": "x"}, "children", {"type": 5})
+    odd = nested(depth, {"type": "x"}, "children", {"type": "x", "children": {"type": "x"}})
+    plans = [{"execution_plan": {"operations": [p]}} for p in (good, bad, wrong, odd)]
+    rows = [[(e.path, e.code) for e in r.errors if e.path is None or "Operations" in e.path] for r in run(spark, "database", plans).collect()]
+    path = "DatabaseQuery.ExecutionPlan.Operations[0]" + ".Children[0]" * depth
+    assert rows[0] == []
+    assert rows[1] == [(f"{path}.Type", "required"), (f"{path}.Rows", "gte"), (f"{path}.Join.Type", "oneof")]
+    assert rows[2] == rows[3] == [(None, "JSON_UNMARSHAL_ERROR")]
+
+
+def test_deep_errors_come_in_the_order_of_their_paths(spark):
+    leaf = {"type": ""}
+    plan = nested(3, {"type": "x"}, "children", {"type": "", "children": [leaf, {"type": "", "children": [leaf, None]}, {"type": "y", "cost": -1}]})
     row = run(spark, "database", [{"execution_plan": {"operations": [plan]}}]).first()
-    assert "nesting_limit" in [e.code for e in row.errors]
+    top = "DatabaseQuery.ExecutionPlan.Operations[0]" + ".Children[0]" * 3
+    assert [e.path for e in row.errors if "Operations" in e.path] == [
+        f"{top}.Type", f"{top}.Children[0].Type", f"{top}.Children[1].Type", f"{top}.Children[1].Children[0].Type", f"{top}.Children[1].Children[1].Type", f"{top}.Children[2].Cost"]
+
+
+@pytest.mark.parametrize("depth", [1, 4, 15])
+def test_schemas_and_teams_nest_to_any_depth(spark, depth):
+    from tamis.models.api import SCHEMA
+    from tamis.models.github import TEAM
+    from tamis.operators.validate import validate
+    from tamis.sources.decode import decode
+
+    def errors(rules, record):
+        import json
+        df = decode(spark.createDataFrame([(json.dumps(record),)], "value string"), rules)
+        return [(e.field, e.code) for e in validate(df, rules, root="record", undecodable="undecodable").first().errors]
+
+    assert errors(SCHEMA, nested(depth, {"type": "array"}, "items", {"type": "string"})) == []
+    # the fields declared after the nested one are reported after what is nested
+    two = errors(SCHEMA, nested(depth, {"type": "array", "required": [""]}, "items", {"type": "odd", "min_length": -1}))
+    assert [f for f, _ in two] == ["Type", "MinLength"] + ["Required[0]"] * depth
+    assert errors(SCHEMA, nested(depth, {"type": "array"}, "items", {"type": 1}))[0][1] == "JSON_UNMARSHAL_ERROR"
+    team = {"id": 1, "node_id": "n", "url": "http://a.b/", "html_url": "http://a.b/", "name": "n", "slug": "s", "privacy": "closed", "permission": "pull",
+            "members_url": "http://a.b/", "repositories_url": "http://a.b/"}
+    assert errors(TEAM, nested(depth, team, "parent", team)) == []
+    assert [f for f, _ in errors(TEAM, nested(depth, team, "parent", {**team, "id": 0, "privacy": "open"}))] == ["ID", "Privacy"]
 
 
 def test_empty_input(spark):
