@@ -9,14 +9,15 @@ a partner must occur in at least one of the short lists (T - L = 1 with L = T -
 * Probing: candidates' remaining shingles are binary-searched in the partner's sorted set, which answers whether the partner
   is in those long lists.
 
-Lists are ordered by a table of 2**20 counters of how often shingles with the same leading hash bits occur, over all
+Lists are ordered by a table of 2**22 counters of how often shingles with the same leading hash bits occur, over all
 documents; a passage that many documents share is thus probed, not merged. Any order gives right results.
 
 Copies: documents with equal sets are one class, represented by its smallest doc_id. Near copies: every list is first
 compared with its smallest member only; members that thus fall into one component need no further comparison, so a group of
 n near copies costs about n comparisons. What remains, members of one list in different components, is compared
-completely. Before sets are fetched, pairs are tested with parity sketches: the bits in which two sketches differ
-cannot outnumber the shingles in which the sets differ, so the test loses no pair.
+completely. Pairs are tested with parity sketches, within the join by short ones, then, before sets are fetched, by ones as long
+as the sets need: the bits in which two sketches differ cannot outnumber the shingles in which the sets differ, so the tests
+lose no pair.
 
 Shingles are 64-bit hashes of words. Null or blank texts have an empty set and are linked with nothing. Rows that share a
 doc_id are one document; rows with a null doc_id are linked with nothing.
@@ -37,9 +38,11 @@ from tamis.llm.components import components
 from tamis.llm.store import discard, stored
 from tamis.llm.textbytes import NOT_SPACE, Words, by_bytes, mixed
 
-COUNTER_BITS = 20
+COUNTER_BITS = 22
 BLOCKS = 64
 SLICE = 2 << 20
+#: 64-bit words of the short sketch that joins carry.
+SHORT_SKETCH = 8
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -96,7 +99,7 @@ def _classes_and_counters(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _ranks(counts: DataFrame) -> np.ndarray:
-    """One byte per counter, growing with the logarithm of its sum over all tasks: 1 MB, whatever the input. Blocks are
+    """One byte per counter, growing with the logarithm of its sum over all tasks: 4 MB, whatever the input. Blocks are
     added up in two steps, so that no group holds more than the square root of the number of tasks."""
 
     def added(keys: list[str]):
@@ -117,24 +120,32 @@ def _ranks(counts: DataFrame) -> np.ndarray:
 
 def _short_lists(docs: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
     """Per document: size, its rarest shingles (those it posts), parity sketch."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # 2**20 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # 2**22 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE):
-                n, posted, sketches = [], [], []
+                n, posted, sketches, bits = [], [], [], []
                 for s in shingle_sets(part.column("text"), words):
                     n.append(len(s))
                     short = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     order = np.argsort(rank[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
                     posted.append(s[order[:short]].view(np.int64))
                     sketches.append(parity_sketch(s))
+                    bits.append(short_sketch(s))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(posted, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    ["doc_id", "n", "posted", "sketch"])
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(posted, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+                     pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "posted", "sketch", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, posted array<bigint>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, posted array<bigint>, sketch binary, bits array<bigint>")
+
+
+def short_sketch(s: np.ndarray) -> np.ndarray:
+    """A parity sketch of ``SHORT_SKETCH`` words, of other bits of the hashes than the long one."""
+    size = 64 * SHORT_SKETCH
+    odd = np.bincount(((s >> np.uint64(20)) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
@@ -238,10 +249,13 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame,
     rest = merged.where("length > 2 AND doc_id <> head").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     mixed_lists = rest.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    rest = stored(rest.join(mixed_lists, "shingle", "left_semi"), "rest")
-    x = rest.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rest.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_allow("na", "nb", percent))
+    words_of_sketch = [F.col("bits")[i].alias(f"s{i}") for i in range(SHORT_SKETCH)]
+    rest = stored(rest.join(mixed_lists, "shingle", "left_semi").join(lists.select("doc_id", *words_of_sketch), "doc_id"), "rest")
+    x, y = (rest.select("shingle", F.col("doc_id").alias(e), F.col("n").alias(f"n{e}"), F.col("component").alias(f"c{e}"),
+                        *[F.col(f"s{i}").alias(f"s{e}{i}") for i in range(SHORT_SKETCH)]) for e in "ab")
+    differing = sum((F.bit_count(F.col(f"sa{i}").bitwiseXOR(F.col(f"sb{i}"))) for i in range(1, SHORT_SKETCH)), F.bit_count(F.col("sa0").bitwiseXOR(F.col("sb0"))))
+    close = (100 + percent) * differing <= (100 - percent) * (F.col("na") + F.col("nb"))
+    across = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_allow("na", "nb", percent) & close)
     more = stored(_near(across.select("a", "b").distinct(), lists, percent), "pairs")
     links = links.unionByName(_linked(more, docs, words, percent))
     for done in (merged, rest, lists, pairs, more):
