@@ -132,11 +132,10 @@ def gate_per_customer(spark, sf):
 
 
 def last_bit(spark, sf):
-    """Every pair (valid, total) up to 100 x 100, derived from the row keys of the supplier table."""
-    n = table(spark, sf, "supplier").select((F.col("s_suppkey") + 1).alias("n")).filter("n <= 100")
-    pairs = n.select(F.lit(100).alias("total_records"), F.col("n").alias("valid_records"))
+    """Every supplier as a batch of 100 records, of which its key says how many are valid."""
+    pairs = table(spark, sf, "supplier").selectExpr("s_suppkey", "100 AS total_records", "1 + s_suppkey % 100 AS valid_records")
     out = pairs.withColumn("success_rate", rep.success_rate()).withColumn("invalid_records", F.expr("total_records - valid_records"))
-    return out.select("valid_records", "success_rate", rep.gate(F.col("valid_records").cast("double")).alias("status"))
+    return out.select("s_suppkey", "success_rate", rep.gate(F.col("valid_records").cast("double")).alias("status"))
 
 
 def split_counts(spark, sf):
@@ -263,6 +262,65 @@ def arrays(spark, sf):
 ARRAYS = """SELECT user_id % 50 AS k, event_id // 40 AS part, event_id AS e,
   row_number() OVER (PARTITION BY user_id % 50, event_id // 40 ORDER BY event_id) - 1 AS row_index FROM events"""
 
+# documents that are arrays, empty arrays, no arrays, no JSON, null; arrays with null elements
+DOCUMENT_SEED = {
+    "k": E,
+    "value": f"CASE {E} % 7 WHEN 0 THEN '[{{\"type\": \"t' || {E} || '\"}}, null]' WHEN 1 THEN '[]' WHEN 2 THEN '{{\"type\": \"x\"}}'"
+             f" WHEN 3 THEN 'not json' WHEN 4 THEN NULL WHEN 5 THEN '[1, 2' ELSE '[{{\"type\": 7}}]' END",
+}
+
+
+def documents(spark, sf):
+    """No document vanishes: what is no array gives one undecodable row."""
+    rows = explode_array(seed(spark, sf, "events", DOCUMENT_SEED))
+    v = validate(decode(rows, CATALOG["generic"]), CATALOG["generic"], as_of=AS_OF, root="record", undecodable="undecodable")
+    return v.select("k", "row_index", "unreadable", "undecodable", "is_valid", F.size("errors").cast("bigint").alias("n_errors"))
+
+
+# a record of the generic kind lacks three fields beside its type, a null element all four
+DOCUMENTS = """SELECT event_id AS k, CASE WHEN event_id % 7 IN (0, 6) THEN i::bigint END AS row_index, event_id % 7 IN (2, 3, 4, 5) AS unreadable,
+  event_id % 7 <> 0 AS undecodable, false AS is_valid, CAST(CASE WHEN event_id % 7 <> 0 THEN 1 WHEN i = 0 THEN 3 ELSE 4 END AS bigint) AS n_errors
+FROM events, (VALUES (0), (1)) t(i) WHERE event_id % 7 <> 1 AND (i = 0 OR event_id % 7 = 0)"""
+
+# integers with a point or an exponent, repeated keys
+ODD_RULES = rule_set("Odd", integer("n"), text("s"), real("f"))
+ODD_SEED = {
+    "k": E,
+    "value": f"CASE {E} % 8 WHEN 0 THEN '{{\"n\": ' || {E} || '.0}}' WHEN 1 THEN '{{\"n\": 1e3}}' WHEN 2 THEN '{{\"n\": 2.5}}'"
+             f" WHEN 3 THEN '{{\"n\": 1, \"n\": ' || {E} || '}}' WHEN 4 THEN '{{\"s\": \"a\", \"s\": 5}}' WHEN 5 THEN '{{\"s\": 5, \"s\": \"b\"}}'"
+             f" WHEN 6 THEN '{{\"n\": 1e30}}' ELSE '{{\"n\": -' || {E} || '.00, \"f\": 7, \"s\": \"x\"}}' END",
+}
+
+
+def odd_inputs(spark, sf):
+    out = decode(seed(spark, sf, "events", ODD_SEED), ODD_RULES)
+    return out.select("k", "undecodable", "record.n", "record.s", "record.f")
+
+
+ODD_INPUTS = """SELECT event_id AS k, event_id % 8 IN (2, 4, 6) AS undecodable,
+  CAST(CASE event_id % 8 WHEN 0 THEN event_id WHEN 1 THEN 1000 WHEN 3 THEN event_id WHEN 7 THEN -event_id END AS bigint) AS n,
+  CASE event_id % 8 WHEN 5 THEN 'b' WHEN 7 THEN 'x' END AS s, CASE WHEN event_id % 8 = 7 THEN 7::double END AS f FROM events"""
+
+# query plans nested event_id % 23 deep; every third innermost step breaks two rules, every seventh has a value of the wrong type
+DEEP_SEED = {
+    "k": E,
+    "depth": f"{E} % 23",
+    "value": f"'{{\"execution_plan\": {{\"operations\": [' || repeat('{{\"type\": \"x\", \"children\": [', cast({E} % 23 AS INT))"
+             f" || CASE WHEN {E} % 7 = 0 THEN '{{\"type\": 1}}' WHEN {E} % 3 = 0 THEN '{{\"type\": \"\", \"rows\": -1}}' ELSE '{{\"type\": \"y\"}}' END"
+             f" || repeat(']}}', cast({E} % 23 AS INT)) || ']}}}}'",
+}
+
+
+def deep(spark, sf):
+    rules = CATALOG["database"]
+    v = validate(decode(seed(spark, sf, "events", DEEP_SEED), rules), rules, as_of=AS_OF, root="record", undecodable="undecodable")
+    found = F.expr("filter(errors, e -> contains(e.path, 'Operations'))")
+    return v.select("k", "undecodable", F.array_join(F.transform(found, lambda e: F.concat(e["path"], F.lit(":"), e["code"])), ",").alias("found"))
+
+
+DEEP = """WITH d AS (SELECT event_id AS k, event_id % 7 = 0 AS undecodable, 'DatabaseQuery.ExecutionPlan.Operations[0]' || repeat('.Children[0]', CAST(event_id % 23 AS INT)) AS p FROM events)
+SELECT k, undecodable, CASE WHEN NOT undecodable AND k % 3 = 0 THEN p || '.Type:required,' || p || '.Rows:gte' ELSE '' END AS found FROM d"""
+
 ENVELOPE_SEED = {
     "k": E,
     "value": f"CASE {E} % 4 WHEN 0 THEN '{{\"model_type\": \"generic\", \"data\": [' || props || ', ' || props || '], \"threshold\": 50}}'"
@@ -291,10 +349,10 @@ def routed(spark, sf):
 
 
 # an events record in a generic request has none of the four required fields; a lenient {"type": 5} has one
-ROUTED = """SELECT event_id AS k, i::bigint AS row_index, CASE WHEN event_id % 4 = 3 THEN 'incident' ELSE 'generic' END AS model_type, false AS is_valid,
-  CAST(CASE event_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 10 END AS bigint) AS n_errors,
-  CASE WHEN event_id % 4 = 3 THEN 'IncidentValidator:VALIDATION_FAILED' ELSE 'GenericValidator:required' END AS test_name
-FROM events, (VALUES (0), (1)) t(i) WHERE (i = 0 OR event_id % 4 = 0) AND event_id % 4 <> 2"""
+ROUTED = """SELECT event_id AS k, i::bigint AS row_index, CASE event_id % 4 WHEN 3 THEN 'incident' WHEN 2 THEN 'nothing' ELSE 'generic' END AS model_type, false AS is_valid,
+  CAST(CASE event_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 10 END AS bigint) AS n_errors,
+  CASE event_id % 4 WHEN 3 THEN 'IncidentValidator:VALIDATION_FAILED' WHEN 2 THEN '' ELSE 'GenericValidator:required' END AS test_name
+FROM events, (VALUES (0), (1)) t(i) WHERE i = 0 OR event_id % 4 = 0"""
 
 
 def routed_json(spark, sf):
@@ -322,7 +380,7 @@ def unknown(spark, sf):
 
 def row_index(spark, sf):
     df = table(spark, sf, "orders").select(K, (F.lit(10_000_000) - F.col(K)).alias("place"))
-    return with_row_index(df, "place", 1000).select(K, "row_index")
+    return with_row_index(df, "place").select(K, "row_index")
 
 
 # ---- batch sessions ----------------------------------------------------------------------------
@@ -437,8 +495,8 @@ def all_queries() -> list[Query]:
               V + f", c AS (SELECT o_custkey, {COUNTS} FROM v GROUP BY o_custkey) SELECT o_custkey, {RATE} AS success_rate,"
                   f" CASE WHEN {RATE} < o_custkey % 101 THEN 'failed' ELSE 'success' END AS status FROM c"),
         Query("g03_last_bit", last_bit,
-              "SELECT s_suppkey + 1 AS valid_records, (s_suppkey + 1) / 100 * 100.0 AS success_rate,"
-              " CASE WHEN (s_suppkey + 1) / 100 * 100.0 < s_suppkey + 1 THEN 'failed' ELSE 'success' END AS status FROM supplier WHERE s_suppkey < 100"),
+              "SELECT s_suppkey, (1 + s_suppkey % 100) / 100 * 100.0 AS success_rate,"
+              " CASE WHEN (1 + s_suppkey % 100) / 100 * 100.0 < 1 + s_suppkey % 100 THEN 'failed' ELSE 'success' END AS status FROM supplier"),
         Query("g09_errors_by_code", lambda s, d: rep.by_code(orders(s, d)),
               V + f"SELECT code, count(*) AS n FROM ({codes_of.format(c='error_codes')}) GROUP BY code"),
         Query("g09_warnings_by_code", lambda s, d: rep.by_code(orders(s, d), "warnings"),
@@ -468,6 +526,9 @@ def all_queries() -> list[Query]:
               V + "SELECT o_orderkey, o_orderkey % 205 > 100 AS is_slow, (n_warnings + (o_orderkey % 205 > 100)::int)::bigint AS n_warnings FROM v"),
         Query("s01_s05_strict_decode", strict, STRICT),
         Query("s02_arrays", arrays, ARRAYS),
+        Query("s02_unreadable_documents", documents, DOCUMENTS),
+        Query("s05_odd_inputs", odd_inputs, ODD_INPUTS),
+        Query("m43_deep_plans", deep, DEEP),
         Query("s02_row_index", row_index, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS row_index FROM orders"),
         Query("s03_s04_envelopes", envelopes, ENVELOPES),
         Query("s06_lenient_decode", lenient, LENIENT),

@@ -239,7 +239,10 @@ def scalar_queries() -> list[Query]:
                      "trim(split_part(' text/' || event_type || ' ; q=' || props, ';', 1))", "media_type"),
         scalar_query("f07_age_hours", "events", E, "ts", f"floor({scalars.hours_between(since, at)})",
                      "CAST(floor((1706745600000000 - epoch_us(ts)) / 3600000000) AS BIGINT)", "hours"),
-        scalar_query("f08_seconds_between", "events", E, "ts", f"cast({scalars.seconds_between(ZERO_TIME, since)} > 9e9 AS BOOLEAN)", "true", "saturated"),
+        # differences of more than 292 years stay at the largest value
+        scalar_query("f08_seconds_between", "events", E, "ts",
+                     f"cast(floor({scalars.seconds_between(f'CASE WHEN {E} % 5 = 0 THEN {ZERO_TIME} ELSE {since} END', at)}) AS BIGINT)",
+                     f"CASE WHEN {E} % 5 = 0 THEN 9223372036 ELSE CAST(floor((1706745600000000 - epoch_us(ts)) / 1000000) AS BIGINT) END", "seconds"),
         scalar_query("f09_ratio", "part", P, "p_size", scalars.ratio("p_size", f"{P} % 7"),
                      f"CASE WHEN {P} % 7 <> 0 THEN p_size::double / ({P} % 7) END", "ratio"),
         scalar_query("f10_has_key", "events", E, "props", scalars.has_key("from_json(props, 'MAP<STRING, STRING>')", "k"),

@@ -106,7 +106,7 @@ def leaf_value(f: Field, i: int, k: str, spoil: bool = True) -> tuple[str, str]:
     elif f.kind == "flag":
         return f"CASE WHEN {mode} = 0 THEN NULL ELSE {k} % 2 = 0 END", "boolean"
     elif f.kind == "deep":
-        return "NULL", "string"  # deeper nesting has a query of its own
+        return "cast(NULL AS string)", "string"  # deeper nesting has a query of its own
     elif f.kind == "any":
         return f"CASE WHEN {mode} = 0 THEN NULL ELSE '{{\"k\": ' || {k} || '}}' END", "string"
     else:

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from tamis.functions.text import ident, quote
 from tamis.operators.validate import decode_failure_sql, test_name_sql
-from tamis.plans.compiler import NO_ERRORS, NO_WARNINGS, Compiler
+from tamis.plans.compiler import NO_ERRORS, NO_WARNINGS, Compiler, error_struct
 from tamis.plans.ruleset import RuleSet, title_case
-from tamis.sources.decode import lenient_sql, record_sql, strict_sql
+from tamis.sources.decode import last_key_wins, lenient_sql, record_sql, second_look_sql, strict_sql
+
+
+UNKNOWN_MODEL_TYPE = "UNKNOWN_MODEL_TYPE"
 
 
 def unknown_types(df: DataFrame, catalog: dict[str, RuleSet], type_column: str = "model_type") -> DataFrame:
@@ -32,11 +35,17 @@ def route(
     """Decode and validate raw JSON records of several types in one pass.
 
     Every type is a branch of a CASE inside the same chain of projections. The table is read once however many
-    types there are, and nothing is shuffled. Rows of unknown type are left out (see ``unknown_types``).
-    ``lenient`` names a boolean column that selects lenient decoding per row.
+    types there are, and nothing is shuffled. A row of unknown type is invalid with the one error ``UNKNOWN_MODEL_TYPE``, so
+    as many rows come out as went in. ``lenient`` names a boolean column that selects lenient decoding per row.
     """
+    with last_key_wins(df.sparkSession):
+        return _route(df, catalog, type_column, column, lenient, as_of)
+
+
+def _route(df: DataFrame, catalog: dict[str, RuleSet], type_column: str, column: str, lenient: str | None,
+           as_of: dt.datetime | str | None) -> DataFrame:
     mt = ident(type_column)
-    out = df.filter(F.col(mt).isin(*catalog)).withColumn("__v", F.expr(f"try_parse_json({ident(column)})"))
+    out = df.withColumn("__v", F.expr(f"try_parse_json({ident(column)})"))
     keep = df.columns
 
     def branches(parts: dict[str, str], otherwise: str) -> str:
@@ -45,11 +54,13 @@ def route(
     # 1 decode, 2 failure flag, 3 record, 4 errors, 5 verdict and warnings, 6 test name
     names = {t: f"__{i}" for i, t in enumerate(catalog)}
     soft = ident(lenient) if lenient else "false"
-    decoded, failed, records = [], {}, []
+    decoded, second, failed, records = [], [], {}, []
     for t, rs in catalog.items():
         d = ident(names[t] + "d")
-        strict, bad = strict_sql(rs, ident(column), "`__v`", d)
-        decoded.append(F.expr(f"CASE WHEN {mt} = {quote(t)} AND NOT {soft} THEN {strict} END").alias(names[t] + "d"))
+        first = ident(names[t] + "f")
+        strict, bad = strict_sql(rs, ident(column), "`__v`", first, d)
+        decoded.append(F.expr(f"CASE WHEN {mt} = {quote(t)} AND NOT {soft} THEN {strict} END").alias(names[t] + "f"))
+        second.append(F.expr(second_look_sql(rs, ident(column), first)).alias(names[t] + "d"))
         record = record_sql(rs, d, "undecodable")
         if lenient:
             p = ident(names[t] + "p")
@@ -60,7 +71,8 @@ def route(
         failed[t] = bad
         records.append(F.expr(f"CASE WHEN {mt} = {quote(t)} THEN {record} END").alias(names[t]))
     out = out.select("*", *decoded)
-    out = out.select("*", F.expr(branches(failed, "true")).alias("undecodable"))
+    out = out.select("*", *second)
+    out = out.select("*", F.expr(branches(failed, "false")).alias("undecodable"))
     out = out.select(*keep, "undecodable", *records)
 
     compiled = {t: Compiler(rs, ident(names[t]), as_of, tag=f"{i}_") for i, (t, rs) in enumerate(catalog.items())}
@@ -72,7 +84,9 @@ def route(
                 for name, sql in stage)
     for i in sorted(stages):
         out = out.select("*", *stages[i])
-    errors = branches({t: c.errors() for t, c in compiled.items()}, NO_ERRORS)
+    message = f"concat({quote("Model type '")}, coalesce({mt}, ''), {quote("' is not registered")})"
+    unknown = f"array({error_struct(quote('model_type'), message, quote(UNKNOWN_MODEL_TYPE))})"
+    errors = branches({t: c.errors() for t, c in compiled.items()}, unknown)
     out = out.select("*", F.expr(f"CASE WHEN undecodable THEN {decode_failure_sql()} ELSE {errors} END").alias("errors"))
     lets = [F.expr(f"CASE WHEN {mt} = {quote(t)} AND NOT undecodable THEN {sql} END").alias(name)
             for t, c in compiled.items() for name, sql in c.lets()]

@@ -22,7 +22,7 @@ def _below(f: Field, text: str, prefix: str, key: str, level: int) -> str:
         place = f"concat({prefix}, {quote(f.label + '[')}, cast({i} AS STRING), '].')"
         step = f"named_struct('p', {place}, 'k', concat({key}, array({i})), 'j', {c})"
         return f"coalesce(transform(from_json({text}, 'array<string>'), ({c}, {i}) -> {step}), {NO_STEPS})"
-    step = f"named_struct('p', concat({prefix}, {quote(f.label + '.')}), 'k', concat({key}, array(0)), 'j', {c})"
+    step = f"named_struct('p', concat({prefix}, {quote(f.label + '.')}), 'k', concat({key}, array(0)), 'j', cast({c} AS STRING))"
     return f"transform(filter(array({text}), {c} -> {c} IS NOT NULL), {c} -> {step})"
 
 

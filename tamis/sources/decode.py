@@ -4,12 +4,18 @@ Strict decoding rejects a record as a whole when any value has the wrong JSON ty
 more forgiving (a number becomes a text, a bare date a time), so a second look at the record as VARIANT
 checks the JSON type of text, time, number and map leaves.
 
+Of keys that occur twice the last counts. Integers may be written as ``3.0`` or ``1e1``: only records that fail as they are get
+a second decode with decimal leaves.
+
 Lenient decoding converts top-level scalars and collections where that is possible.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions.scalars import json_text_sql
@@ -23,7 +29,19 @@ _OPTIONS = f"map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '{CORRUPT}',
 
 # kinds whose JSON value must be a string / must not be a string
 _STRINGS = {"text", "time"}
-_NUMBERS = {"real", "integer", "duration"}
+_NUMBERS = {"integer", "duration", "natural"}
+
+
+@contextmanager
+def last_key_wins(spark: SparkSession) -> Iterator[None]:
+    """Expressions made inside accept repeated keys in JSON objects, of which the last counts."""
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
 
 
 def _json_kind(v: str) -> str:
@@ -42,10 +60,14 @@ def _wrong_leaf(f: Field, v: str, path: str, level: int) -> list[str]:
     at = _at(v, _step(path, f.name))
     if f.kind in _STRINGS:
         return [f"coalesce({_json_kind(at)} NOT IN ('STRING', 'VOID'), false)"]
-    if f.kind == "natural":
-        return [f"coalesce({_json_kind(at)} = 'STRING' OR try_variant_get({at}, '$', 'double') < 0, false)"]
-    if f.kind in _NUMBERS:
+    if f.kind == "real":
         return [f"coalesce({_json_kind(at)} = 'STRING', false)"]
+    if f.kind in _NUMBERS:
+        # written with a point or an exponent: whole, and within 64 bits
+        number = f"try_variant_get({at}, '$', 'double')"
+        odd = f"({_json_kind(at)} NOT IN ('BIGINT', 'VOID') AND ({number} % 1 != 0 OR abs({number}) >= 9.223372036854775807E18D))"
+        negative = f" OR {number} < 0" if f.kind == "natural" else ""
+        return [f"coalesce({_json_kind(at)} = 'STRING' OR {odd}{negative}, false)"]
     if f.kind in ("texts", "text_map"):
         to = "array<variant>" if f.kind == "texts" else "map<string, variant>"
         items = f"try_variant_get({v}, {quote(_step(path, f.name))}, '{to}')"
@@ -124,19 +146,37 @@ def decode(df: DataFrame, rules: RuleSet, column: str = "value", *, mode: str =
         return _decode_lenient(df, rules, column, into, failed)
     if mode != "strict":
         raise ValueError(f"mode must be 'strict' or 'lenient', not {mode!r}")
-    record, bad = strict_sql(rules, ident(column), ident("__variant"), ident("__decoded"))
-    out = df.select("*", F.expr(f"try_parse_json({ident(column)})").alias("__variant"),
-                    F.expr(record).alias("__decoded"))
-    out = out.select("*", F.expr(bad).alias(failed))
-    return _shape(out, rules, into, failed)
+    record, bad = strict_sql(rules, ident(column), ident("__variant"), ident("__first"), ident("__decoded"))
+    with last_key_wins(df.sparkSession):
+        out = df.select("*", F.expr(f"try_parse_json({ident(column)})").alias("__variant"), F.expr(record).alias("__first"))
+        out = out.select("*", F.expr(second_look_sql(rules, ident(column), ident("__first"))).alias("__decoded"))
+        out = out.select("*", F.expr(bad).alias(failed))
+    return _shape(out, rules, into, failed).drop("__first")
+
+
+def _typed(rules: RuleSet) -> str:
+    return ", ".join(filter(None, [rules.ddl, f"`{CORRUPT}` STRING"]))
+
+
+def second_look_sql(rules: RuleSet, text: str, decoded: str) -> str:
+    """SQL of the typed decode; a record that fails is decoded again with decimals in place of integers."""
+    if "BIGINT" not in _typed(rules):
+        return decoded
+    again = f"from_json({text}, {quote(_typed(rules).replace('BIGINT', 'DECIMAL(38, 9)'))}, {_OPTIONS})"
+    cast = f"try_cast({again} AS STRUCT<{_struct(rules)}>)"
+    return f"CASE WHEN {decoded}.`{CORRUPT}` IS NOT NULL THEN {cast} ELSE {decoded} END"
+
+
+def _struct(rules: RuleSet) -> str:
+    return ", ".join([*(f"`{f.name}`: {type_of(f)}" for f in rules.fields), f"`{CORRUPT}`: STRING"])
 
 
-def strict_sql(rules: RuleSet, text: str, variant: str, decoded: str) -> tuple[str, str]:
-    """SQL of the typed decode and of the failure flag, given the names of the two helper columns."""
-    ddl = ", ".join(filter(None, [rules.ddl, f"`{CORRUPT}` STRING"]))
-    record = f"from_json({text}, {quote(ddl)}, {_OPTIONS})"
+def strict_sql(rules: RuleSet, text: str, variant: str, first: str, decoded: str) -> tuple[str, str]:
+    """SQL of the first typed decode and of the failure flag, given the names of the helper columns: the record as VARIANT, its first
+    decode and, by ``second_look_sql``, its last."""
+    record = f"from_json({text}, {quote(_typed(rules))}, {_OPTIONS})"
     bad = (
-        f"{decoded} IS NULL OR {decoded}.`{CORRUPT}` IS NOT NULL"
+        f"{first} IS NULL OR {decoded} IS NULL OR {decoded}.`{CORRUPT}` IS NOT NULL"
         f" OR coalesce(NOT startswith({_json_kind(variant)}, 'OBJECT'), false)"
         f" OR {type_clash_sql(rules, variant)}"
     )
@@ -215,7 +255,7 @@ def lenient_field(f: Field, v: str) -> tuple[str, str]:
 
 def lenient_sql(rules: RuleSet, text: str, variant: str, decoded: str) -> tuple[str, str, str]:
     """SQL of the strict part's decode (a helper column), of the converted struct and of the failure flag."""
-    part, strict_bad = strict_sql(strict_part(rules), text, variant, decoded)
+    part, strict_bad = strict_sql(strict_part(rules), text, variant, decoded, decoded)
     values, fails = [], []
     for f in rules.fields:
         if is_strict(f):
@@ -231,7 +271,8 @@ def lenient_sql(rules: RuleSet, text: str, variant: str, decoded: str) -> tuple[
 
 def _decode_lenient(df: DataFrame, rules: RuleSet, column: str, into: str, failed: str) -> DataFrame:
     part, record, bad = lenient_sql(rules, ident(column), "`__variant`", "`__part`")
-    out = df.select("*", F.expr(f"try_parse_json({ident(column)})").alias("__variant"), F.expr(part).alias("__part"))
-    out = out.select("*", F.expr(bad).alias(failed))
+    with last_key_wins(df.sparkSession):
+        out = df.select("*", F.expr(f"try_parse_json({ident(column)})").alias("__variant"), F.expr(part).alias("__part"))
+        out = out.select("*", F.expr(bad).alias(failed))
     record = f"CASE WHEN NOT {ident(failed)} THEN {record} END"
     return out.select("*", F.expr(record).alias(into)).drop("__variant", "__part")

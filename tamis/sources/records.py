@@ -25,30 +25,44 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_array(df: DataFrame, column: str = "value") -> DataFrame:
-    """Rows whose ``column`` holds a JSON array: one row per element, raw JSON in ``column``, 0-based ``row_index``."""
+    """Rows whose ``column`` holds a JSON array: one row per element, raw JSON in ``column``, 0-based ``row_index``.
+
+    A null element is a record without any field. A document that is no array gives one row, marked ``unreadable``, with neither
+    index nor value, which no decoder accepts, so that no input row vanishes; an empty array has no records.
+    """
     rest = [c for c in df.columns if c != column]
-    return df.select(
-        *rest, F.posexplode(F.from_json(F.col(ident(column)), "array<string>")).alias("row_index", column)
-    ).withColumn("row_index", F.col("row_index").cast("bigint"))
+    items = F.from_json(F.col(ident(column)), "array<string>")
+    parsed = df.select(*rest, F.transform(items, lambda x: F.coalesce(x, F.lit("{}"))).alias("__items"))
+    none = F.array(F.lit(None).cast("string"))
+    out = parsed.select(*rest, F.col("__items").isNull().alias("unreadable"), F.posexplode(F.coalesce("__items", none)).alias("row_index", column))
+    index = F.when(~F.col("unreadable"), F.col("row_index").cast("bigint"))
+    return out.select(*rest, index.alias("row_index"), column, "unreadable")
 
 
-def with_row_index(df: DataFrame, order: str, width: float = 1_000_000) -> DataFrame:
+def with_row_index(df: DataFrame, order: str, width: float | None = None, ranges: int = 200) -> DataFrame:
     """Number rows 0, 1, ... in the order of a unique numeric column, without one global sort in one task.
 
-    Rows are cut into ranges of ``width`` of the order column. Each range is numbered on its own and shifted
-    by the number of rows in the ranges before it, so the only single-task step sees one row per range.
-    Choose ``width`` so that a range fits a task.
+    Rows are cut into about ``ranges`` ranges of equally many rows, by quantiles of the order column, so dense, sparse and skewed keys
+    do alike; with ``width`` into ranges of that width instead. Each range is numbered on its own and shifted by the number of
+    rows in the ranges before it, so the only single-task step sees one row per range. Rows without a key come first.
     """
-    cut = df.withColumn("__range", F.floor(F.col(ident(order)) / F.lit(width)))
+    at = F.col(ident(order))
+    if width is not None:
+        cut = df.withColumn("__range", F.floor(at / F.lit(width)))
+    else:
+        # bounds only balance the work: any bounds give the same numbers
+        bounds = sorted(set(df.stat.approxQuantile([order], [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))[0]))
+        where = F.expr(f"size(filter(array({', '.join(f'{b!r}D' for b in bounds)}), b -> b < cast({ident(order)} AS DOUBLE)))") if bounds else F.lit(0)
+        cut = df.withColumn("__range", F.when(at.isNotNull(), where))
     counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    offsets = counts.select(F.col("__range").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     place = F.row_number().over(Window.partitionBy("__range").orderBy(ident(order)))
     return (
         cut.withColumn("__place", place)
-        .join(offsets, "__range")
+        .join(offsets, F.col("__range").eqNullSafe(F.col("__of")))
         .withColumn("row_index", (F.col("__offset") + F.col("__place") - 1).cast("bigint"))
-        .drop("__range", "__place", "__offset")
+        .drop("__range", "__of", "__place", "__offset")
     )
 
 
@@ -84,13 +98,14 @@ def request_records(requests: DataFrame) -> DataFrame:
     """One row per record of each request.
 
     A request with a non-empty ``data`` array is an array request (strict decoding); any other is a single
-    request (lenient decoding), also one whose array is empty.
+    request (lenient decoding), also one whose array is empty. A null element of an array is a record without fields.
     """
     many = F.expr("data IS NOT NULL AND size(data) > 0")
     rest = [c for c in requests.columns if c not in ("payload", "data")]
     return (
         requests.withColumn("is_array", many)
         .select(*rest, "is_array", F.posexplode(
-            F.when(F.col("is_array"), F.col("data")).otherwise(F.array("payload"))).alias("row_index", "value"))
+            F.when(F.col("is_array"), F.transform("data", lambda x: F.coalesce(x, F.lit("{}")))).otherwise(F.array("payload"))
+        ).alias("row_index", "value"))
         .withColumn("row_index", F.col("row_index").cast("bigint"))
     )

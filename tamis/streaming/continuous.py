@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,20 @@ IDLE = "30 minutes"  # fixed value: a session without an update for longer is go
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only if that is unset, a local temporary one."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share. Only a local session may leave the setting
+    out, and then gets a temporary folder; anywhere else that is an error, since executors do not see each other's disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix=f"{name}-")
-    unique = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{base.rstrip('/')}/{name}-{unique}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder made by ``work_folder`` once its results have been read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def windowed_gate(validated: DataFrame, ts: str, length: str, slide: str | None = None,
@@ -92,6 +101,21 @@ def latest(spark: SparkSession, out: str, keys: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("v")).select(*keys, "v.*").drop("epoch")
 
 
+def compact(spark: SparkSession, out: str, keys: tuple[str, ...]) -> None:
+    """Replace the epochs that ``start_upsert`` wrote by one that holds the current value per key; not while the stream runs."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(out).getFileSystem(conf)
+    epochs = sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(out)) if f.getPath().getName().startswith("epoch="))
+    if len(epochs) < 2:
+        return
+    merged = work_folder(spark, "compacted")
+    latest(spark, out, keys).write.parquet(merged)
+    spark.read.parquet(merged).write.mode("overwrite").parquet(f"{out}/epoch={epochs[-1]}")
+    for epoch in epochs[:-1]:
+        remove_folder(spark, f"{out}/epoch={epoch}")
+    remove_folder(spark, merged)
+
+
 def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str,
            available_now: bool) -> StreamingQuery:
     writer = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)

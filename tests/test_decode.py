@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tamis import CATALOG, decode
 from tamis.plans.ruleset import flag, integer, natural, real, rule_set, text, text_map, texts, value_map, values
@@ -74,6 +75,31 @@ def test_typed_identifier_and_row_index(spark):
     assert all(r.x == (str(r.uuid) if r.uuid is not None else f"row_{r.row_index}") for r in rows)
 
 
+@pytest.mark.parametrize("expr", ["id * id * id", "id", "pmod(xxhash64(id), 1000000000000)", "if(id < 90, id, id * 1000000000)", "if(id = 3, null, -id)"])
+def test_row_index_of_any_keys(spark, expr):
+    df = spark.range(120).selectExpr("id", f"{expr} AS place")
+    rows = with_row_index(df, "place", ranges=7).orderBy("row_index").collect()
+    assert [r.row_index for r in rows] == list(range(120))
+    assert [r.id for r in rows] == [r.id for r in df.orderBy(F.col("place").asc_nulls_first()).collect()]
+    assert with_row_index(df.limit(0), "place").collect() == []
+
+
+@pytest.mark.parametrize(("text", "field", "value"), [
+    ('{"i": 3.0}', "i", 3), ('{"i": 1e1}', "i", 10), ('{"n": 2.0}', "n", 2), ('{"i": 1, "i": 2}', "i", 2), ('{"s": 5, "s": "x"}', "s", "x"),
+    ('{"i": 9007199254740993}', "i", 9007199254740993), ('{"i": 3.0, "s": "{\\"i\\": 1.0}"}', "s", '{"i": 1.0}')])
+def test_strict_accepts_odd_inputs(spark, text, field, value):
+    assert one(spark, text, "strict")[field] == value
+
+
+@pytest.mark.parametrize("text", ['{"i": 3.5}', '{"i": 1e40}', '{"s": "x", "s": 5}', '{"n": -1.0}', '{"i": 9223372036854775808}'])
+def test_strict_refuses_odd_inputs(spark, text):
+    assert one(spark, text, "strict") is None
+
+
+def test_lenient_takes_the_last_of_repeated_keys(spark):
+    assert one(spark, '{"s": "a", "s": 5}', "lenient")["s"] == "5"
+
+
 def test_envelopes(spark):
     envelopes = [{"model_type": "a", "data": [{"x": 1}, {"x": 2}], "threshold": 80}, {"model_type": "b", "payload": {"y": 1}, "data": []}]
     df = spark.createDataFrame([(i, json.dumps(e)) for i, e in enumerate(envelopes)], "k long, value string")
