@@ -2,11 +2,15 @@
 
 Two inputs. ``control`` has one row per session event: ``batch_id, kind ('start' | 'complete'), ts,
 threshold``. ``chunks`` has one row per accepted request: ``batch_id, ts, valid, invalid, warnings`` (see
-``chunk_counts``). A session expires when more than 30 minutes pass without an update.
+``chunk_counts``).
 
-No step brings all rows of one session together, so a session that holds a third of all rows does no harm:
-rows meet the facts about their session in a salted join, are added up per session and time slot, and only the
-slots, at most one per 30 minutes, are put in order.
+Every start begins a run of its batch id; a chunk or completion belongs to the run whose start is the last not after it. At equal
+times starts come first and completions last. A run ends by completion, by more than 30 minutes without an
+update (expired) or by the next start (replaced). A chunk before any start is unknown, one after the end of its run is rejected; none is
+dropped. ``tamis.streaming.sessions`` follows the same rules.
+
+No step brings all rows of one session together, so a session that holds a third of all rows does no harm: rows are cut
+into segments within short time slots, at every control event, and added up; only the segments of a session are put in order.
 """
 
 from __future__ import annotations
@@ -32,129 +36,135 @@ def chunk_counts(validated: DataFrame, batch_id: str = "batch_id", ts: str = "ts
 
 
 def start_sessions(control: DataFrame) -> DataFrame:
-    """One row per started session: threshold, start and expiry time. A repeated start begins anew."""
-    began = control.filter("kind = 'start'").groupBy("batch_id").agg(
-        F.max("ts").alias("started_at"), F.max_by("threshold", "ts").alias("threshold"))
+    """One row per run: threshold, start and expiry time."""
+    began = control.filter("kind = 'start' AND batch_id IS NOT NULL").groupBy("batch_id", F.col("ts").alias("started_at")).agg(
+        F.max("threshold").alias("threshold"))
     return began.select("batch_id", F.lit("active").alias("status"), "started_at",
                         (F.col("started_at") + F.expr(f"INTERVAL {IDLE_SECONDS} SECONDS")).alias("expires_at"),
                         "threshold")
 
 
-SALTS = 32  # tasks that share the rows of one large session in a join
-LARGE = 1000  # a session is large when it holds more than one row in so many; hence fewer than so many are
-
-
-def _large(rows: DataFrame) -> DataFrame:
-    """Sessions that hold more than 1/LARGE of all rows: fewer than LARGE ids, whatever the size of the table."""
-    sizes = rows.groupBy("batch_id").agg(F.count("*").alias("n")).withColumn("all", F.lit(1))
-    total = sizes.groupBy("all").agg(F.sum("n").alias("total"))  # one row
-    return sizes.join(F.broadcast(total), "all").filter(F.col("n") * LARGE > F.col("total")).select(
-        "batch_id", F.lit(SALTS).alias("salts"))
-
-
-def _with_facts(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-    """Join rows to one row of facts per session; large sessions are spread over several tasks (``salt``)."""
-    large = F.broadcast(_large(rows))
-    salts = F.coalesce("salts", F.lit(1))
-    salted = rows.join(large, "batch_id", "left").withColumn("salt", F.pmod(F.xxhash64("ts"), salts)).drop("salts")
-    copies = facts.join(large, "batch_id", "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint")))).drop("salts")
-    return salted.join(copies, ["batch_id", "salt"], how)
+SLOT_SECONDS = 60  # rows of one session and slot are put in order by one task
+SUMS = ("valid", "invalid", "warnings")
 
 
 def _slot(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000))
 
 
-def _bounds(control: DataFrame) -> DataFrame:
-    """Start, threshold and completion time per session."""
-    began = start_sessions(control).select("batch_id", "started_at", "threshold")
-    done = _with_facts(control.filter("kind = 'complete'").select("batch_id", "ts"), began)
-    first = done.filter(F.col("ts") >= F.col("started_at")).groupBy("batch_id", "salt").agg(F.min("ts").alias("ts"))
-    first = first.groupBy("batch_id").agg(F.min("ts").alias("completed_at"))
-    return began.join(first, "batch_id", "left")
-
-
-def _slots(bounds: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per session and slot: first and last update, sums, and whether the session had expired before."""
-    inside = (F.col("ts") >= F.col("started_at")) & (
-        F.col("completed_at").isNull() | (F.col("ts") <= F.col("completed_at")))
-    used = _with_facts(chunks, bounds).filter(inside)
-    sums = [F.sum(c).cast("bigint").alias(c) for c in ("valid", "invalid", "warnings")]
-    added = used.groupBy("batch_id", "salt", _slot(F.col("ts"), IDLE_SECONDS).alias("slot")).agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *sums).drop("salt")
-    zero = [F.lit(0).cast("bigint").alias(c) for c in ("valid", "invalid", "warnings")]
-    began = bounds.select("batch_id", _slot(F.col("started_at"), IDLE_SECONDS).alias("slot"),
-                          F.col("started_at").alias("first_ts"), F.col("started_at").alias("last_ts"), *zero)
-    # two updates in one slot are never too far apart, so only steps between slots matter
-    merged = added.unionByName(began).groupBy("batch_id", "slot").agg(
-        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), *sums)
-    order = Window.partitionBy("batch_id").orderBy("slot")
-    gap = F.unix_micros(F.col("first_ts").cast("timestamp")) - F.lag(
-        F.unix_micros(F.col("last_ts").cast("timestamp"))).over(order)
-    late = merged.withColumn("gap", (F.coalesce(gap, F.lit(0)) > IDLE_SECONDS * 1_000_000).cast("int"))
-    return late.withColumn("dead", F.max("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def _cut(control: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Control events and chunks, numbered by segments: every control event opens a new one within its slot."""
+    none = [F.lit(0).cast("bigint").alias(c) for c in SUMS]
+    # events of one kind and time are one event
+    events = (control.filter("batch_id IS NOT NULL AND kind IN ('start', 'complete')").groupBy("batch_id", "ts", "kind")
+              .agg(F.max("threshold").cast("double").alias("threshold")).select("batch_id", "ts", "kind", "threshold", *none))
+    rows = chunks.select("batch_id", "ts", F.lit("chunk").alias("kind"), F.lit(None).cast("double").alias("threshold"), *[F.col(c).cast("bigint").alias(c) for c in SUMS])
+    both = events.unionByName(rows).withColumn("slot", _slot(F.col("ts"), SLOT_SECONDS))
+    rank = F.when(F.col("kind") == "start", 0).when(F.col("kind") == "chunk", 1).otherwise(2)
+    order = Window.partitionBy("batch_id", "slot").orderBy("ts", rank)
+    return both.withColumn("segment", F.sum((F.col("kind") != "chunk").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _segments(cut: DataFrame) -> DataFrame:
+    """One row per segment: its run, sums, times, and whether its chunks are accepted, or else why not (``reason``)."""
+    opener = F.max(F.when(F.col("kind") != "chunk", F.col("kind")))
+    parts = cut.groupBy("batch_id", "slot", "segment").agg(
+        opener.alias("opener"), F.max("threshold").alias("threshold"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        *[F.sum(c).alias(c) for c in SUMS])
+    session = Window.partitionBy("batch_id").orderBy("slot", "segment")
+    so_far = session.rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("run", F.sum((F.coalesce("opener", F.lit("")) == "start").cast("int")).over(so_far))
+    run = Window.partitionBy("batch_id", "run").orderBy("slot", "segment")
+    until = run.rowsBetween(Window.unboundedPreceding, 0)
+    completes = (F.coalesce("opener", F.lit("")) == "complete").cast("int")
+    parts = parts.withColumn("done", F.sum(completes).over(until)).withColumn("done_before", F.col("done") - completes)
+    # two updates within a slot are never too far apart, so only steps between segments matter
+    idle = _micros("first_ts") - F.lag(_micros("last_ts")).over(run) > IDLE_SECONDS * 1_000_000
+    late = (F.col("run") > 0) & (F.col("done_before") == 0) & F.coalesce(idle, F.lit(False))
+    parts = parts.withColumn("late", late.cast("int")).withColumn("dead", F.max("late").over(until) == 1)
+    reason = F.when(F.col("run") == 0, "unknown").when(F.col("dead"), "expired").when(F.col("done") > 0, "completed")
+    return parts.withColumn("reason", reason).drop("late", "done_before")
 
 
 def sessions(control: DataFrame, chunks: DataFrame, as_of: dt.datetime | str | None = None) -> DataFrame:
-    """State of every session at ``as_of``: counts, success rate and status.
+    """State of every run (numbered from 1 per batch id) at ``as_of``: counts, success rate and status.
 
-    Status is ``in_progress`` until completion, then ``success`` or ``failed`` by the session's threshold;
-    ``expired`` when the session was idle for too long before it was completed.
+    Status is ``in_progress`` until completion, then ``success`` or ``failed`` by the run's threshold; ``expired`` when the
+    run was idle for too long before it was completed, ``replaced`` when the next start came before that.
     """
     if as_of is not None:
         now = F.expr(moment(as_of))
         control = control.filter(F.col("ts").cast("timestamp") <= now)
         chunks = chunks.filter(F.col("ts").cast("timestamp") <= now)
-    bounds = _bounds(control)
-    alive = ~F.col("dead")
-    totals = _slots(bounds, chunks).groupBy("batch_id").agg(
-        *[F.sum(F.when(alive, F.col(c)).otherwise(0)).cast("bigint").alias(c) for c in ("valid", "invalid", "warnings")],
-        F.max(F.when(alive, F.col("last_ts"))).alias("last_chunk"),
-        F.max("dead").alias("dead"),
-    )
-    out = bounds.join(totals, "batch_id")
-    idle_until = F.coalesce(F.col("completed_at").cast("timestamp"), F.expr(moment(as_of))) if as_of is not None else (
-        F.col("completed_at").cast("timestamp"))
-    idle = F.unix_micros(idle_until) - F.unix_micros(F.col("last_chunk").cast("timestamp"))
-    expired = F.col("dead") | F.coalesce(idle > IDLE_SECONDS * 1_000_000, F.lit(False))
-    out = out.select(
-        "batch_id",
+    parts = _segments(_cut(control, chunks)).filter("run > 0")
+    open_ = F.col("reason").isNull()
+    closes = (F.col("opener") == "complete") & (F.col("done") == 1) & ~F.col("dead")
+    runs = parts.groupBy("batch_id", "run").agg(
+        F.min("first_ts").alias("started_at"), F.max(F.when(F.col("opener") == "start", F.col("threshold"))).alias("threshold"),
+        *[F.sum(F.when(open_, F.col(c)).otherwise(0)).cast("bigint").alias(c) for c in SUMS],
+        F.max(F.when(open_, F.col("last_ts"))).alias("last_chunk"), F.max("dead").alias("dead"), F.min(F.when(closes, F.col("first_ts"))).alias("completed_at"))
+    next_start = F.lead("started_at").over(Window.partitionBy("batch_id").orderBy("run"))
+    runs = runs.withColumn("next_start", next_start)
+    end = F.coalesce(F.col("completed_at").cast("timestamp"), F.col("next_start").cast("timestamp"), *([F.expr(moment(as_of))] if as_of is not None else []))
+    idle = F.unix_micros(end) - _micros("last_chunk") > IDLE_SECONDS * 1_000_000
+    expired = F.col("dead") | (F.col("completed_at").isNull() & F.coalesce(idle, F.lit(False)))
+    final = F.col("completed_at").isNotNull()
+    out = runs.select(
+        "batch_id", F.col("run").cast("int").alias("run"),
         (F.col("valid") + F.col("invalid")).alias("total_records"),
         F.col("valid").alias("valid_records"),
         F.col("invalid").alias("invalid_records"),
         F.col("warnings").alias("warning_records"),
         "threshold", "started_at",
-        F.when(expired, F.col("last_chunk")).otherwise(F.coalesce("completed_at", "last_chunk")).alias("last_updated"),
-        (F.col("completed_at").isNotNull() & ~expired).alias("is_final"),
-        expired.alias("is_expired"),
+        F.coalesce("completed_at", "last_chunk").alias("last_updated"),
+        final.alias("is_final"), expired.alias("is_expired"),
+        (~final & ~expired & F.col("next_start").isNotNull()).alias("is_replaced"),
     ).withColumn("success_rate", success_rate())
-    final = gate(F.when(F.col("total_records") > 0, F.col("threshold")))
-    status = F.when(F.col("is_expired"), "expired").when(F.col("is_final"), final).otherwise("in_progress")
+    verdict = gate(F.when(F.col("total_records") > 0, F.col("threshold")))
+    status = (F.when(F.col("is_expired"), "expired").when(F.col("is_final"), verdict)
+              .when(F.col("is_replaced"), "replaced").otherwise("in_progress"))
     return out.withColumn("status", status)
 
 
 def live_sessions(state: DataFrame) -> DataFrame:
-    """Sessions that remain after completed and expired ones are deleted."""
-    return state.filter(~F.col("is_final") & ~F.col("is_expired"))
+    """Runs that remain after completed, expired and replaced ones are deleted."""
+    return state.filter(~F.col("is_final") & ~F.col("is_expired") & ~F.col("is_replaced"))
+
+
+def _chunks_with_segments(control: DataFrame, chunks: DataFrame, keep: list[str]) -> DataFrame:
+    """Every chunk with columns of its segment."""
+    cut = _cut(control, chunks)
+    parts = _segments(cut).select(F.col("batch_id").alias("__id"), F.col("slot").alias("__slot"), F.col("segment").alias("__segment"), *keep)
+    rows = cut.filter("kind = 'chunk'").drop("kind", "threshold")
+    same = F.col("batch_id").eqNullSafe(F.col("__id")) & (F.col("slot") == F.col("__slot")) & (F.col("segment") == F.col("__segment"))
+    return rows.join(parts, same).drop("__id", "__slot", "__segment")
 
 
 def rejected_chunks(control: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks that belong to no live session, with the reason: ``unknown``, ``completed`` or ``expired``."""
-    bounds = _bounds(control)
-    dead = _slots(bounds, chunks).filter("dead").groupBy("batch_id").agg(F.min("first_ts").alias("dead_from"))
-    known = bounds.join(dead, "batch_id", "left").drop("threshold")
-    reason = (
-        F.when(F.col("started_at").isNull() | (F.col("ts") < F.col("started_at")), "unknown")
-        .when(F.col("ts") >= F.col("dead_from"), "expired")
-        .when(F.col("ts") > F.col("completed_at"), "completed")
-    )
-    return (_with_facts(chunks, known, "left").withColumn("reason", reason)
-            .filter("reason IS NOT NULL").drop("started_at", "completed_at", "dead_from", "salt"))
+    """Chunks that belong to no live run, with the reason: ``unknown``, ``completed`` or ``expired``."""
+    return _chunks_with_segments(control, chunks, ["reason"]).filter("reason IS NOT NULL").drop("slot", "segment")
+
+
+def accepted_totals(control: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Accepted chunks with their run and the records in it after each (``records_count``); rejected ones do not count."""
+    earlier = Window.partitionBy("batch_id", "run").orderBy("slot", "segment").rowsBetween(Window.unboundedPreceding, -1)
+    cut = _cut(control, chunks)
+    counted = F.sum(F.when(F.col("reason").isNull(), F.col("valid") + F.col("invalid"))).over(earlier)
+    parts = _segments(cut).withColumn("earlier", F.coalesce(counted, F.lit(0))).filter("reason IS NULL")
+    parts = parts.select(F.col("batch_id").alias("__id"), F.col("slot").alias("__slot"), F.col("segment").alias("__segment"), "run", "earlier")
+    here = Window.partitionBy("batch_id", "slot", "segment").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = cut.filter("kind = 'chunk'").withColumn("so_far", F.sum(F.col("valid") + F.col("invalid")).over(here)).drop("kind", "threshold")
+    same = (F.col("batch_id") == F.col("__id")) & (F.col("slot") == F.col("__slot")) & (F.col("segment") == F.col("__segment"))
+    return (rows.join(parts, same).withColumn("records_count", (F.col("earlier") + F.col("so_far")).cast("bigint"))
+            .drop("__id", "__slot", "__segment", "slot", "segment", "earlier", "so_far"))
 
 
 def running_totals(chunks: DataFrame, slot_seconds: int = 1) -> DataFrame:
-    """Records in the session after each chunk.
+    """Records of a batch id after each chunk, whatever its runs (see ``accepted_totals``).
 
     A prefix sum in two levels: inside a short slot, and over the slots of the session.
     """

@@ -1,7 +1,12 @@
 """Batch sessions in streaming state: start, add chunks, complete, expire, reject.
 
 The input stream has ``batch_id, kind ('start' | 'chunk' | 'complete'), ts, threshold, valid, invalid,
-warnings``. State per session is one small row; expiry is an event-time timer.
+warnings``. State per session is one small row.
+
+The rules are those of ``tamis.operators.sessions``, applied to events in the order of arrival, within a micro-batch in the order
+of their times. There is no watermark, so no event is ever dropped as late: a chunk that comes after its run has ended, or is
+dated before its start, is answered by ``rejected``. A run expires when an event dated more than 30 minutes after its last
+update arrives for its batch id and, with ``wall_clock``, when none arrives for 30 minutes by the clock.
 """
 
 from __future__ import annotations
@@ -46,10 +51,8 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    # add up before the shuffle; times count in milliseconds, so a session has at most a thousand rows per
-    # second however many records it gets
+    # add up before the shuffle: records of one request share their time
     for pdf in batches:
-        pdf["ts"] = pdf["ts"].dt.floor("ms")
         yield _merge(pdf)
 
 
@@ -69,7 +72,7 @@ def _answer(key: str, status: str, ts: pd.Timestamp, s: list | None, counts: tup
     }
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, wall_clock: bool = False) -> Iterator[pd.DataFrame]:
     batch_id, out = key[0], []
     s = list(state.get) if state.exists else None
 
@@ -80,7 +83,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         return
 
     events = None
-    for pdf in batches:  # merged as it comes: bounded by the time the micro-batch spans, not by its rows
+    for pdf in batches:  # merged as it comes: bounded by the distinct times of the micro-batch, not by its rows
         events = pdf if events is None else _merge(pd.concat([events, pdf]))
     events["rank"] = events["kind"].map({"start": 0, "chunk": 1, "complete": 2})
     accumulated = None
@@ -88,10 +91,13 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         at = int(e.ts.value // 1000)
         if s is not None and at - s[1] > IDLE.value // 1000:
             out.append(_answer(batch_id, "expired", pd.Timestamp(s[1], unit="us"), s))
-            s = None
+            s, accumulated = None, None
         if e.kind == "start":
-            s = [at, at, None if pd.isna(e.threshold) else float(e.threshold), 0, 0, 0]
-        elif s is None:
+            if s is not None and at >= s[0]:
+                out.append(_answer(batch_id, "replaced", e.ts, s))
+            if s is None or at >= s[0]:
+                s, accumulated = [at, at, None if pd.isna(e.threshold) else float(e.threshold), 0, 0, 0], None
+        elif s is None or at < s[0]:
             if e.kind == "chunk":
                 out.append(_answer(batch_id, "rejected", e.ts, None, (int(e.valid), int(e.invalid), int(e.warnings))))
         elif e.kind == "chunk":
@@ -110,19 +116,24 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         if accumulated is not None:
             out.append(_answer(batch_id, "accumulating", accumulated, s))
         state.update(tuple(s))
-        due = s[1] // 1000 + IDLE.value // 1_000_000 + 1
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if wall_clock:
+            state.setTimeoutDuration(IDLE.value // 1_000_000)
     if out:
         yield pd.DataFrame(out)
 
 
-def track_sessions(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Follow all sessions of an event stream (append mode).
+def _advance_by_clock(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    return _advance(key, batches, state, wall_clock=True)
+
+
+def track_sessions(events: DataFrame, wall_clock: bool = False) -> DataFrame:
+    """Follow all sessions of an event stream (append mode). ``wall_clock`` is for streams that run on: with it a run over what is
+    there now would not end, as Spark keeps waiting for the timers.
 
     Emits a row per micro-batch for every session that grew (``accumulating``), the final row on completion
-    (``success`` or ``failed``), ``expired`` for a session idle for too long and ``rejected`` for chunks that
-    belong to no live session.
+    (``success`` or ``failed``), ``expired`` for a session idle for too long, ``replaced`` for one that a new start ended and
+    ``rejected`` for chunks that belong to no live session.
     """
-    chunks = events.mapInPandas(_combine, EVENT).withWatermark("ts", watermark)
-    return chunks.groupBy("batch_id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    chunks = events.mapInPandas(_combine, EVENT)
+    timer = GroupStateTimeout.ProcessingTimeTimeout if wall_clock else GroupStateTimeout.NoTimeout
+    return chunks.groupBy("batch_id").applyInPandasWithState(_advance_by_clock if wall_clock else _advance, OUTPUT, STATE, "append", timer)

@@ -41,6 +41,17 @@ def test_filters_on_input_columns_reach_the_scan(spark):
     assert "EqualTo(o_custkey,7)" in p
 
 
+def test_sessions_read_twice_and_shuffle_little(spark):
+    df = reports.session_state(spark, SF)
+    df.collect()
+    p = plan(df)
+    p = p[p.index("== Physical Plan =="):]
+    final = p[p.index("Final Plan"):p.index("Initial Plan")] if "Final Plan" in p else p
+    tree = final.split("\n(1) ")[0]
+    # control and chunks; by control event, by chunk, by slot, by session (and control's own grouping of days)
+    assert tree.count("Scan parquet") <= 3 and tree.count("Exchange") <= 8
+
+
 def test_routing_reads_the_table_once(spark):
     small = {t: CATALOG[t] for t in ("incident", "generic", "deployment")}
     df = spark.read.parquet(f"{SF}/events.parquet").select(F.lit("generic").alias("model_type"), F.col("props").alias("value"))
