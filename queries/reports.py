@@ -471,6 +471,41 @@ def live(spark, sf):
     return ses.live_sessions(ses.sessions(control(spark, sf), chunks(spark, sf))).select("batch_id", "total_records")
 
 
+def restarts(spark, sf):
+    """The control events, and a second start at noon on every third day."""
+    noon = table(spark, sf, "events").selectExpr(f"{DAY} AS batch_id", "cast(day(ts) AS bigint) AS d").distinct().filter("d % 3 = 1")
+    begin = noon.select("batch_id", F.lit("start").alias("kind"), F.expr(utc("concat(batch_id, ' 12:00:00')")).alias("ts"), F.expr("70.0D + d").alias("threshold"))
+    return control(spark, sf).unionByName(begin)
+
+
+def restarted(spark, sf):
+    """Runs of every batch id, also those that a second start replaced."""
+    s = ses.sessions(restarts(spark, sf), chunks(spark, sf))
+    return s.select("batch_id", F.expr("unix_micros(started_at)").alias("started_at"), "status", "total_records", "valid_records")
+
+
+RUNS = """WITH e AS (SELECT cast(ts AS date)::varchar AS batch_id, ts, 1 AS rank, event_type IN ('click', 'view', 'purchase', 'signup') AND value >= 5 AS ok, NULL::double AS threshold, day(ts) AS d FROM events),
+b AS (SELECT batch_id, min(d) AS d, min(ts) AS t FROM e GROUP BY batch_id),
+a AS (SELECT batch_id, ts, rank, ok, threshold FROM e
+  UNION ALL SELECT batch_id, t - INTERVAL 10 MINUTE, 0, NULL, CASE WHEN d % 3 > 0 THEN 40 + d END FROM b WHERE d % 7 <> 0
+  UNION ALL SELECT batch_id, (batch_id || ' 12:00:00')::timestamp, 0, NULL, 70 + d FROM b WHERE d % 3 = 1
+  UNION ALL SELECT batch_id, (batch_id || ' 20:00:00')::timestamp, 2, NULL, NULL FROM b WHERE d % 2 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ts, rank) AS i FROM a),
+r AS (SELECT *, count(*) FILTER (rank = 0) OVER (PARTITION BY batch_id ORDER BY i) AS run FROM n),
+g AS (SELECT *, coalesce(count(*) FILTER (rank = 2) OVER (PARTITION BY batch_id, run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  ts - lag(ts) OVER (PARTITION BY batch_id, run ORDER BY i) > INTERVAL 30 MINUTE AS gap FROM r),
+x AS (SELECT *, count(*) FILTER (gap AND before = 0) OVER (PARTITION BY batch_id, run ORDER BY i) > 0 AS dead FROM g),
+s AS (SELECT batch_id, run, min(ts) AS started, max(threshold) FILTER (rank = 0) AS threshold, bool_or(dead) AS dead, bool_or(rank = 2 AND NOT dead) AS final,
+    max(ts) FILTER (NOT dead AND before = 0 AND rank < 2) AS last_ts, count(*) FILTER (rank = 1 AND NOT dead AND before = 0) AS total,
+    count(*) FILTER (rank = 1 AND ok AND NOT dead AND before = 0) AS valid FROM x WHERE run > 0 GROUP BY batch_id, run),
+z AS (SELECT *, lead(started) OVER (PARTITION BY batch_id ORDER BY run) AS following FROM s),
+q AS (SELECT batch_id, epoch_us(started) AS started_at, CASE WHEN dead OR (NOT final AND coalesce(following - last_ts > INTERVAL 30 MINUTE, false)) THEN 'expired'
+    WHEN final THEN CASE WHEN threshold IS NOT NULL AND total > 0 THEN CASE WHEN valid / total * 100.0 < threshold THEN 'failed' ELSE 'success' END
+      WHEN total = 1 AND valid = 0 THEN 'failed' ELSE 'success' END
+    WHEN following IS NOT NULL THEN 'replaced' ELSE 'in_progress' END AS status, total AS total_records, valid AS valid_records FROM z)
+"""
+
+
 def all_queries() -> list[Query]:
     good_bad = V + "SELECT CASE WHEN is_valid THEN 'good' ELSE 'bad' END AS side, o_orderkey FROM v"
     summary = f"SELECT {COUNTS}, {NAMES} FROM v"
@@ -557,6 +592,7 @@ def all_queries() -> list[Query]:
         Query("b02_running_totals", session_running, "SELECT cast(ts AS date)::varchar AS batch_id, epoch_us(ts) AS ts, max(n) AS records_count FROM ("
               "SELECT ts, count(*) OVER (PARTITION BY cast(ts AS date) ORDER BY ts) AS n FROM events) GROUP BY ALL"),
         Query("b03_b04_b08_session_states", session_state, SESSION_STATE),
+        Query("b01_b04_restarted_sessions", restarted, RUNS + "SELECT * FROM q"),
         Query("b05_expired_sessions", lambda s, d: session_state(s, d).filter("is_expired").select("batch_id", "total_records", "last_updated"),
               SESSION_STATE.replace("SELECT batch_id,\n  CASE WHEN expired", ", q AS (SELECT batch_id,\n  CASE WHEN expired") + ") SELECT batch_id, total_records, last_updated FROM q WHERE is_expired"),
         Query("b06_live_sessions", live, SESSIONS + "SELECT batch_id, valid + invalid AS total_records FROM z WHERE NOT expired AND done IS NULL"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from queries.base import Query, table, utc
 from queries.models import GENERIC
-from queries.reports import DAY, E, EVENT_RULES, SESSION_STATE, control, events
+from queries.reports import DAY, E, EVENT_RULES, RUNS, SESSION_STATE, control, events, restarts
 from tamis.operators.validate import codes, validate
 from tamis.streaming import continuous as cont
 from tamis.streaming.sessions import EVENT, chunk_events, track_sessions
@@ -111,6 +111,15 @@ def tracked(spark, sf):
     return out.groupBy("batch_id", "status").agg(F.sum("total_records").alias("total_records"), F.sum("valid_records").alias("valid_records"))
 
 
+def restarted(spark, sf):
+    """Restarted sessions followed in streaming state: how every run ended."""
+    folder = cont.work_folder(spark, "restarts")
+    begin_end = restarts(spark, sf).selectExpr("batch_id", "kind", "ts", "threshold", "0L AS valid", "0L AS invalid", "0L AS warnings")
+    begin_end.unionByName(chunk_events(events(spark, sf))).write.parquet(f"{folder}/in")
+    out = cont.run_to_parquet(track_sessions(spark.readStream.schema(EVENT).parquet(f"{folder}/in")), "restarted")
+    return out.filter("status NOT IN ('accumulating', 'rejected')").select("batch_id", "status", "total_records", "valid_records")
+
+
 TRACKED = SESSION_STATE.replace("SELECT batch_id,\n  CASE WHEN expired", ", q AS (SELECT batch_id,\n  CASE WHEN expired") + """),
 y AS (SELECT ev.batch_id, ev.ok FROM ev LEFT JOIN c USING (batch_id) WHERE c.batch_id IS NULL OR ev.ts > c.done
   UNION ALL SELECT batch_id, ok FROM x WHERE dead)
@@ -133,6 +142,8 @@ def all_queries() -> list[Query]:
         Query("b10_sliding_gate_stream", lambda s, d: windowed(s, d, "1 hour", "20 minutes"), window_sql(3600, 1200)),
         Query("b10_windowed_gate", batch_windows, window_sql(600, 600)),
         Query("b05_idle_sessions", idle, IDLE),
+        Query("b01_b05_restarted_sessions_stream", restarted,
+              RUNS + "SELECT batch_id, status, total_records, valid_records FROM q WHERE status <> 'in_progress'"),
         Query("b01_b08_tracked_sessions_stream", tracked, TRACKED),
     ]
 
