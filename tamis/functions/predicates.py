@@ -47,14 +47,14 @@ PATTERNS = {
 }
 # fixed values: media types that need no pattern
 MEDIA_TYPES = (
-    "application/json application/xml application/x-www-form-urlencoded multipart/form-data text/plain "
-    "text/html text/csv application/pdf application/octet-stream image/jpeg image/png image/gif video/mp4 "
-    "audio/mpeg"
-).split()
+    "application/json", "application/xml", "application/x-www-form-urlencoded", "multipart/form-data", "text/plain",
+    "text/html", "text/csv", "application/pdf", "application/octet-stream", "image/jpeg", "image/png", "image/gif",
+    "video/mp4", "audio/mpeg",
+)
 # fixed values: named priority levels
-PRIORITY_LEVELS = "low normal high urgent critical".split()
+PRIORITY_LEVELS = ("low", "normal", "high", "urgent", "critical")
 # fixed values: texts that read as a truth value
-BOOLEAN_TEXTS = "1 t T TRUE true True 0 f F FALSE false False".split()
+BOOLEAN_TEXTS = ("1", "t", "T", "TRUE", "true", "True", "0", "f", "F", "FALSE", "false", "False")
 
 # ---- formats built from parts ------------------------------------------------------------------
 # Repetition is written over character classes only, never over groups, because Java's matcher

@@ -12,10 +12,10 @@ from tamis.plans.ruleset import (
 # fixed values: word lists
 METHODS = "GET POST PUT PATCH DELETE HEAD OPTIONS"
 AUTH_TYPES = "Bearer Basic ApiKey OAuth JWT"
-QUERY_SECRETS = "password secret token key".split()
-DETAIL_SECRETS = "password token secret key".split()
-BOT_WORDS = "bot crawler spider scraper scanner".split()
-SECURITY_HEADERS = "X-Content-Type-Options X-Frame-Options X-XSS-Protection Strict-Transport-Security".split()
+QUERY_SECRETS = ("password", "secret", "token", "key")
+DETAIL_SECRETS = ("password", "token", "secret", "key")
+BOT_WORDS = ("bot", "crawler", "spider", "scraper", "scanner")
+SECURITY_HEADERS = ("X-Content-Type-Options", "X-Frame-Options", "X-XSS-Protection", "Strict-Transport-Security")
 
 AUTHORIZATION = rule_set(
     "APIAuthorization",

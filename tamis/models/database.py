@@ -21,9 +21,9 @@ ADMIN_OPERATIONS = [
 SCHEMA_OPERATIONS = [
     "create table", "drop table", "alter table", "create index", "drop index", "create view", "drop view",
 ]
-SENSITIVE_COLUMNS = "password secret token ssn credit_card".split()
+SENSITIVE_COLUMNS = ("password", "secret", "token", "ssn", "credit_card")
 COMPLEX_WORDS = ["join", "union", "case when", "exists", "group by", "having"]
-PLACEHOLDERS = "@ $ ? :".split()
+PLACEHOLDERS = ("@", "$", "?", ":")
 WRITES = "('INSERT', 'UPDATE', 'DELETE')"
 
 CONNECTION_INFO = rule_set(

@@ -4,7 +4,7 @@ from tamis.functions.scalars import contains_any
 from tamis.plans.ruleset import Check, flag, required, rule_set, text, time
 
 # fixed values: version words that do not belong into production
-UNSTABLE_WORDS = "dev test alpha".split()
+UNSTABLE_WORDS = ("dev", "test", "alpha")
 
 DEPLOYMENT = rule_set(
     "DeploymentPayload",

@@ -8,11 +8,11 @@ from tamis.plans.ruleset import (
 )
 
 # fixed values: words that hint at secrets
-METADATA_SECRETS = "password secret token key credential".split()
-PARAMETER_SECRETS = "password secret token".split()
+METADATA_SECRETS = ("password", "secret", "token", "key", "credential")
+PARAMETER_SECRETS = ("password", "secret", "token")
 
 # fixed values: payload types that may be empty
-QUIET_TYPES = "heartbeat ping".split()
+QUIET_TYPES = ("heartbeat", "ping")
 
 _QUIET = ", ".join(f"'{t}'" for t in QUIET_TYPES)
 _DUPLICATES = "filter($tags, (t, i) -> array_position($tags, t) < i + 1)"

@@ -13,12 +13,12 @@ WIP_MARKS = [
     "wip:", "[wip]", "work in progress", "do not merge", "dnm:", "[dnm]", "draft:", "[draft]", "temporary", "temp:",
     "fixup!", "squash!",
 ]
-TEMPLATE_SECTIONS = "summary changes testing checklist".split()
+TEMPLATE_SECTIONS = ("summary", "changes", "testing", "checklist")
 SECURITY_WORDS = (
-    "password secret key token credential auth security vulnerability exploit backdoor hardcode api_key private_key "
-    "access_token secret_key"
-).split()
-CONFIG_WORDS = "dockerfile docker-compose .env config".split()
+    "password", "secret", "key", "token", "credential", "auth", "security", "vulnerability", "exploit", "backdoor",
+    "hardcode", "api_key", "private_key", "access_token", "secret_key",
+)
+CONFIG_WORDS = ("dockerfile", "docker-compose", ".env", "config")
 
 USER = rule_set(
     "User",

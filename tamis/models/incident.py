@@ -8,7 +8,7 @@ from tamis.plans.ruleset import Check, RuleError, integer, optional, required, r
 SEVERITIES = "low medium high critical"
 
 # fixed values: words that make a title generic
-GENERIC_WORDS = "issue problem error bug broken down failure".split()
+GENERIC_WORDS = ("issue", "problem", "error", "bug", "broken", "down", "failure")
 
 # fixed values: lowest and highest priority per severity
 PRIORITIES = {"low": (1, 2), "medium": (2, 3), "high": (3, 4), "critical": (4, 5)}
