@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
@@ -250,9 +250,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4_000, most_bytes: int
     telling = _frequencies(sample).where((F.col("toxic") >= 4) & (rate > 6)).withColumn("telling", F.log(rate) * F.col("toxic"))
     names = telling.orderBy(F.desc("telling"), "kind", "name").limit(features).collect()
     field = Field([r["name"] for r in names if r["kind"] == "word"], [r["name"] for r in names if r["kind"] == "prefix"])
-    # at most 2 * most rows, of which few enough are kept that the driver can hold them; both classes alike
-    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id"))
-    texts = sample.withColumn("upto", upto).where(F.col("upto") <= most_bytes // 2).toPandas().sort_values("doc_id", kind="stable")
+    # of at most 2 * most rows the lengths, then the texts of as many as the driver can hold; both classes alike
+    lengths = sample.select("doc_id", "toxic", F.length("text").alias("n"), F.xxhash64(F.lit(23), "doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"], kind="stable")
+    fitting = lengths[lengths.groupby("toxic")["n"].cumsum() <= most_bytes // 2]
+    ids = sample.sparkSession.createDataFrame([(int(i),) for i in fitting["doc_id"].unique()], "doc_id bigint")
+    texts = sample.join(F.broadcast(ids), "doc_id", "left_semi").toPandas().sort_values("doc_id", kind="stable")
     if texts["toxic"].nunique() < 2:
         return Field([], [])
     tokens = field.tokens(pa.array(texts["text"], pa.string()))
