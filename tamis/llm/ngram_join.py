@@ -9,7 +9,7 @@ a partner must occur in at least one of the short lists (T - L = 1 with L = T -
 * Probing: candidates' remaining shingles are binary-searched in the partner's sorted set, which answers whether the partner
   is in those long lists.
 
-Lists are ordered by a table of 2**22 counters of how often shingles with the same leading hash bits occur, over all
+Lists are ordered by a table of 2**21 counters of how often shingles with the same leading hash bits occur, over all
 documents; a passage that many documents share is thus probed, not merged. Any order gives right results.
 
 Copies: documents with equal sets are one class, represented by its smallest doc_id. Near copies: every list is first
@@ -38,9 +38,9 @@ from tamis.llm.components import components
 from tamis.llm.store import discard, stored
 from tamis.llm.textbytes import NOT_SPACE, Words, by_bytes, mixed
 
-COUNTER_BITS = 22
+COUNTER_BITS = 21
 BLOCKS = 64
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: 64-bit words of the short sketch that joins carry.
 SHORT_SKETCH = 8
 
@@ -73,12 +73,13 @@ def _classes_and_counters(docs: DataFrame, words: int) -> DataFrame:
     schema = "kind string, doc_id bigint, n bigint, fingerprint string, block int, task int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        counters = np.zeros(1 << COUNTER_BITS, dtype=np.int32)  # a task's own; sums are 64 bits wide
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE):
                 sets = shingle_sets(part.column("text"), words)
                 if sets:
-                    counters += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counters))
+                    at, times = np.unique(np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS), return_counts=True)
+                    counters[at.astype(np.int64)] += times.astype(np.int32)
                 prints = [hashlib.md5(s.tobytes()).hexdigest() if len(s) else None for s in sets]
                 k = len(sets)
                 none = pa.nulls(k)
@@ -99,7 +100,7 @@ def _classes_and_counters(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _ranks(counts: DataFrame) -> np.ndarray:
-    """One byte per counter, growing with the logarithm of its sum over all tasks: 4 MB, whatever the input. Blocks are
+    """One byte per counter, growing with the logarithm of its sum over all tasks: 2 MB, whatever the input. Blocks are
     added up in two steps, so that no group holds more than the square root of the number of tasks."""
 
     def added(keys: list[str]):
@@ -120,7 +121,7 @@ def _ranks(counts: DataFrame) -> np.ndarray:
 
 def _short_lists(docs: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
     """Per document: size, its rarest shingles (those it posts), parity sketch."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # 2**22 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # 2**21 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tamis.llm.store import stored
 from tamis.llm.textbytes import ALNUM, Words, by_bytes
 
-SEGMENT = 4 << 20
+SEGMENT = 3 << 19
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 INDEX = "kind string, segment bigint, term string, n bigint, width int, postings binary, doc_id bigint, start bigint, n_words bigint"
