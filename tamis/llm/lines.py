@@ -10,8 +10,7 @@ keeper, go. ``dedup`` first lets every batch add its run, so that the counts are
 merge-anti-joins the lines of every batch.
 
 Line key: the line without ``[ \\t\\n\\v\\f\\r]`` at both ends, A-Z lower-cased; a null or empty text is one empty line.
-Keys are compared by 128-bit hashes. Null ids count as one document of their own each time only for the counts' sake: they
-are never keepers unless no other document holds the key.
+Keys are compared by 128-bit hashes. Rows with a null doc_id take no part.
 """
 
 from __future__ import annotations
