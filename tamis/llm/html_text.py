@@ -3,9 +3,11 @@
 A page is stripped of its markup into lines, one per block element, in page order. Menus, headers, footers, sidebars, notices,
 adverts, forms, comments of readers, scripts and styles become empty lines, as do, outside an article element, lines that are
 mostly links. The distribution is the sum of the line lengths over a sliding window: it surges where text begins and dives to zero
-behind its last line. Of the stretches between surge and dive the one with most text is the article; stretches that lie in the same article
-(or main) element, or else in the same container as most of its text, belong to it too, so that an advert in the middle
-splits nothing off. All lines of these stretches are kept, headings and short ones included.
+behind its last line. Of the stretches between surge and dive the one with most text is the content, whatever elements it lies in. If most of its
+text lies in article (or main) elements, these bound and widen it: its lines outside them go, all lines of these elements and of
+sibling ones in the same container come. Else the stretches in the same container as most of its text belong to it too. So an advert in
+the middle splits nothing off, and a short article element overrides no heavier text beside it. All lines of what is chosen are
+kept, headings and short ones included.
 
 White space within a line becomes one blank, character references are decoded, lines are joined by a newline. Null, empty and
 text-free pages give an empty text. Broken markup never raises: unclosed elements end with what holds them.
@@ -254,15 +256,15 @@ def extract(page: str | None) -> str:
         return [lines[j] for j in range(a, b) if length[j]]
 
     best = max(stretches, key=lambda s: (total[s[1]] - total[s[0]], -s[0]))
-    if any(line.article for line in kept(*best)) or any(inside):
-        weight: dict[int, int] = {}
-        for line in lines:
-            if line is not None and line.article:
-                weight[line.article] = weight.get(line.article, 0) + len(line.text)
-        chosen = max(weight, key=lambda a: (weight[a], -a))
-        return "\n".join(line.text for line in lines if line is not None and line.article == chosen)
-    weight = {}
-    for line in kept(*best):
+    own = kept(*best)
+    in_articles = [line for line in own if line.article]
+    if 2 * sum(len(line.text) for line in in_articles) > total[best[1]] - total[best[0]]:
+        chosen = {line.article for line in in_articles}
+        around = {line.box[line.box.index(line.article) - 1] for line in in_articles}  # the containers of these elements
+        return "\n".join(line.text for line in lines if line is not None and line.article
+                         and (line.article in chosen or line.box[line.box.index(line.article) - 1] in around))
+    weight: dict[int, int] = {}
+    for line in own:
         box = line.box[-2] if len(line.box) > 1 else 0  # the container of the line's own block
         weight[box] = weight.get(box, 0) + len(line.text)
     home = max(weight, key=lambda b: (weight[b], -b))

@@ -51,6 +51,21 @@ def test_article_without_article_element():
     assert html_text.extract(page).split("\n") == ["Big title", ("word " * 30).strip(), ("more " * 20).strip(), "end."]
 
 
+@pytest.mark.parametrize("page", [
+    "<div><p>{0}</p><p>{1}</p><article><p>card</p></article></div>",  # one stretch, mostly outside the article element
+    "<section><p>{0}</p></section><section><p>{1}</p></section><nav>menu</nav><article><p>card</p></article>",  # a stretch of its own
+])
+def test_short_article_overrides_no_heavier_stretch(page):
+    body = ["first " * 60, "second " * 60]
+    assert html_text.extract(page.format(*body)).split("\n")[:2] == [b.strip() for b in body]
+
+
+def test_sibling_articles_are_kept():
+    posts = [f"post {i} " * (10 + i) for i in range(3)]
+    page = "<div><article><p>{}</p></article><nav>menu</nav><article><p>{}</p></article><article><p>{}</p></article></div><p>tail</p>"
+    assert html_text.extract(page.format(*posts)).split("\n") == [p.strip() for p in posts]
+
+
 def test_hostile_pages_take_linear_time():
     for page in ("<b>" * 50_000 + "x", "<a '" * 50_000, "<p><i></p>" * 30_000, "<!--" * 50_000, "<" * 100_000, "</div>" * 50_000):
         html_text.extract(page)
