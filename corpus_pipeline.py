@@ -32,8 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near duplicates."""
-    return ngram_join.without_copies(docs)
+    """One document, the smallest doc_id, of each group of near duplicates: those linked by chains of pairs with a Jaccard
+    similarity of at least 0.8 on shingles of five words."""
+    return ngram_join.without_copies(docs, words=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

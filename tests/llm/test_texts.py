@@ -372,6 +372,33 @@ def test_pipeline(spark):
     assert set(columns) <= set(mix.columns) and mix.count() > 0
 
 
+def test_pipeline_drops_near_copies_as_brute_force_does(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for i in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 5000, size=int(rng.integers(3, 150)))]
+        texts.append((10 * i, " ".join(base)))
+        for j in range(1, 4):  # changed ends leave more shingles than changed middles
+            near = base + [f"tail{i}"] * j * (len(base) // 20)
+            if j == 3:
+                near[len(near) // 2] = "x"
+            texts.append((10 * i + j, " ".join(near)))
+
+    def sets(words):
+        return {i: {tuple(w[k:k + words]) for k in range(max(len(w) - words + 1, 1))} for i, t in texts for w in [t.split()]}
+
+    def groups(words, percent):
+        of, root = sets(words), {i: i for i, _ in texts}
+        for _ in range(5):
+            for a, b in itertools.combinations(of, 2):
+                if 100 * len(of[a] & of[b]) >= percent * len(of[a] | of[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        return {i for i, r in root.items() if i == r}
+
+    kept = {r["doc_id"] for r in corpus_pipeline.ngram_jaccard_join(spark, docs(spark, texts), SF).collect()}
+    assert kept == groups(5, 80) and kept != groups(3, 90)
+
+
 def test_pipeline_on_odd_rows(spark):
     odd = spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for _, stage in corpus_pipeline.STAGES:
