@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import lines, mixture, ngram_join, phrase_index, quality
-from tamis.llm.store import new_path
+from tamis.llm.store import new_path, stored
 from tamis.llm.tables import Query, table
 
 KEEP_FROM = 0.3
@@ -38,10 +38,24 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    found = phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    dirty = found.where("n_hit > 0 AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
+    """Documents without a window of a benchmark item. Documents without an id are told apart by their texts."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    clean = _without_hits(docs.where("doc_id IS NOT NULL"), benchmark, "doc_id")
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return clean
+    texts = nameless.where("text IS NOT NULL").select("text").distinct()
+    keyed = stored(texts.select(F.monotonically_increasing_id().alias("doc_id"), "text"), "nameless")
+    return clean.unionByName(_without_hits(nameless, benchmark, "text", keyed))
+
+
+def _without_hits(docs: DataFrame, benchmark: DataFrame, key: str, searched: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` no row of ``searched`` (``docs`` itself if none) with a hit has."""
+    searched = docs if searched is None else searched
+    dirty = phrase_index.decontaminate(searched, benchmark).where("n_hit > 0").select("doc_id")
+    if key != "doc_id":
+        dirty = searched.join(dirty, "doc_id", "left_semi").select(key)
+    return docs.join(dirty, key, "left_anti").select(docs.columns)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -399,6 +399,14 @@ def test_pipeline_drops_near_copies_as_brute_force_does(spark):
     assert kept == groups(5, 80) and kept != groups(3, 90)
 
 
+def test_pipeline_decontaminates_documents_without_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("size(split(text, ' ')) > 12").first()["text"]
+    texts = [(None, "so " + item), (None, "so " + item), (None, "clean"), (None, "clean"), (None, None), (1, item), (2, "clean")]
+    out = corpus_pipeline.benchmark_decontamination(spark, docs(spark, texts), SF)
+    assert sorted(str((r["doc_id"], r["text"])) for r in out.collect()) == sorted(str(t) for t in [*texts[2:5], texts[6]])
+    assert out.columns == docs(spark, texts).columns
+
+
 def test_pipeline_on_odd_rows(spark):
     odd = spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for _, stage in corpus_pipeline.STAGES:
