@@ -12,9 +12,10 @@ Forward and backward passes run over all tokens of a batch at once: the tokens a
 matrix product of every block is formed side by side, the block products are chained, and the marginals follow from each
 block's entry. The first token of a document ignores what precedes it, so documents need no padding.
 
-Only the training sample is bounded: ``most`` labelled documents of each class for the frequencies, which Spark counts, and of
-these, in hash order, as many as make ``most_bytes`` of text for the fit, which runs on the driver. Every token of every document is
-scored.
+Only the training sample is bounded: ``most`` labelled documents of each class for the frequencies, which Spark counts. All of
+these take part in the fit, which runs on the driver, with ``most_bytes`` characters at most, half of them for each class: texts beyond
+a common length, the largest that the sum allows, take part with the window of that length that holds most marked words, so
+no long text displaces others. The logistic function is fitted on summaries of the whole texts. Every token of every document is scored.
 Null, empty and blank texts have no tokens and get the score of a document without toxic tokens.
 """
 
@@ -232,6 +233,66 @@ def _frequencies(docs: DataFrame) -> DataFrame:
     return counts.groupBy("kind", "name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _common_length(lengths: np.ndarray, room: int) -> int:
+    """The largest number of characters to which all texts can be cut so that they fit into ``room``; one at least."""
+    lengths = np.sort(lengths)
+    left = room - np.concatenate([[0], np.cumsum(lengths)])[:-1]  # for a text and all longer ones
+    each = left // np.arange(len(lengths), 0, -1)
+    short = np.flatnonzero(each < lengths)
+    return max(int(each[short[0]]) if len(short) else int(lengths[-1]), 1)
+
+
+def _marked(tokens: Tokens) -> np.ndarray:
+    """Whether a token's own word or its beginning is a mark."""
+    return (tokens.features[:, [0, 4, 5]] >= 0).any(axis=1)
+
+
+def _windows(sample: DataFrame, field: Field, most: dict[int, int]) -> DataFrame:
+    """``sample`` with texts of at most ``most`` characters per class: of longer ones whole words from the window with most marks."""
+
+    def window(text: str, size: int, starts: np.ndarray, ends: np.ndarray, marked: np.ndarray) -> str:
+        at = 0
+        if marked.any():
+            first, last = starts[marked], ends[marked]
+            beyond = np.searchsorted(last, first + size, side="right")
+            best = int(np.argmax(beyond - np.arange(len(first))))
+            spare = size - (int(last[max(beyond[best] - 1, best)]) - int(first[best]))
+            at = min(max(int(first[best]) - max(spare, 0) // 2, 0), len(text) - size)
+        whole = np.flatnonzero((starts >= at) & (ends <= at + size))
+        return text[starts[whole[0]]:ends[whole[-1]]] if len(whole) else text[at:at + size]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "text", SLICE):
+                texts = part.column("text").to_pylist()
+                sizes = [most[y] for y in part.column("toxic").to_pylist()]
+                if any(t is not None and len(t) > n for t, n in zip(texts, sizes, strict=True)):
+                    tokens = field.tokens(part.column("text"))
+                    words, marked = tokens.words, _marked(tokens)
+                    chars = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+                    for d, (t, n) in enumerate(zip(texts, sizes, strict=True)):
+                        if t is not None and len(t) > n:
+                            own, at = slice(tokens.of[d], tokens.of[d + 1]), chars[words.offsets[d]]
+                            texts[d] = window(t, n, chars[words.starts[own]] - at, chars[words.ends[own]] - at, marked[own])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), part.column("toxic")], ["doc_id", "text", "toxic"])
+
+    return sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, text string, toxic int")
+
+
+def _summaries(sample: DataFrame, field: Field) -> DataFrame:
+    """(doc_id, toxic, most, total, density): the summary of every whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "text", SLICE):
+                tokens = field.tokens(part.column("text"))
+                found = field.summary(field.marginals(tokens.features, tokens.of)[0], tokens.of)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *[pa.array(found[:, i]) for i in range(3)]],
+                                                 ["doc_id", "toxic", "most", "total", "density"])
+
+    return sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, toxic int, most double, total double, density double")
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = 4_000, most_bytes: int = 6 << 20, features: int = 4_000, parts: int = 3, held: int = 1,
           steps: int = 60) -> Field:
     """Fit on at most ``most`` labelled documents of each class outside the held-out fold, with at most ``features`` words
@@ -241,8 +302,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4_000, most_bytes: int
     judged = labels.where(allowed & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IN (0, 1)")
     chosen = sampled(judged.where("toxic = 1"), most).unionByName(sampled(judged.where("toxic = 0"), most))
     # bounded by 2 * most ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    lengths = sample.select("toxic", F.coalesce(F.length("text"), F.lit(0)).alias("n")).toPandas()  # at most 2 * most rows
+    sizes = lengths.groupby("toxic")["n"].count().to_dict()
     if len(sizes) < 2:
         return Field([], [])
     # how much likelier a toxic document holds it, and how surely (a lower bound on the ratio by one deviation)
@@ -250,20 +313,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4_000, most_bytes: int
     telling = _frequencies(sample).where((F.col("toxic") >= 4) & (rate > 6)).withColumn("telling", F.log(rate) * F.col("toxic"))
     names = telling.orderBy(F.desc("telling"), "kind", "name").limit(features).collect()
     field = Field([r["name"] for r in names if r["kind"] == "word"], [r["name"] for r in names if r["kind"] == "prefix"])
-    # of at most 2 * most rows the lengths, then the texts of as many as the driver can hold; both classes alike
-    lengths = sample.select("doc_id", "toxic", F.length("text").alias("n"), F.xxhash64(F.lit(23), "doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"], kind="stable")
-    fitting = lengths[lengths.groupby("toxic")["n"].cumsum() <= most_bytes // 2]
-    ids = sample.sparkSession.createDataFrame([(int(i),) for i in fitting["doc_id"].unique()], "doc_id bigint")
-    texts = sample.join(F.broadcast(ids), "doc_id", "left_semi").toPandas().sort_values("doc_id", kind="stable")
-    if texts["toxic"].nunique() < 2:
-        return Field([], [])
+    # both classes alike; what the driver can hold
+    room = {int(y): _common_length(n.to_numpy(dtype=np.int64), most_bytes // 2) for y, n in lengths.groupby("toxic")["n"]}
+    texts = _windows(sample, field, room).toPandas().sort_values(["doc_id", "text"], kind="stable")
     tokens = field.tokens(pa.array(texts["text"], pa.string()))
-    y = texts["toxic"].to_numpy()
-    marked = (tokens.features[:, [0, 4, 5]] >= 0).any(axis=1)  # own word or its beginning
-    label = (marked & np.repeat(y == 1, np.diff(tokens.of))).astype(np.int64)
+    label = (_marked(tokens) & np.repeat(texts["toxic"].to_numpy() == 1, np.diff(tokens.of))).astype(np.int64)
     field.fit(tokens.features, tokens.of, label, steps)
-    toxic, _ = field.marginals(tokens.features, tokens.of)
-    field.calibrate(field.summary(toxic, tokens.of), y)
+    columns = ["most", "total", "density"]
+    summaries = _summaries(sample, field).toPandas().sort_values(["doc_id", *columns], kind="stable")
+    field.calibrate(summaries[columns].to_numpy(), summaries["toxic"].to_numpy())
     return field
 
 

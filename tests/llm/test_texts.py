@@ -8,10 +8,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tamis.llm import chat, html_text, lines, mixture, quality, toxicity, url_filter
 from tamis.llm.queries import RULES
+from tamis.llm.tables import fold
 from tests.conftest import SF
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, places string, kept string, block int, size string, draws string, toxicity string"
@@ -187,6 +189,33 @@ def test_toxicity(spark):
     assert toxicity.tag(docs(spark, []), field).collect() == []
 
 
+def test_long_texts_displace_no_others_from_the_fit(spark):
+    texts, labels = made(300)
+    table = spark.createDataFrame([(*x, "") for x in labels], LABELS)
+    # the first two toxic documents in the order of the hash are longer than what is fitted on
+    first = table.where((F.col("toxic") == 1) & (fold("doc_id", 3) != 1)).orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id").limit(2)
+    long_ones = {r["doc_id"] for r in first.collect()}
+    texts = [(i, " ".join([t] * 100) if i in long_ones else t) for i, t in texts]
+    field = toxicity.train(docs(spark, texts), table, steps=40, most_bytes=40_000)
+    assert {"vile", "nasty", "rotten"} <= set(field.words)
+    out = toxicity.tag(docs(spark, texts), field).collect()
+    assert np.mean([(r["toxicity"] >= 0.7) == (r["doc_id"] % 3 == 0) for r in out]) > 0.97
+
+
+def test_window_with_most_marks(spark):
+    field = toxicity.Field(["vile"], [])
+    rows = [(1, "ä word " * 50 + "vile so vile " + "word " * 50, 1), (2, "short", 1), (3, None, 0), (4, "x" * 90, 0), (5, "plain words " * 9, 0)]
+    sample = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    out = {r["doc_id"]: r["text"] for r in toxicity._windows(sample, field, {1: 24, 0: 20}).collect()}
+    assert "vile so vile" in out[1] and len(out[1]) <= 24
+    assert (out[2], out[3], out[4], out[5]) == ("short", None, "x" * 20, "plain words plain")
+
+
+def test_common_length():
+    for lengths, room, most in (([5, 1, 9], 15, 9), ([5, 1, 9], 14, 8), ([100, 100, 1], 11, 5), ([0, 0], 3, 1), ([10**9], 7, 7)):
+        assert toxicity._common_length(np.array(lengths), room) == most
+
+
 def test_toxicity_without_labels(spark):
     field = toxicity.train(docs(spark, [(1, "a b")]), spark.createDataFrame([], LABELS))
     assert len({r["toxicity"] for r in toxicity.tag(docs(spark, [(1, "a b c"), (2, None)]), field).collect()}) <= 2
