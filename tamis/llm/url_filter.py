@@ -8,7 +8,8 @@ blocked when distrust, scaled by the blocked pages, makes up more than ``thresho
 neither reaches is allowed.
 
 Links are counted per pair of hosts before any shuffle, so a host with a third of all pages is one row per neighbour. Links
-within a host do not count. Iterations are written to the shared folder and stop when the ranks move by less than ``tolerance``.
+within a host do not count. Iterations are written to the shared folder and stop when the ranks move by less than ``tolerance`` and no
+further host is reached; if that takes more than ``MOST_ROUNDS``, an error is raised.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#`` or the end. Both
 are empty for a null url and one without ``://``; such pages are allowed. Null markup has no links. Rows with equal
@@ -28,6 +29,8 @@ from tamis.llm.store import discard, stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The target of a link: quoted or bare.
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
+#: A bound for safety only: rounds grow with the longest of the shortest ways from a seed, and with the logarithm of the tolerance.
+MOST_ROUNDS = 2000
 
 
 @dataclass(frozen=True)
@@ -72,16 +75,17 @@ def links_between_hosts(pages: DataFrame) -> DataFrame:
             .groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """(kind, host, rank): personalised PageRank along ``links`` (kind, source, target, n) from ``seeds`` (kind, host, pages), for
-    every kind by itself. Ranks of a kind add up to 1; what flows out of hosts without links returns to the seeds."""
+    every kind by itself. Ranks of a kind add up to 1; what flows out of hosts without links returns to the seeds. ``iterations``: stop after
+    so many rounds, converged or not; without it, rounds go on until the ranks have converged."""
     spark = links.sparkSession
     share = seeds.groupBy("kind").agg(F.sum("pages").alias("all"))
     seed = stored(seeds.join(share, "kind").select("kind", "host", (F.col("pages") / F.col("all")).alias("seed")), "seeds")
     out = links.groupBy("kind", "source").agg(F.sum("n").alias("out"))
     weighted = stored(links.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("n") / F.col("out")).alias("weight")), "host-links")
     ranks = stored(seed.select("kind", "host", F.col("seed").alias("rank")), "ranks")
-    for _ in range(iterations):
+    for _ in range(MOST_ROUNDS if iterations is None else iterations):
         flow = (ranks.withColumnRenamed("host", "source").join(weighted, ["kind", "source"])
                 .groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("rank") * F.col("weight")).alias("flow")))
         kept = flow.groupBy("kind").agg(F.sum("flow").alias("kept"))  # at most one row per kind
@@ -89,12 +93,16 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
         new = flow.join(back, ["kind", "host"], "full").select(
             "kind", "host", (damping * F.coalesce("flow", F.lit(0.0)) + F.coalesce("back", F.lit(0.0))).alias("rank"))
         new = stored(new, "ranks")
-        moved = (new.withColumnRenamed("rank", "now").join(ranks, ["kind", "host"], "full")
-                 .agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0))))).first()[0])
+        moved, reached = (new.withColumnRenamed("rank", "now").join(ranks, ["kind", "host"], "full")
+                          .agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0)))),
+                               F.count(F.when(F.col("rank").isNull(), 1))).first())
         discard(spark, ranks)
         ranks = new
-        if not moved or moved < tolerance:
+        if not reached and (not moved or moved < tolerance):
             break
+    else:
+        if iterations is None:
+            raise RuntimeError(f"ranks have not converged in {MOST_ROUNDS} rounds")
     return ranks
 
 

@@ -312,6 +312,21 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), RULES).collect() == []
 
 
+def test_distrust_reaches_the_whole_chain(spark):
+    n = 25
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(n)] + [(n, f"http://h{n}.net/", "")]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    out = {r["page_id"]: r for r in url_filter.judge(df, [url_filter.Rule("block", f"h{n}.net", "/")], damping=0.3).collect()}
+    assert {r["verdict"] for r in out.values()} == {"block"} and out[0]["distrust"] > 0
+
+
+def test_propagation_that_does_not_converge_raises(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_ROUNDS", 1)
+    links = spark.createDataFrame([("allow", "a", "b", 1), ("allow", "b", "c", 1)], "kind string, source string, target string, n bigint")
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(links, spark.createDataFrame([("allow", "a", 1)], "kind string, host string, pages bigint"))
+
+
 def test_propagation_against_matrix(spark):
     rng = np.random.default_rng(10)
     n = 12
