@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import chat, html_text, lines, mixture, mtree, ngram_join, phrase_index, quality, toxicity, url_filter
+from tamis.llm import (
+    chat, copies, html_text, lines, manifest, mixture, mtree, ngram_join, phrase_index, quality, resample, toxicity, url_filter,
+)
 from tamis.llm.tables import Query, fold, table
 
 
@@ -113,6 +115,77 @@ def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(table(spark, sf, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    more = {"n_chars": F.col("n_chars").cast("decimal(20, 0)") + 1}
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = manifest.audit(table(spark, sf, "documents").select(LEAF), "doc_id", "lang", LEAF, more, hit)
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+_FIELDS = "concat({})".format(", ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({c} AS VARCHAR))), ':', {c}) END" for c in ("doc_id", "source", "lang", "{n}", "text")))
+# the checksum of the decimal id, bit by bit
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))))"""
+OP11 = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, lang, sha256({_FIELDS.format(n='n_chars')}) AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN sha256({_FIELDS.format(n='(n_chars + 1)')}) END AS found FROM documents),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+t AS (SELECT lang, 0 AS level, list(leaf ORDER BY place) AS hs FROM p GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda i: sha256(concat(hs[2 * i + 1], hs[2 * i + 2]))) FROM t WHERE len(hs) > 1),
+s AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS nth FROM t WHERE len(hs) = 1),
+u AS (SELECT 0 AS level, list(subroot ORDER BY nth) AS hs FROM s
+  UNION ALL SELECT level + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda i: sha256(concat(hs[2 * i + 1], hs[2 * i + 2]))) FROM u WHERE len(hs) > 1),
+r AS (SELECT hs[1] AS root FROM u WHERE len(hs) = 1),
+k AS MATERIALIZED (SELECT p.doc_id, p.leaf, p.place, t.level, p.place >> t.level AS pos, t.hs[xor(p.place >> t.level, 1) + 1] AS other, subroot, nth
+    FROM p JOIN t ON p.lang IS NOT DISTINCT FROM t.lang JOIN s ON p.lang IS NOT DISTINCT FROM s.lang WHERE len(t.hs) > 1
+  UNION ALL SELECT p.doc_id, p.leaf, p.place, 1000 + u.level, s.nth >> u.level, u.hs[xor(s.nth >> u.level, 1) + 1], subroot, nth
+    FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN u ON len(u.hs) > 1),
+w AS MATERIALIZED (SELECT doc_id, leaf, place, nth, list(struct_pack(pos := pos, other := coalesce(other, '')) ORDER BY level) AS path FROM k GROUP BY ALL),
+f AS (SELECT doc_id, leaf, place, lang, coalesce(found, leaf) AS h, 1 AS i FROM p
+  UNION ALL SELECT f.doc_id, f.leaf, f.place, f.lang, sha256(CASE WHEN path[i].pos % 2 = 0 THEN concat(h, path[i].other) ELSE concat(path[i].other, h) END), i + 1
+    FROM f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang JOIN w ON f.doc_id IS NOT DISTINCT FROM w.doc_id AND f.place = w.place AND s.nth = w.nth WHERE i <= len(path)),
+z AS (SELECT doc_id, leaf, place, lang, arg_max(h, i) AS folded_root FROM f GROUP BY ALL)
+SELECT z.doc_id, z.leaf, s.subroot, root, sha256(coalesce(list_aggregate(list_transform(path, lambda x: x.other), 'string_agg', ''), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM z CROSS JOIN r JOIN s ON z.lang IS NOT DISTINCT FROM s.lang LEFT JOIN w ON z.doc_id IS NOT DISTINCT FROM w.doc_id AND z.place = w.place AND s.nth = w.nth"""
+
+
+def op12_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return copies.decide(table(spark, sf, "documents"))
+
+
+OP12 = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
+def op13_target_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    out = resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# checksums byte by byte, over a table of 256 that follows from the polynomial
+OP13 = r"""WITH c AS MATERIALIZED (SELECT list(list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY v) AS tab FROM range(0, 256) r(v)),
+x AS MATERIALIZED (SELECT doc_id, false AS target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL SELECT NULL, true, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS MATERIALIZED (SELECT doc_id, target, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])))) AS f FROM x),
+g AS (SELECT DISTINCT f, regexp_extract_all(hex(encode(f)), '..') AS bytes FROM f),
+b AS MATERIALIZED (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(bytes, lambda y: CAST(concat('0x', y) AS BIGINT))),
+  lambda crc, y: xor(tab[(xor(crc, y) & 255) + 1], crc >> 8))) % 10000 AS bucket FROM g, c),
+n AS (SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM f JOIN b USING (f) GROUP BY bucket),
+m AS (SELECT count(*) FILTER (NOT target) AS all_s, count(*) FILTER (target) AS all_t FROM f),
+k AS MATERIALIZED (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (all_s + 10000) / ((CAST(s AS DOUBLE) + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM n, m),
+w AS (SELECT doc_id, count(*) AS n_features, sum(gain) AS total FROM f JOIN b USING (f) JOIN k USING (bucket) WHERE NOT target GROUP BY doc_id),
+d AS (SELECT x.doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(CAST(floor(CAST(total AS DOUBLE) / n_features) AS BIGINT), 0) AS weight,
+  CAST(concat('0x', substr(sha256(concat('7:', x.doc_id)), 1, 8)) AS BIGINT) AS h FROM x LEFT JOIN w ON x.doc_id = w.doc_id WHERE NOT x.target),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS fit FROM e WHERE n_words >= 20)
+SELECT e.doc_id, n_features, weight, score, CASE WHEN place <= 25 * fit // 100 THEN place END AS rank FROM e LEFT JOIN o ON e.doc_id = o.doc_id"""
+
+
 def all_queries() -> list[Query]:
     return [
         Query("op1_exact_top_k", op1_exact_top_k, OP1),
@@ -125,4 +198,7 @@ def all_queries() -> list[Query]:
         Query("op8_toxicity", op8_toxicity),
         Query("op9_quality_classifier", op9_quality_classifier),
         Query("op10_url_filters", op10_url_filters),
+        Query("op11_merkle_manifest", op11_merkle_manifest, OP11),
+        Query("op12_exact_dedup", op12_exact_dedup, OP12),
+        Query("op13_target_resampling", op13_target_resampling, OP13),
     ]

@@ -22,7 +22,7 @@ def con():
 
 
 def test_all_registered():
-    assert sorted(n.split("_")[0] for n in ALL) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in ALL) == sorted(f"op{i}" for i in range(1, 14))
     assert {*ALL, "pipeline"} <= set(entry.queries())
 
 
