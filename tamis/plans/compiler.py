@@ -34,9 +34,14 @@ NO_TEXT = "cast(NULL AS STRING)"
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"
 
 
-def decoded_step(rs: RuleSet, text: str) -> str:
-    """SQL of one step of a structure that nests in itself, decoded from JSON."""
-    return f"from_json({text}, {quote(rs.ddl)}, map('timestampFormat', {quote(TIME_FORMAT)}))"
+def decoded_step(f: Field, text: str) -> str:
+    """SQL of one step of a structure that nests in itself under ``f``, decoded from JSON; what nests in it stays text."""
+    ddl = f"{f.of.ddl}, {ident(f.name)} {nesting.nested_type(f)}"
+    return f"from_json({text}, {quote(ddl)}, map('timestampFormat', {quote(TIME_FORMAT)}))"
+
+
+def step_type(f: Field) -> str:
+    return f"{f.of.struct_type[:-1]}, {ident(f.name)}: {nesting.nested_type(f)}>"
 
 
 def error_struct(field: str, message: str, code: str, value: str = NO_TEXT, expected: str = NO_TEXT,
@@ -272,12 +277,12 @@ class Compiler:
         halves = []
         for key, fields in ((f"{d}.k", f.of.fields[:f.place]), (f"concat({d}.k, array({nesting.LAST}))", f.of.fields[f.place:])):
             parts, fails = self._structure(f.of, f"{d}.x", (("sql", f"{d}.p"),), level + 1, Scope(top=False), fields)
-            found = NO_ERRORS if fails == "false" else f"CASE WHEN {fails} THEN {assemble(parts, NO_ERRORS)} ELSE {NO_ERRORS} END"
-            halves.append(f"named_struct('k', {key}, 'e', {found})")
-        steps = nesting.steps_sql(f, r, to_sql(prefix), level)
-        typed = f"transform({steps}, {e} -> named_struct('p', {e}.p, 'k', {e}.k, 'x', {decoded_step(f.of, e + '.j')}))"
-        ordered = f"array_sort(flatten(transform({typed}, {d} -> array({', '.join(halves)}))))"
-        return f"flatten(transform({ordered}, {e} -> {e}.e))"
+            if fails != "false":
+                halves.append(f"if({fails}, named_struct('k', {key}, 'e', {assemble(parts, NO_ERRORS)}), NULL)")
+        steps = nesting.steps_sql(f, r, to_sql(prefix), level, lambda text: decoded_step(f, text), step_type(f))
+        # only what is wrong is put in order
+        wrong = f"filter(flatten(transform({steps}, {d} -> array({', '.join(halves)}))), {e} -> {e} IS NOT NULL)"
+        return f"flatten(transform(array_sort({wrong}), {e} -> {e}.e))"
 
     def _structure(self, rs: RuleSet, x: str, prefix: Pieces, level: int, scope: "Scope", fields: tuple[Field, ...] | None = None
                    ) -> tuple[list[Segment], str]:

@@ -1,39 +1,60 @@
 """Structures that nest in themselves to any depth: their steps as one flat array.
 
 The unrolled levels of such a structure are ordinary nested structs. What lies below them is kept as JSON text and
-flattened here, inside the row: a frontier of steps is replaced by their children until none are left, so the expression does not
-grow with the depth and only records that are nested that deeply pay for it.
+flattened here, inside the row: a frontier of steps is replaced by their children, level by level, so the expression does not
+grow with the depth and only records that are nested that deeply pay for it. A level costs the steps on it and what lies
+below them, however many siblings there are: every step is decoded once, the levels are collected as they are and put
+together at the end, and there are as many rounds as objects lie in one another, which is read off the text's brackets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from tamis.functions.text import ident, quote
 from tamis.plans.ruleset import Field
 
-STEP = "STRUCT<p: STRING, k: ARRAY<INT>, j: STRING>"
-NO_STEPS = f"cast(array() AS ARRAY<{STEP}>)"
 LAST = 2147483647  # sorts behind all children
 
 
-def _below(f: Field, text: str, prefix: str, key: str, level: int) -> str:
-    """The steps directly in the JSON ``text`` of the nested field."""
+def depth_sql(text: str) -> str:
+    """SQL of how many objects of the JSON ``text`` lie in one another, at most."""
+    # without strings, then without the innermost objects, which leaves few brackets of a wide record
+    plain = f"regexp_replace(replace(replace({text}, '\\\\\\\\', ''), '\\\\\"', ''), '\"[^\"]*\"', '')"
+    brackets = f"regexp_extract_all(regexp_replace({plain}, '[{{][^{{}}]*[}}]', ''), '[{{}}]', 0)"
+    now = "b.d + if(c = '{', 1, -1)"
+    step = f"named_struct('d', {now}, 'm', greatest(b.m, {now}))"
+    return f"aggregate({brackets}, named_struct('d', 0, 'm', 0), (b, c) -> {step}, b -> b.m + 1)"
+
+
+def levels_sql(start: str, below: Callable[[str], str], element: str, rounds: str, level: int) -> str:
+    """SQL of all elements that are reached from the array ``start``; ``below`` gives SQL of the array under one of them."""
+    acc, n = f"acc{level}", f"n{level}"
+    zero = f"named_struct('f', {start}, 'a', cast(array() AS ARRAY<ARRAY<{element}>>))"
+    merge = f"named_struct('f', flatten(transform({acc}.f, {n} -> {below(n)})), 'a', concat({acc}.a, array({acc}.f)))"
+    return (f"aggregate(sequence(1, {rounds}), {zero}, ({acc}, r{level}) -> {merge},"
+            f" {acc} -> flatten(concat({acc}.a, array({acc}.f))))")
+
+
+def nested_type(f: Field) -> str:
+    return "ARRAY<STRING>" if f.many else "STRING"
+
+
+def steps_sql(f: Field, text: str, prefix: str, level: int, decoded: Callable[[str], str], decoded_type: str) -> str:
+    """SQL of all steps below: path prefix ``p``, sort key ``k`` and ``x``, the step as ``decoded`` makes it from JSON text, with
+    the nested ones as text. ``text`` is SQL of the field's JSON text."""
+    element = f"STRUCT<p: STRING, k: ARRAY<INT>, x: {decoded_type}>"
+    none = f"cast(array() AS ARRAY<{element}>)"
     c, i = f"c{level}", f"ci{level}"
-    if f.many:
-        place = f"concat({prefix}, {quote(f.label + '[')}, cast({i} AS STRING), '].')"
-        step = f"named_struct('p', {place}, 'k', concat({key}, array({i})), 'j', {c})"
-        return f"coalesce(transform(from_json({text}, 'array<string>'), ({c}, {i}) -> {step}), {NO_STEPS})"
-    step = f"named_struct('p', concat({prefix}, {quote(f.label + '.')}), 'k', concat({key}, array(0)), 'j', cast({c} AS STRING))"
-    return f"transform(filter(array({text}), {c} -> {c} IS NOT NULL), {c} -> {step})"
-
-
-def steps_sql(f: Field, text: str, prefix: str, level: int) -> str:
-    """SQL of all steps below: path prefix ``p``, sort key ``k``, JSON ``j``. ``text`` is SQL of the field's JSON text."""
-    n, acc = f"n{level}", f"acc{level}"
-    nested = f"from_json({n}.j, {quote(ident(f.name) + ' STRING')}).{ident(f.name)}"
-    step = f"flatten(transform({acc}.f, {n} -> {_below(f, nested, n + '.p', n + '.k', level)}))"
-    # every level opens a brace, so braces bound the depth
-    rounds = f"sequence(1, 1 + length({text}) - length(replace({text}, '{{', '')))"
-    start = f"named_struct('f', {_below(f, text, prefix, 'cast(array() AS ARRAY<INT>)', level)}, 'a', {NO_STEPS})"
-    merge = f"named_struct('f', {step}, 'a', concat({acc}.a, {acc}.f))"
-    found = f"aggregate({rounds}, {start}, ({acc}, r{level}) -> {merge}, {acc} -> concat({acc}.a, {acc}.f))"
-    return f"CASE WHEN {text} IS NULL THEN {NO_STEPS} ELSE {found} END"
+
+    def below(items: str, p: str, k: str) -> str:
+        if f.many:
+            place = f"concat({p}, {quote(f.label + '[')}, cast({i} AS STRING), '].')"
+            return f"coalesce(transform({items}, ({c}, {i}) -> named_struct('p', {place}, 'k', concat({k}, array({i})), 'x', {decoded(c)})), {none})"
+        step = f"named_struct('p', concat({p}, {quote(f.label + '.')}), 'k', concat({k}, array(0)), 'x', {decoded(c)})"
+        return f"transform(filter(array({items}), {c} -> {c} IS NOT NULL), {c} -> {step})"
+
+    first = f"from_json({text}, 'array<string>')" if f.many else text
+    start = below(first, prefix, "cast(array() AS ARRAY<INT>)")
+    found = levels_sql(start, lambda n: below(f"{n}.x.{ident(f.name)}", n + ".p", n + ".k"), element, depth_sql(text), level)
+    return f"CASE WHEN {text} IS NULL THEN {none} ELSE {found} END"

@@ -101,19 +101,36 @@ def _wrong(rs: RuleSet, v: str, path: str, level: int, places: dict | None) -> l
 
 def _wrong_below(f: Field, at: str, level: int) -> str:
     """True when what is nested below ``at`` holds, at any depth, a value of the wrong JSON type."""
-    n, s = f"wn{level}", f"ws{level}"
-    container = "ARRAY" if f.many else "OBJECT"
-    misplaced = f"coalesce(NOT startswith({_json_kind('{}')}, '{container}') AND {_json_kind('{}')} != 'VOID', false)"
-    ddl = f"{f.of.ddl}, `{CORRUPT}` STRING"
-    step = (f"named_struct('v', try_parse_json({n}.j), 'd', from_json({n}.j, {quote(ddl)}, {_OPTIONS}))")
-    leaf = any_of(_wrong(f.of, f"{s}.v", "$", level + 1, None))
-    inner = _at(f"{s}.v", f"$.{f.name}")
-    bad = (f"{s}.v IS NOT NULL AND {_json_kind(s + '.v')} != 'VOID' AND ({s}.d.`{CORRUPT}` IS NOT NULL OR NOT startswith({_json_kind(s + '.v')}, 'OBJECT')"
-           f" OR {leaf} OR {misplaced.format(inner, inner)})")
-    steps = nesting.steps_sql(f, f"to_json({at})", "''", level + 30)
-    below = f"exists(transform({steps}, {n} -> {step}), {s} -> {bad})"
-    present = f"{at} IS NOT NULL AND {_json_kind(at)} != 'VOID'"
-    return f"CASE WHEN {present} THEN {misplaced.format(at, at)} OR coalesce({below}, false) ELSE false END"
+    s = f"ws{level}"
+    own = ", ".join(f"{quote(g.name)}, {_at(s, _step('$', g.name))}" for g in f.of.fields)
+    # the step without what nests in it
+    typed = f"from_json(to_json(named_struct({own})), {quote(f'{f.of.ddl}, `{CORRUPT}` STRING')}, {_OPTIONS})"
+    leaf = any_of(_wrong(f.of, s, "$", level + 1, None))
+    bad = (f"{_present(s)} AND (NOT {_holds(s, many=False)} OR {leaf} OR {_misplaced(f, _at(s, _step('$', f.name)))}"
+           f" OR {typed}.`{CORRUPT}` IS NOT NULL)")
+    none = "cast(array() AS ARRAY<VARIANT>)"
+
+    def below(v: str, path: str) -> str:
+        if f.many:
+            return f"coalesce(try_variant_get({v}, {quote(path)}, 'array<variant>'), {none})"
+        return f"filter(array({_at(v, path)}), x -> {_present('x')})"
+
+    steps = nesting.levels_sql(below(at, "$"), lambda n: below(n, _step("$", f.name)), "VARIANT", nesting.depth_sql(f"to_json({at})"), level + 30)
+    return f"CASE WHEN {_present(at)} THEN {_misplaced(f, at)} OR coalesce(exists({steps}, {s} -> {bad}), false) ELSE false END"
+
+
+# the schema of a VARIANT is that of all it holds; these look at the value itself only
+def _present(v: str) -> str:
+    return f"({v} IS NOT NULL AND NOT is_variant_null({v}))"
+
+
+def _holds(v: str, many: bool) -> str:
+    """True for a JSON array, or else for an object."""
+    return f"(try_variant_get({v}, '$', '{'array<variant>' if many else 'map<string, variant>'}') IS NOT NULL)"
+
+
+def _misplaced(f: Field, v: str) -> str:
+    return f"({_present(v)} AND NOT {_holds(v, f.many)})"
 
 
 def _repeated(rs: RuleSet, counts: dict[str, list]) -> None:
@@ -177,7 +194,7 @@ def strict_sql(rules: RuleSet, text: str, variant: str, first: str, decoded: str
     record = f"from_json({text}, {quote(_typed(rules))}, {_OPTIONS})"
     bad = (
         f"{first} IS NULL OR {decoded} IS NULL OR {decoded}.`{CORRUPT}` IS NOT NULL"
-        f" OR coalesce(NOT startswith({_json_kind(variant)}, 'OBJECT'), false)"
+        f" OR ({variant} IS NOT NULL AND NOT startswith(ltrim(' \\\\t\\\\n\\\\r', {text}), '{{'))"
         f" OR {type_clash_sql(rules, variant)}"
     )
     return record, bad
