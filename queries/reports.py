@@ -9,6 +9,8 @@ from queries.base import AS_OF, Query, seed, seed_sql, table, utc
 from queries.models import DEPLOYMENT, GENERIC, INCIDENT
 from tamis.functions.predicates import register_rule
 from tamis.models import CATALOG
+from tamis.models.api import SCHEMA
+from tamis.models.github import TEAM
 from tamis.operators import report as rep
 from tamis.operators import sessions as ses
 from tamis.operators.quarantine import bad_rows, good_rows, write_split
@@ -321,6 +323,60 @@ def deep(spark, sf):
 DEEP = """WITH d AS (SELECT event_id AS k, event_id % 7 = 0 AS undecodable, 'DatabaseQuery.ExecutionPlan.Operations[0]' || repeat('.Children[0]', CAST(event_id % 23 AS INT)) AS p FROM events)
 SELECT k, undecodable, CASE WHEN NOT undecodable AND k % 3 = 0 THEN p || '.Type:required,' || p || '.Rows:gte' ELSE '' END AS found FROM d"""
 
+# the same with many siblings below the unrolled levels, whose texts hold brackets; every fourth sibling breaks a rule
+WIDE_SEED = {
+    "k": E,
+    "value": f"'{{\"execution_plan\": {{\"operations\": [' || repeat('{{\"type\": \"x\", \"children\": [', 3) || concat_ws(', ',"
+             f" transform(slice(sequence(0, 60), 1, cast({E} % 61 AS INT)), i -> if(i % 4 = 3, '{{\"type\": \"\"}}', concat('{{\"type\": \"y{{[', i, '\"}}'))))"
+             f" || repeat(']}}', 3) || ']}}}}'",
+}
+
+
+def wide(spark, sf):
+    rules = CATALOG["database"]
+    v = validate(decode(seed(spark, sf, "events", WIDE_SEED), rules), rules, as_of=AS_OF, root="record", undecodable="undecodable")
+    found = F.expr("filter(errors, e -> contains(e.path, 'Operations'))")
+    return v.select("k", "undecodable", F.array_join(F.transform(found, lambda e: e["path"]), ",").alias("found"))
+
+
+WIDE = """SELECT event_id AS k, false AS undecodable, array_to_string(list_transform(range(0, (event_id % 61) // 4),
+  lambda i: 'DatabaseQuery.ExecutionPlan.Operations[0].Children[0].Children[0].Children[' || (4 * i + 3) || '].Type'), ',') AS found FROM events"""
+
+# schemas nested event_id % 37 deep; the innermost breaks two rules, or has a value of the wrong type; every fourth record has an empty
+# name among the required ones on each level but the innermost
+SCHEMA_SEED = {
+    "k": E,
+    "value": f"repeat(CASE WHEN {E} % 4 = 0 THEN '{{\"type\": \"array\", \"required\": [\"\"], \"items\": ' ELSE '{{\"type\": \"array\", \"items\": ' END, cast({E} % 37 AS INT))"
+             f" || CASE WHEN {E} % 7 = 0 THEN '{{\"min_length\": \"1\"}}' WHEN {E} % 3 = 0 THEN '{{\"type\": \"odd\", \"min_length\": -1}}' ELSE '{{\"type\": \"string\"}}' END"
+             f" || repeat('}}', cast({E} % 37 AS INT))",
+}
+TEAM_TEXT = ('"id": {id}, "node_id": "n", "url": "http://a.b/", "html_url": "http://a.b/", "name": "n", "slug": "s", "privacy": "{privacy}", "permission": "pull",'
+             ' "members_url": "http://a.b/", "repositories_url": "http://a.b/"')
+TEAM_SEED = {
+    "k": E,
+    "value": f"repeat('{{{TEAM_TEXT.format(id=1, privacy='closed')}, \"parent\": ', cast({E} % 41 AS INT))"
+             f" || CASE WHEN {E} % 7 = 0 THEN '{{\"id\": \"1\"}}' WHEN {E} % 3 = 0 THEN '{{{TEAM_TEXT.format(id=0, privacy='open')}}}'"
+             f" ELSE '{{{TEAM_TEXT.format(id=2, privacy='secret')}}}' END || repeat('}}', cast({E} % 41 AS INT))",
+}
+
+
+def nested(rules: RuleSet, columns: dict[str, str]):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        v = validate(decode(seed(spark, sf, "events", columns), rules), rules, as_of=AS_OF, root="record", undecodable="undecodable")
+        found = F.transform(F.expr("filter(errors, e -> e.path IS NOT NULL)"), lambda e: F.concat(e["path"], F.lit(":"), e["code"]))
+        return v.select("k", "undecodable", F.array_join(found, ",").alias("found"))
+
+    return run
+
+
+DEEP_SCHEMAS = """WITH d AS (SELECT event_id AS k, event_id % 7 = 0 AS undecodable, event_id % 37 AS depth FROM events)
+SELECT k, undecodable, CASE WHEN undecodable THEN '' ELSE concat_ws(',',
+  CASE WHEN k % 3 = 0 THEN 'APISchema' || repeat('.Items', depth) || '.Type:oneof,APISchema' || repeat('.Items', depth) || '.MinLength:gte' END,
+  CASE WHEN k % 4 = 0 AND depth > 0 THEN array_to_string(list_transform(range(1, depth + 1), lambda i: 'APISchema' || repeat('.Items', depth - i) || '.Required[0]:min'), ',') END)
+  END AS found FROM d"""
+DEEP_TEAMS = """WITH d AS (SELECT event_id AS k, event_id % 7 = 0 AS undecodable, 'Team' || repeat('.Parent', event_id % 41) AS p FROM events)
+SELECT k, undecodable, CASE WHEN NOT undecodable AND k % 3 = 0 THEN p || '.ID:required,' || p || '.Privacy:oneof' ELSE '' END AS found FROM d"""
+
 ENVELOPE_SEED = {
     "k": E,
     "value": f"CASE {E} % 4 WHEN 0 THEN '{{\"model_type\": \"generic\", \"data\": [' || props || ', ' || props || '], \"threshold\": 50}}'"
@@ -564,6 +620,9 @@ def all_queries() -> list[Query]:
         Query("s02_unreadable_documents", documents, DOCUMENTS),
         Query("s05_odd_inputs", odd_inputs, ODD_INPUTS),
         Query("m43_deep_plans", deep, DEEP),
+        Query("m43_wide_plans", wide, WIDE),
+        Query("m36_deep_schemas", nested(SCHEMA, SCHEMA_SEED), DEEP_SCHEMAS),
+        Query("m65_deep_teams", nested(TEAM, TEAM_SEED), DEEP_TEAMS),
         Query("s02_row_index", row_index, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS row_index FROM orders"),
         Query("s03_s04_envelopes", envelopes, ENVELOPES),
         Query("s06_lenient_decode", lenient, LENIENT),
