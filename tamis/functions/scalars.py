@@ -32,6 +32,41 @@ def count_contained(expr: str, words: list[str], missing: bool = False) -> str:
     return "(" + " + ".join(f"if({sign}contains({expr}, {quote(w)}), 1, 0)" for w in words) + ")"
 
 
+class WordBits:
+    """The words that a model's checks look for in one text. A row's text is searched once for each word, whatever the number of
+    checks and messages that name it; the result is a number, shared by the checks as ``$:name``, with a bit per word."""
+
+    def __init__(self, name: str, text: str, *lists: list[str] | tuple[str, ...]):
+        words = list(dict.fromkeys(w for ws in lists for w in ws))
+        if len(words) > 62:
+            raise ValueError(f"{len(words)} words do not fit into the bits of one number; use several sets")
+        self.ref = f"$:{name}"
+        self.bits = {w: 1 << (len(words) - 1 - i) for i, w in enumerate(words)}
+        # the text is bound by a lambda, so that its expression is evaluated once
+        search = f"aggregate({words_array(words)}, 0L, (m, w) -> 2L * m + if(contains(t, w), 1L, 0L))"
+        self.let = {name: f"transform(array({text}), t -> {search})[0]"}
+
+    def _test(self, words: list[str] | tuple[str, ...]) -> str:
+        return f"({self.ref} & {sum({self.bits[w] for w in words})}L) != 0"
+
+    def any(self, words: list[str] | tuple[str, ...]) -> str:
+        """True when the text holds any of the words."""
+        return f"({self._test(words)})"
+
+    def first(self, words: list[str] | tuple[str, ...]) -> str:
+        """The first word, in list order, that the text holds; NULL if none."""
+        return f"(CASE {' '.join(f'WHEN {self._test([w])} THEN {quote(w)}' for w in words)} END)"
+
+    def all(self, words: list[str] | tuple[str, ...], missing: bool = False) -> str:
+        """All words the text holds (or lacks), in list order, joined with ', '."""
+        sign = "NOT " if missing else ""
+        return f"concat_ws(', ', {', '.join(f'if({sign}({self._test([w])}), {quote(w)}, NULL)' for w in words)})"
+
+    def count(self, words: list[str] | tuple[str, ...], missing: bool = False) -> str:
+        held = f"bit_count({self.ref} & {sum({self.bits[w] for w in words})}L)"
+        return f"({len(set(words))} - {held})" if missing else held
+
+
 def occurrences(expr: str, word: str) -> str:
     """Non-overlapping occurrences of a literal word."""
     return f"((char_length({expr}) - char_length(replace({expr}, {quote(word)}, ''))) div {len(word)})"

@@ -1,8 +1,6 @@
 """Database queries, transactions, migrations and backups."""
 
-from tamis.functions.scalars import (
-    all_contained, contains_any, count_contained, duration_text, first_contained, occurrences, seconds_between,
-)
+from tamis.functions.scalars import WordBits, duration_text, occurrences, seconds_between
 from tamis.functions.text import count_of
 from tamis.plans.ruleset import (
     Check, RuleSet, anything, deep, duration, flag, integer, optional, real, record, records, required, rule_set, text,
@@ -155,7 +153,10 @@ SECURITY = rule_set(
     style="database",
 )
 
-_Q = "$:lowered"
+_WORDS = WordBits(
+    "words", "lower($query)", SUSPICIOUS, ADMIN_OPERATIONS, SCHEMA_OPERATIONS, SENSITIVE_COLUMNS, COMPLEX_WORDS, PLACEHOLDERS,
+    ["where", "having", "select *", "delete from", "update ", "like '%", "--", "/*"])
+_SELECTS = "$:selects"
 _PLAN = "$execution_plan"
 
 QUERY = rule_set(
@@ -178,27 +179,27 @@ QUERY = rule_set(
     record("performance", PERFORMANCE, optional, nullable=True),
     record("security", SECURITY, optional, nullable=True),
     value_map("context", optional),
-    lets={"lowered": "lower($query)"},
+    lets={**_WORDS.let, "selects": f"transform(array(lower($query)), t -> {occurrences('t', 'select')})[0]"},
     checks=[
-        Check("SUSPICIOUS_SQL_PATTERNS", contains_any(_Q, SUSPICIOUS), "Query",
-              "Potentially dangerous SQL patterns detected: {" + all_contained(_Q, SUSPICIOUS) + "}", None,
+        Check("SUSPICIOUS_SQL_PATTERNS", _WORDS.any(SUSPICIOUS), "Query",
+              "Potentially dangerous SQL patterns detected: {" + _WORDS.all(SUSPICIOUS) + "}", None,
               "Use parameterized queries and validate all inputs", "security"),
         Check("UNPREPARED_CONDITIONAL_QUERY",
-              f"NOT $prepared_statement AND {count_of('$parameters')} = 0 AND NOT {contains_any('$query', PLACEHOLDERS)}"
-              f" AND {contains_any(_Q, ['where', 'having'])}",
+              f"NOT $prepared_statement AND {count_of('$parameters')} = 0 AND NOT {_WORDS.any(PLACEHOLDERS)}"
+              f" AND {_WORDS.any(['where', 'having'])}",
               "PreparedStatement", "Query with conditions not using prepared statements", None,
               "Use prepared statements to prevent SQL injection", "security"),
-        Check("SELECT_ALL_COLUMNS", contains_any(_Q, ["select *"]), "Query", "SELECT * query detected", None,
+        Check("SELECT_ALL_COLUMNS", _WORDS.any(["select *"]), "Query", "SELECT * query detected", None,
               "Specify only required columns for better performance", "performance"),
         Check("MISSING_WHERE_CLAUSE",
-              f"{contains_any(_Q, ['delete from', 'update '])} AND NOT {contains_any(_Q, ['where'])}",
+              f"{_WORDS.any(['delete from', 'update '])} AND NOT {_WORDS.any(['where'])}",
               "Query", "DELETE/UPDATE query without WHERE clause", None,
               "Add WHERE clause to limit affected rows", "performance"),
-        Check("LEADING_WILDCARD_LIKE", contains_any(_Q, ["like '%"]), "Query",
+        Check("LEADING_WILDCARD_LIKE", _WORDS.any(["like '%"]), "Query",
               "LIKE query with leading wildcard detected", None,
               "Leading wildcards prevent index usage - consider full-text search", "performance"),
-        Check("MULTIPLE_SUBQUERIES", f"{occurrences(_Q, 'select')} > 1", "Query",
-              "Multiple SELECT statements detected: {" + occurrences(_Q, "select") + "}", None,
+        Check("MULTIPLE_SUBQUERIES", f"{_SELECTS} > 1", "Query",
+              "Multiple SELECT statements detected: {" + _SELECTS + "}", None,
               "Consider using JOINs instead of subqueries for better performance", "performance"),
         Check("SLOW_QUERY", "$duration > 5000000000L", "Duration",
               "Slow query execution: {" + duration_text("$duration") + "}", "$duration",
@@ -206,13 +207,13 @@ QUERY = rule_set(
         Check("HIGH_ROW_COUNT", "$rows_affected > 100000", "RowsAffected",
               "High number of rows affected: {$rows_affected}", "$rows_affected",
               "Consider batch processing for large data operations", "performance"),
-        Check("ADMIN_OPERATION", contains_any(_Q, ADMIN_OPERATIONS), "Query",
-              "Administrative operation detected: {" + first_contained(_Q, ADMIN_OPERATIONS) + "}", None,
+        Check("ADMIN_OPERATION", _WORDS.any(ADMIN_OPERATIONS), "Query",
+              "Administrative operation detected: {" + _WORDS.first(ADMIN_OPERATIONS) + "}", None,
               "Ensure proper authorization for administrative operations", "security"),
-        Check("SCHEMA_MODIFICATION", contains_any(_Q, SCHEMA_OPERATIONS), "Query",
-              "Schema modification detected: {" + first_contained(_Q, SCHEMA_OPERATIONS) + "}", None,
+        Check("SCHEMA_MODIFICATION", _WORDS.any(SCHEMA_OPERATIONS), "Query",
+              "Schema modification detected: {" + _WORDS.first(SCHEMA_OPERATIONS) + "}", None,
               "Schema changes should be managed through migration scripts", "security"),
-        Check("SENSITIVE_DATA_ACCESS", contains_any(_Q, SENSITIVE_COLUMNS), "Query",
+        Check("SENSITIVE_DATA_ACCESS", _WORDS.any(SENSITIVE_COLUMNS), "Query",
               "Query accesses potentially sensitive data", None,
               "Ensure proper authorization and audit logging for sensitive data", "security"),
         Check("NO_AUDIT_LOG", "$security IS NOT NULL AND NOT $security.audit_logged", "Security.AuditLogged",
@@ -228,7 +229,7 @@ QUERY = rule_set(
               "Very long query string: {octet_length($query)} characters", "octet_length($query)",
               "Consider breaking down complex queries or using stored procedures", "maintainability"),
         Check("UNDOCUMENTED_COMPLEX_QUERY",
-              f"NOT {contains_any(_Q, ['--', '/*'])} AND {count_contained(_Q, COMPLEX_WORDS)} >= 2",
+              f"NOT {_WORDS.any(['--', '/*'])} AND {_WORDS.count(COMPLEX_WORDS)} >= 2",
               "Query", "Complex query without documentation comments", None,
               "Add comments to explain complex query logic", "maintainability"),
         Check("HIGH_QUERY_COST", f"{_PLAN}.estimated_cost > 1000", "ExecutionPlan.EstimatedCost",

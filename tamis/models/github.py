@@ -1,8 +1,6 @@
 """Pull-request events and the commit structures around them."""
 
-from tamis.functions.scalars import (
-    all_contained, contains_any, count_contained, first_contained, hours_between, ratio,
-)
+from tamis.functions.scalars import WordBits, hours_between, ratio
 from tamis.functions.text import count_of
 from tamis.plans.ruleset import (
     Check, RuleSet, anything, deep, flag, integer, optional, record, records, required, rule_set, text, texts, time,
@@ -200,11 +198,11 @@ INSTALLATION = rule_set(
     "Installation", integer("id", required, gt=0), text("node_id", required, min=1), style="github",
 )
 
-_TITLE = "$:title"
-_BODY = "$:body"
+_TITLE = WordBits("title_words", "lower($pull_request.title)", WIP_MARKS, CONFIG_WORDS, ["wip", "draft"])
+_BODY = WordBits("body_words", "lower(coalesce($pull_request.body, ''))", TEMPLATE_SECTIONS)
 _CHANGES = "($pull_request.additions + $pull_request.deletions)"
 _SHORT = "($pull_request.body IS NULL OR octet_length($pull_request.body) < 10)"
-_BOTH = "$:both"
+_BOTH = WordBits("both_words", "lower(concat($pull_request.title, '\\n', coalesce($pull_request.body, '')))", SECURITY_WORDS)
 _AGE = hours_between("$pull_request.created_at", "$now")
 
 PULL_REQUEST_EVENT = rule_set(
@@ -216,16 +214,12 @@ PULL_REQUEST_EVENT = rule_set(
     record("sender", USER, required),
     record("organization", USER, optional, nullable=True),
     record("installation", INSTALLATION, optional, nullable=True),
-    lets={
-        "title": "lower($pull_request.title)",
-        "body": "lower(coalesce($pull_request.body, ''))",
-        "both": "lower(concat($pull_request.title, '\\n', coalesce($pull_request.body, '')))",
-    },
+    lets={**_TITLE.let, **_BODY.let, **_BOTH.let},
     checks=[
-        Check("WIP_DETECTED", contains_any(_TITLE, WIP_MARKS), "PullRequest.Title",
-              "Pull request title contains WIP indicator: '{" + first_contained(_TITLE, WIP_MARKS) + "}'",
+        Check("WIP_DETECTED", _TITLE.any(WIP_MARKS), "PullRequest.Title",
+              "Pull request title contains WIP indicator: '{" + _TITLE.first(WIP_MARKS) + "}'",
               "$pull_request.title", "Consider marking as draft or updating title when ready for review", "workflow"),
-        Check("DRAFT_TITLE_MISMATCH", f"$pull_request.draft AND NOT {contains_any(_TITLE, ['wip', 'draft'])}",
+        Check("DRAFT_TITLE_MISMATCH", f"$pull_request.draft AND NOT {_TITLE.any(['wip', 'draft'])}",
               "PullRequest.Draft", "Pull request is marked as draft but title doesn't indicate WIP status", None,
               "Consider adding WIP or Draft indicator to title for clarity", "workflow"),
         Check("LARGE_CHANGESET", f"{_CHANGES} > 1000", "PullRequest.Changes",
@@ -242,15 +236,15 @@ PULL_REQUEST_EVENT = rule_set(
         Check("MISSING_DESCRIPTION", _SHORT, "PullRequest.Body", "Pull request description is missing or too short",
               None, "Add a detailed description explaining the changes, motivation, and testing approach",
               "documentation"),
-        Check("INCOMPLETE_TEMPLATE", f"NOT {_SHORT} AND {count_contained(_BODY, TEMPLATE_SECTIONS, missing=True)} > 2",
+        Check("INCOMPLETE_TEMPLATE", f"NOT {_SHORT} AND {_BODY.count(TEMPLATE_SECTIONS, missing=True)} > 2",
               "PullRequest.Body",
               "PR description may be missing standard sections: {"
-              + all_contained(_BODY, TEMPLATE_SECTIONS, missing=True) + "}", None,
+              + _BODY.all(TEMPLATE_SECTIONS, missing=True) + "}", None,
               "Consider using the PR template to ensure all necessary information is provided", "documentation"),
-        Check("SECURITY_KEYWORDS", contains_any(_BOTH, SECURITY_WORDS), "PullRequest.Content",
-              "Security-related keywords detected: {" + all_contained(_BOTH, SECURITY_WORDS) + "}", None,
+        Check("SECURITY_KEYWORDS", _BOTH.any(SECURITY_WORDS), "PullRequest.Content",
+              "Security-related keywords detected: {" + _BOTH.all(SECURITY_WORDS) + "}", None,
               "Ensure no sensitive information is exposed and consider security review", "security"),
-        Check("CONFIG_FILE_CHANGES", f"$pull_request.changed_files > 0 AND {contains_any(_TITLE, CONFIG_WORDS)}",
+        Check("CONFIG_FILE_CHANGES", f"$pull_request.changed_files > 0 AND {_TITLE.any(CONFIG_WORDS)}",
               "PullRequest.Title", "Configuration or deployment files may be modified", None,
               "Review configuration changes carefully and ensure no secrets are exposed", "security"),
         Check("FORK_CONTRIBUTION", "$repository.fork", "Repository.Fork", "Pull request is from a forked repository",
