@@ -16,7 +16,7 @@ the second round, by d(q, pivot) - radius, and bounds the search in the trees th
 bounds carry a slack for rounding, so nothing is lost, and equal scores are ordered by the smaller id.
 
 Vectors that are null or hold null or non-finite components take no part; neither do rows without an id. Rows that share an id are
-candidates one by one. Vectors shorter than the longest of the table take no part, as candidates or as queries.
+candidates one by one. A query is compared with the vectors of its own length only: every length has pivots and trees of its own.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ from pyspark.sql import functions as F
 from tamis.llm.store import stored
 
 PIVOTS = 256
+#: So many of the most common lengths share the pivots; every other length has one.
+COMMON_LENGTHS = 8
+#: Queries of a group at most, about; a tree's pages are sent once for each of them.
+QUERY_BLOCK = 4096
 TREE = "tree bigint, page int, parent int, leaf boolean, entries int, ids array<bigint>, vectors binary, radii binary, parent_distances binary, children array<int>"
 SLACK = 1e-6
 
@@ -195,30 +199,54 @@ def search_tree(pages: list[dict], q: np.ndarray, norm2: float, best: Best, own:
                     heapq.heappush(queue, (low, page["children"][i], dist))
 
 
+def by_length(batch: pa.RecordBatch, vector: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each length of ``vector``."""
+    lengths = pc.list_value_length(batch.column(vector)).to_numpy(zero_copy_only=False)
+    for length in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == length)
+        yield length, batch if len(rows) == batch.num_rows else batch.take(pa.array(rows))
+
+
+class _Centers:
+    """Pivots by the length of their vectors: numbers and raised vectors."""
+
+    def __init__(self, numbers: list[int], vectors: list[np.ndarray]):
+        by: dict[int, list[int]] = {}
+        for i, v in enumerate(vectors):
+            by.setdefault(len(v) - 1, []).append(i)
+        self._of = {n: (np.array([numbers[i] for i in rows]), np.stack([vectors[i] for i in rows])) for n, rows in by.items()}
+
+    def of(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        return self._of.get(length, (np.zeros(0, dtype=np.int64), np.zeros((0, length + 1))))
+
+
 def build(vectors: DataFrame, pivots: int = PIVOTS, tree_size: int = 4096, page: int = 128) -> tuple[DataFrame, DataFrame, float]:
-    """(pages, pivots, norm2) of ``vectors`` (vec_id, v: array<bigint>). The pivot table holds at most ``pivots`` rows:
-    pivot, vector, radius, trees. ``norm2`` is the largest squared length."""
+    """(pages, pivots, norm2) of ``vectors`` (vec_id, v: array<bigint>). The pivot table holds at most ``pivots`` rows, and
+    one for each rare length: pivot, vector, radius, trees. ``norm2`` is the largest squared length."""
     spark = vectors.sparkSession
     norm = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x)
-    longest = vectors.agg(F.max(F.size("v"))).first()[0] or 0
-    vectors = vectors.where(F.size("v") == longest)
-    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm2")).first()
-    norm2 = float(size["norm2"] or 0)
-    wanted = int(min(max(size["n"] // 1024, 1), pivots))
-    chosen = [np.array(r["v"], dtype=np.float64) for r in vectors.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(wanted).collect()]
-    centers = raised(np.stack(chosen), norm2) if chosen else np.zeros((1, 1))
-    shared = spark.sparkContext.broadcast(centers)  # at most `pivots` vectors
+    sizes = vectors.groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm2"))
+    sizes = sizes.orderBy(F.desc("n"), "length").collect()  # a row per length
+    norm2 = float(max((r["norm2"] for r in sizes), default=0) or 0)
+    place = [F.xxhash64(F.lit(5), "vec_id"), F.col("vec_id")]
+    chosen = [r["v"] for s in sizes[:COMMON_LENGTHS]
+              for r in vectors.where(F.size("v") == s["length"]).orderBy(*place).limit(int(min(max(s["n"] // 1024, 1), pivots // COMMON_LENGTHS if len(sizes) > 1 else pivots))).collect()]
+    rare = [s["length"] for s in sizes[COMMON_LENGTHS:]]
+    if rare:
+        others = vectors.where(~F.size("v").isin([s["length"] for s in sizes[:COMMON_LENGTHS]]))
+        chosen += [r["v"] for r in others.groupBy(F.size("v")).agg(F.min_by("v", F.struct(*place)).alias("v")).collect()]
+    centers = [raised(np.array([v], dtype=np.float64), norm2)[0] for v in chosen]
+    shared = spark.sparkContext.broadcast(_Centers(list(range(len(centers))), centers))  # at most `pivots` vectors, and one of each rare length
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
         for batch in batches:
-            x = raised(_matrix(batch.column("v")), norm2)
-            if not len(x):
-                continue
-            d2 = (x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None] - 2 * x @ c.T
-            nearest = np.argmin(d2, axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("v"), pa.array(nearest.astype(np.int32)), pa.array(distances(x, c[nearest]))], ["vec_id", "v", "pivot", "distance"])
+            for length, part in by_length(batch, "v"):
+                number, c = shared.value.of(length)
+                x = raised(_matrix(part.column("v")), norm2)
+                d2 = (x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None] - 2 * x @ c.T
+                nearest = np.argmin(d2, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("vec_id"), part.column("v"), pa.array(number[nearest].astype(np.int32)), pa.array(distances(x, c[nearest]))], ["vec_id", "v", "pivot", "distance"])
 
     assigned = stored(vectors.select("vec_id", "v").mapInArrow(assign, "vec_id bigint, v array<bigint>, pivot int, distance double"), "assigned")
     of_pivot = assigned.groupBy("pivot").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("n"))
@@ -243,27 +271,27 @@ def build(vectors: DataFrame, pivots: int = PIVOTS, tree_size: int = 4096, page:
 
 PAGES = pa.schema([("tree", pa.int64()), ("page", pa.int32()), ("parent", pa.int32()), ("leaf", pa.bool_()), ("entries", pa.int32()), ("ids", pa.list_(pa.int64())),
                    ("vectors", pa.binary()), ("radii", pa.binary()), ("parent_distances", pa.binary()), ("children", pa.list_(pa.int32()))])
-FOUND = "query_id bigint, q array<bigint>, vec_id bigint, score bigint, computed bigint, avoided bigint"
+FOUND = "query_id bigint, vec_id bigint, score bigint, computed bigint, avoided bigint"
 
 
 def _routes(queries: DataFrame, pivots: DataFrame, norm2: float, home: bool) -> DataFrame:
     """(tree, query_id, q, least): for the first round one tree of the query's nearest pivot; for the second, all other trees of all
     pivots that may hold a score of at least ``least``."""
-    rows = pivots.orderBy("pivot").collect()  # bounded by the number of pivots
-    centers = np.array([r["vector"] for r in rows])
-    radius, trees, number = (np.array([r[c] for r in rows]) for c in ("radius", "trees", "pivot"))
+    rows = {r["pivot"]: r for r in pivots.collect()}  # bounded by the number of pivots
+    shared = _Centers(list(rows), [np.array(r["vector"]) for r in rows.values()])
+    of_pivot = {i: (r["radius"], r["trees"]) for i, r in rows.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for length, batch in (x for batch in batches for x in by_length(batch, "q")):
+            number, centers = shared.of(length)
+            radius, trees = (np.array([of_pivot[i][j] for i in number.tolist()]) for j in (0, 1))
             q = _matrix(batch.column("q"))
-            if not len(q) or not len(rows):
-                continue
             out: list[list[int]] = []
             q2 = (q**2).sum(axis=1)
             least = batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
             ids = batch.column("query_id").to_pylist()
             d = np.sqrt(np.maximum(q2[:, None] + (centers**2).sum(axis=1)[None] - 2 * q @ centers[:, :-1].T, 0))
-            for i in range(len(q)):
+            for i in range(len(q) if len(number) else 0):
                 nearest = int(np.argmin(d[i] - radius))
                 first = int(number[nearest]) * (1 << 32) + (ids[i] % int(trees[nearest]))
                 if home:
@@ -272,6 +300,7 @@ def _routes(queries: DataFrame, pivots: DataFrame, norm2: float, home: bool) ->
                 limit = np.inf if np.isnan(least[i]) else np.sqrt(max(q2[i] + norm2 - 2 * least[i], 0)) + SLACK * (1 + np.sqrt(q2[i] + norm2))
                 some = np.flatnonzero(d[i] - radius <= limit)
                 out.append([t for p in some for t in range(int(number[p]) * (1 << 32), int(number[p]) * (1 << 32) + int(trees[p])) if t != first])
+            out = out or [[]] * len(q)  # no vector of this length is indexed
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), batch.column("least"), pa.array(out, pa.list_(pa.int64()))],
                                              ["query_id", "q", "least", "trees"])
 
@@ -279,23 +308,23 @@ def _routes(queries: DataFrame, pivots: DataFrame, norm2: float, home: bool) ->
     return routed.select(F.explode("trees").alias("tree"), "query_id", "q", "least")
 
 
-def _searched(pages: DataFrame, routes: DataFrame, norm2: float, k: int) -> DataFrame:
-    """The k best of every (tree, query). Queries come to a tree in blocks of a few hundred, each a task's group."""
-    blocks = 8
+def _searched(pages: DataFrame, routes: DataFrame, norm2: float, k: int, blocks: int) -> DataFrame:
+    """The k best of every (tree, query). Queries come to a tree in ``blocks`` by the hash of their ids, each a task's group."""
     here = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    there = routes.select(F.col("tree").alias("t"), F.pmod("query_id", F.lit(blocks)).cast("int").alias("b"), "query_id", "q", "least")
+    there = routes.select(F.col("tree").alias("t"), F.pmod(F.xxhash64(F.lit(8), "query_id"), F.lit(blocks)).cast("int").alias("b"), "query_id", "q", "least")
 
     def run(tree_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("query_id", "q", "vec_id", "score", "computed", "avoided")}
+        out: dict[str, list] = {c: [] for c in ("query_id", "vec_id", "score", "computed", "avoided")}
         if tree_rows.num_rows and query_rows.num_rows:
             tree = _unpacked(tree_rows)
-            for r in query_rows.to_pylist():
-                best, count = Best(k, -np.inf if r["least"] is None else r["least"]), {"computed": 0, "avoided": 0}
-                search_tree(tree, np.array(r["q"], dtype=np.float64), norm2, best, r["query_id"], count)
+            vectors = _matrix(query_rows.column("q").combine_chunks())
+            for q, query_id, least in zip(vectors, query_rows.column("query_id").to_pylist(), query_rows.column("least").to_pylist(), strict=True):
+                best, count = Best(k, -np.inf if least is None else least), {"computed": 0, "avoided": 0}
+                search_tree(tree, q, norm2, best, query_id, count)
                 for s, i in best.heap:
-                    for c, v in (("query_id", r["query_id"]), ("q", r["q"]), ("vec_id", -i), ("score", s), *count.items()):
+                    for c, v in (("query_id", query_id), ("vec_id", -i), ("score", s), *count.items()):
                         out[c].append(v)
-        return pa.table({c: pa.array(v, pa.list_(pa.int64()) if c == "q" else pa.int64()) for c, v in out.items()})
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     return here.groupBy("tree", "block").cogroup(there.groupBy("t", "b")).applyInArrow(run, FOUND)
 
@@ -304,11 +333,10 @@ def top_k(index: tuple[DataFrame, DataFrame, float], queries: DataFrame, k: int
     """(query_id, rank, vec_id, score) of the ``k`` highest inner products of every query (query_id, q: array<bigint>) with
     the indexed vectors but those of the query's own id; fewer if there are fewer."""
     pages, pivots, norm2 = index
-    length = pivots.agg(F.max(F.size("vector"))).first()[0] or 1
-    queries = queries.where(F.size("q") == length - 1)
-    first = stored(_searched(pages, _routes(queries.withColumn("least", F.lit(None).cast("bigint")), pivots, norm2, home=True), norm2, k), "first")
+    blocks = max(8, -(-queries.count() // QUERY_BLOCK))
+    first = stored(_searched(pages, _routes(queries.withColumn("least", F.lit(None).cast("bigint")), pivots, norm2, home=True), norm2, k, blocks), "first")
     kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", F.col("kth").alias("least"))
-    rest = _searched(pages, _routes(queries.join(kth, "query_id", "left"), pivots, norm2, home=False), norm2, k)
+    rest = _searched(pages, _routes(queries.join(kth, "query_id", "left"), pivots, norm2, home=False), norm2, k, blocks)
     found = first.select("query_id", "vec_id", "score").unionByName(rest.select("query_id", "vec_id", "score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

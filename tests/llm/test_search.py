@@ -39,6 +39,26 @@ def test_top_k_small_tables(spark):
     assert {r["vec_id"] for r in got if r["query_id"] == 2} == {1}
 
 
+def test_top_k_of_every_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=int(n)).tolist(), "e") for i, n in enumerate(rng.choice([6, 7, 9], 400, p=[0.6, 0.3, 0.1]))]
+    rows += [(1000 + n, rng.normal(size=n).tolist(), "e") for n in range(10, 22)]  # more lengths than share the pivots, one vector of each
+    rows += [(2000, [], "e"), (2001, [], "e"), (3000, rng.normal(size=30).tolist(), "e"), (3001, rng.normal(size=30).tolist(), "e")]
+    got = {}
+    for r in top(spark, rows).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(np.float64)).astype(np.int64) for i, v, _ in rows}
+    for q, x in whole.items():
+        best = sorted((-int(x @ y), i) for i, y in whole.items() if i != q and len(y) == len(x))[:5]
+        assert sorted(got.get(q, [])) == [(r + 1, i, -s) for r, (s, i) in enumerate(best)]
+
+
+def test_queries_of_a_tree_come_in_blocks(spark):
+    # ids are multiples of 50: their hashes fill all blocks alike
+    n = spark.range(0, 50 * 40_000, 50).select(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(10)).alias("b")).groupBy("b").count().collect()
+    assert len(n) == 10 and max(r["count"] for r in n) < 1.1 * mtree.QUERY_BLOCK
+
+
 def test_search_avoids_computations():
     rng = np.random.default_rng(2)
     x = np.rint(np.repeat(rng.normal(size=(20, 4)) * 500, 100, axis=0) + rng.normal(size=(2000, 4)) * 5)
