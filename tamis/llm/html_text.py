@@ -1,13 +1,13 @@
 """Main text of web pages by line-block distribution.
 
 A page is stripped of its markup into lines, one per block element, in page order. Menus, headers, footers, sidebars, notices,
-adverts, forms, comments of readers, scripts and styles become empty lines, as do, outside an article element, lines that are
-mostly links. The distribution is the sum of the line lengths over a sliding window: it surges where text begins and dives to zero
-behind its last line. Of the stretches between surge and dive the one with most text is the content, whatever elements it lies in. If most of its
-text lies in article (or main) elements, these bound and widen it: its lines outside them go, all lines of these elements and of
-sibling ones in the same container come. Else the stretches in the same container as most of its text belong to it too. So an advert in
-the middle splits nothing off, and a short article element overrides no heavier text beside it. All lines of what is chosen are
-kept, headings and short ones included.
+adverts, forms, comments of readers, scripts and styles become empty lines. The distribution is the sum of the line lengths, without
+lines that are mostly links, over a sliding window: a stretch of text begins where it surges over the threshold and ends where it
+dives to zero. The stretches tell where the content is: it lies in the smallest container that holds most of their text, whatever
+elements the page is built of, and what surges elsewhere goes. To the stretches of that container come the lines of text that adjoin
+them there and, where a stretch lies in an article or main element, the rest of that element, such as a last short line behind an
+advert. So an element's name widens what the distribution has found and finds nothing by itself. All lines of what is chosen are kept,
+headings and short ones included.
 
 White space within a line becomes one blank, character references are decoded, lines are joined by a newline. Null, empty and
 text-free pages give an empty text. Broken markup never raises: unclosed elements end with what holds them.
@@ -27,9 +27,13 @@ from pyspark.sql.types import StructType
 from tamis.llm.textbytes import by_bytes
 
 WINDOW = 3
-#: A stretch outside an article element begins where the window holds more than so many characters.
+#: A stretch begins where the window holds more than so many characters, or this share of what the fullest window holds, if that is less.
 SURGE = 40
+SURGE_SHARE = 0.5
+#: A line with this share of link text counts nothing.
 LINK_SHARE = 0.6
+#: The content's container holds at least this share of the text of all stretches.
+HOME_SHARE = 2 / 3
 
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul""".split())
@@ -194,9 +198,15 @@ def lines_of(page: str) -> list[_Line | None]:
         if attributes.endswith("/") and name not in BLOCKS:
             continue
         # elements that end by the start of the next
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            pop()
-        elif name in BLOCKS and stack and stack[-1][0] == "p":
+        if name in BLOCKS:
+            above = len(stack)
+            while above and stack[above - 1][0] not in BLOCKS:  # what is open inside the innermost block goes with it
+                above -= 1
+            ends = (name, "p") if name in ("p", "li", "dt", "dd", "tr", "td", "th") else ("p",)
+            if above and stack[above - 1][0] in ends:
+                while len(stack) >= above:
+                    pop()
+        elif name == "option" and stack and stack[-1][0] == name:
             pop()
         is_article = name in ("article", "main")
         bad = _dropped(name, attributes, articles > 0 or is_article)
@@ -224,52 +234,59 @@ def lines_of(page: str) -> list[_Line | None]:
     return out
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page."""
-    lines = lines_of(page) if page else []
-    if not lines:
-        return ""
-    length = np.zeros(len(lines) + WINDOW, dtype=np.int64)
-    inside = np.zeros(len(lines), dtype=bool)
-    for i, line in enumerate(lines):
-        if line is not None and (line.article or line.links < LINK_SHARE * len(line.text)):
-            length[i] = len(line.text)
-            inside[i] = line.article > 0
-    total = np.concatenate([[0], np.cumsum(length)])
+def stretches_of(length: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) line of every stretch between a surge and a dive of the window sums."""
+    total = np.concatenate([[0], np.cumsum(np.append(length, np.zeros(WINDOW, dtype=np.int64)))])
     sums = total[WINDOW:] - total[:-WINDOW]  # sums[i]: lines i to i + WINDOW - 1
-    stretches: list[tuple[int, int]] = []
+    surge = min(SURGE, sums.max() * SURGE_SHARE)
+    out = []
     i = 0
-    while i < len(lines):
-        if length[i] and (inside[i] or sums[i] > SURGE):  # surge
+    while i < len(length):
+        if length[i] and sums[i] > surge:
             end = i
-            while end < len(lines) and sums[end]:  # dive
+            while end < len(length) and sums[end]:
                 end += 1
-            stretches.append((i, end))
+            out.append((i, end - 1))
             i = end
         i += 1
-    if not stretches:  # little text anywhere: what there is
-        stretches = [(0, len(lines))] if length.any() else []
-    if not stretches:
-        return ""
+    return out
 
-    def kept(a: int, b: int) -> list[_Line]:
-        return [lines[j] for j in range(a, b) if length[j]]
 
-    best = max(stretches, key=lambda s: (total[s[1]] - total[s[0]], -s[0]))
-    own = kept(*best)
-    in_articles = [line for line in own if line.article]
-    if 2 * sum(len(line.text) for line in in_articles) > total[best[1]] - total[best[0]]:
-        chosen = {line.article for line in in_articles}
-        around = {line.box[line.box.index(line.article) - 1] for line in in_articles}  # the containers of these elements
-        return "\n".join(line.text for line in lines if line is not None and line.article
-                         and (line.article in chosen or line.box[line.box.index(line.article) - 1] in around))
+def home_of(lines: list[_Line | None], length: np.ndarray, stretches: list[tuple[int, int]]) -> int:
+    """The smallest container with ``HOME_SHARE`` of the stretches' text."""
     weight: dict[int, int] = {}
-    for line in own:
-        box = line.box[-2] if len(line.box) > 1 else 0  # the container of the line's own block
-        weight[box] = weight.get(box, 0) + len(line.text)
-    home = max(weight, key=lambda b: (weight[b], -b))
-    texts = [lines[j].text for s in stretches for j in range(*s) if length[j] and (s == best or (home > 2 and home in lines[j].box))]
-    return "\n".join(texts)
+    for a, b in stretches:
+        for i in range(a, b + 1):
+            if length[i]:
+                for box in lines[i].box[:-1] or (0,):  # the last box is the line's own block
+                    weight[box] = weight.get(box, 0) + int(length[i])
+    # boxes are numbered as they open, so of those that hold each other the smallest has the largest number
+    return max(box for box, n in weight.items() if n >= HOME_SHARE * weight[0])
+
+
+def extract(page: str | None) -> str:
+    """The main text of one page."""
+    lines = lines_of(page) if page else []
+    whole = np.array([0 if line is None else len(line.text) for line in lines], dtype=np.int64)
+    if not whole.any():
+        return ""
+    length = np.where([line is None or line.links >= LINK_SHARE * len(line.text) for line in lines], 0, whole)
+    if not length.any():  # nothing but links
+        length = whole
+    stretches = stretches_of(length)
+    if not stretches:
+        return ""
+    home = home_of(lines, length, stretches)
+    inside = np.array([line is not None and home in line.box for line in lines])
+    kept = np.zeros(len(lines), dtype=bool)
+    for a, b in stretches:
+        while a > 0 and length[a - 1] and inside[a - 1]:
+            a -= 1
+        while b + 1 < len(lines) and length[b + 1] and inside[b + 1]:
+            b += 1
+        kept[a:b + 1] |= inside[a:b + 1]
+    articles = {lines[i].article for i in np.flatnonzero(kept)} - {0}
+    return "\n".join(line.text for i, line in enumerate(lines) if line is not None and (kept[i] or line.article in articles))
 
 
 def main_text(pages: DataFrame, column: str = "html") -> DataFrame:

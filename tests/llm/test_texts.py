@@ -62,6 +62,60 @@ def test_short_article_overrides_no_heavier_stretch(page):
     assert html_text.extract(page.format(*body)).split("\n")[:2] == [b.strip() for b in body]
 
 
+def article_of(page):
+    article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = [" ".join(markup.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:h1|p)>", article)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_the_distribution_finds_articles_in_plain_elements(monkeypatch):
+    import duckdb
+    given = [h for h, in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    divs = [h.replace("<article>", "<div>").replace("</article>", "</div>") for h in given]
+    assert [html_text.extract(h) for h in divs] == [article_of(h) for h in given]
+    # no telling element or name at all: menus, adverts and footers are plain blocks beside the article's
+    plain = [re.sub(r"<(/?)(?:nav|article|footer|header|aside|main|section|form)\b[^>]*>", r"<\1div>", re.sub(r"\s(?:class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", h))
+             for h in given]
+    found = sum(html_text.extract(p) == article_of(h) for p, h in zip(plain, given, strict=True))
+    assert found >= 0.95 * len(given)
+    monkeypatch.setattr(html_text, "SURGE", 10**9)  # nothing surges, and so there is no text
+    monkeypatch.setattr(html_text, "SURGE_SHARE", 1)
+    assert {html_text.extract(h) for h in given} == {""}
+
+
+def test_surge_dive_and_window_decide(monkeypatch):
+    gap = "<nav>menu</nav>"
+    page = f"<div><p>{'long ' * 40}</p>{gap}<p>twelve chars</p>{gap}<p>{'more ' * 30}</p></div><div><p>{'else ' * 5}</p></div>"
+    long, more = ("long " * 40).strip(), ("more " * 30).strip()
+    assert html_text.extract(page) == f"{long}\n{more}"  # the short line does not surge
+    monkeypatch.setattr(html_text, "SURGE", 5)
+    assert html_text.extract(page) == f"{long}\ntwelve chars\n{more}"
+    monkeypatch.setattr(html_text, "SURGE", 180)
+    monkeypatch.setattr(html_text, "SURGE_SHARE", 0.9)
+    assert html_text.extract(page) == long
+
+
+def test_stretches():
+    lengths = np.array([0, 50, 0, 0, 0, 10, 60, 5, 0, 0, 0, 0, 8])
+    assert html_text.stretches_of(lengths) == [(1, 1), (5, 7)]
+    rng = np.random.default_rng(7)
+    for _ in range(200):  # every stretch starts over the threshold and ends where a window is empty
+        length = np.where(rng.random(40) < 0.5, 0, rng.integers(1, 100, 40))
+        padded = np.append(length, [0] * html_text.WINDOW)
+        sums = [int(padded[i:i + html_text.WINDOW].sum()) for i in range(40)]
+        surge = min(html_text.SURGE, max(sums) / 2)
+        inside = np.zeros(40, dtype=bool)
+        for a, b in html_text.stretches_of(length):
+            assert length[a] and sums[a] > surge and all(sums[a:b + 1]) and (b == 39 or sums[b + 1] == 0)
+            inside[a:b + 1] = True
+        assert all(inside[i] for i in range(40) if length[i] and sums[i] > surge)
+
+
+def test_unclosed_inline_elements_nest_nothing():
+    page = "<div><h1>title here</h1><p><b>one<p>two<p>three</div><div>" + "x" * 30 + "</div>"
+    assert [len(x.box) for x in html_text.lines_of(page)] == [3, 3, 3, 3, 2]
+
+
 def test_sibling_articles_are_kept():
     posts = [f"post {i} " * (10 + i) for i in range(3)]
     page = "<div><article><p>{}</p></article><nav>menu</nav><article><p>{}</p></article><article><p>{}</p></article></div><p>tail</p>"
