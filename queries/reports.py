@@ -16,7 +16,7 @@ from tamis.operators import sessions as ses
 from tamis.operators.quarantine import bad_rows, good_rows, write_split
 from tamis.operators.routing import route, unknown_types
 from tamis.operators.validate import codes, validate
-from tamis.plans.ruleset import Check, RuleSet, integer, real, required, rule_set, text
+from tamis.plans.ruleset import Check, RuleSet, integer, real, record, records, required, rule_set, text, text_map, texts
 from tamis.sources.decode import decode
 from tamis.sources.records import (
     explode_array, read_requests, record_identifier, request_records, typed_identifier, with_row_index,
@@ -303,6 +303,29 @@ ODD_INPUTS = """SELECT event_id AS k, event_id % 8 IN (2, 4, 6) AS undecodable,
   CAST(CASE event_id % 8 WHEN 0 THEN event_id WHEN 1 THEN 1000 WHEN 3 THEN event_id WHEN 7 THEN -event_id END AS bigint) AS n,
   CASE event_id % 8 WHEN 5 THEN 'b' WHEN 7 THEN 'x' END AS s, CASE WHEN event_id % 8 = 7 THEN 7::double END AS f FROM events"""
 
+# keys in other case than declared, at the top, nested and in arrays; two spellings at once; other keys and free maps stay as they are
+CASE_RULES = rule_set(
+    "Cased", text("title"), integer("n"), record("who", rule_set("Who", text("login"), texts("tags"))), records("items", rule_set("Item", integer("id"))), text_map("free"))
+CASE_SEED = {
+    "k": E,
+    "value": f"CASE {E} % 8 WHEN 0 THEN '{{\"Title\": \"a\", \"N\": ' || {E} || '}}' WHEN 1 THEN '{{\"title\": \"exact\", \"TITLE\": \"other\", \"N\": ' || {E} || '.0}}'"
+             f" WHEN 2 THEN '{{\"WHO\": {{\"LOGIN\": \"u' || {E} || '\", \"Tags\": [\"x\"]}}}}' WHEN 3 THEN '{{\"Items\": [{{\"ID\": 1}}, {{\"id\": ' || {E} || '}}, null]}}'"
+             f" WHEN 4 THEN '{{\"Free\": {{\"Title\": \"kept\", \"ID\": \"7\"}}}}' WHEN 5 THEN '{{\"Title\": 5}}' WHEN 6 THEN '{{\"Titel\": \"unknown\", \"n\": 1}}'"
+             f" ELSE '{{\"Who\": {{\"login\": 1}}}}' END",
+}
+
+
+def cased(spark, sf):
+    out = decode(seed(spark, sf, "events", CASE_SEED), CASE_RULES)
+    return out.select("k", "undecodable", "record.title", "record.n", F.col("record.who.login").alias("login"), F.array_join("record.who.tags", ",").alias("tags"),
+                      F.expr("array_join(transform(record.items, x -> coalesce(cast(x.id AS string), '-')), ',')").alias("items"),
+                      F.expr("concat_ws(',', record.free['Title'], record.free['ID'], record.free['title'])").alias("free"))
+
+
+CASED = """SELECT event_id AS k, event_id % 8 IN (5, 7) AS undecodable, CASE event_id % 8 WHEN 0 THEN 'a' WHEN 1 THEN 'exact' END AS title,
+  CAST(CASE event_id % 8 WHEN 0 THEN event_id WHEN 1 THEN event_id WHEN 6 THEN 1 END AS bigint) AS n, CASE WHEN event_id % 8 = 2 THEN 'u' || event_id END AS login,
+  CASE WHEN event_id % 8 = 2 THEN 'x' END AS tags, CASE WHEN event_id % 8 = 3 THEN '1,' || event_id || ',-' END AS items, CASE WHEN event_id % 8 = 4 THEN 'kept,7' ELSE '' END AS free FROM events"""
+
 # query plans nested event_id % 23 deep; every third innermost step breaks two rules, every seventh has a value of the wrong type
 DEEP_SEED = {
     "k": E,
@@ -619,6 +642,7 @@ def all_queries() -> list[Query]:
         Query("s02_arrays", arrays, ARRAYS),
         Query("s02_unreadable_documents", documents, DOCUMENTS),
         Query("s05_odd_inputs", odd_inputs, ODD_INPUTS),
+        Query("s05_keys_in_other_case", cased, CASED),
         Query("m43_deep_plans", deep, DEEP),
         Query("m43_wide_plans", wide, WIDE),
         Query("m36_deep_schemas", nested(SCHEMA, SCHEMA_SEED), DEEP_SCHEMAS),

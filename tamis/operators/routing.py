@@ -11,6 +11,7 @@ from tamis.functions.text import ident, quote
 from tamis.operators.validate import decode_failure_sql, test_name_sql
 from tamis.plans.compiler import NO_ERRORS, NO_WARNINGS, Compiler, error_struct
 from tamis.plans.ruleset import RuleSet, title_case
+from tamis.sources import keys
 from tamis.sources.decode import last_key_wins, lenient_sql, record_sql, second_look_sql, strict_sql
 
 
@@ -45,7 +46,6 @@ def route(
 def _route(df: DataFrame, catalog: dict[str, RuleSet], type_column: str, column: str, lenient: str | None,
            as_of: dt.datetime | str | None) -> DataFrame:
     mt = ident(type_column)
-    out = df.withColumn("__v", F.expr(f"try_parse_json({ident(column)})"))
     keep = df.columns
 
     def branches(parts: dict[str, str], otherwise: str) -> str:
@@ -54,17 +54,23 @@ def _route(df: DataFrame, catalog: dict[str, RuleSet], type_column: str, column:
     # 1 decode, 2 failure flag, 3 record, 4 errors, 5 verdict and warnings, 6 test name
     names = {t: f"__{i}" for i, t in enumerate(catalog)}
     soft = ident(lenient) if lenient else "false"
+    folded = {t: keys.folded_sql(rs, ident(column)) for t, rs in catalog.items()}
+    if lenient:
+        folded = {t: f"CASE WHEN {soft} THEN {keys.folded_sql(rs, ident(column), top=False)} ELSE {folded[t]} END" for t, rs in catalog.items()}
+    out = df.select("*", F.expr(branches(folded, ident(column))).alias("__text"))
+    out = out.select("*", F.expr("try_parse_json(`__text`)").alias("__v"))
+    text = "`__text`"
     decoded, second, failed, records = [], [], {}, []
     for t, rs in catalog.items():
         d = ident(names[t] + "d")
         first = ident(names[t] + "f")
-        strict, bad = strict_sql(rs, ident(column), "`__v`", first, d)
+        strict, bad = strict_sql(rs, text, "`__v`", first, d)
         decoded.append(F.expr(f"CASE WHEN {mt} = {quote(t)} AND NOT {soft} THEN {strict} END").alias(names[t] + "f"))
-        second.append(F.expr(second_look_sql(rs, ident(column), first)).alias(names[t] + "d"))
+        second.append(F.expr(second_look_sql(rs, text, first)).alias(names[t] + "d"))
         record = record_sql(rs, d, "undecodable")
         if lenient:
             p = ident(names[t] + "p")
-            part, value, soft_bad = lenient_sql(rs, ident(column), "`__v`", p)
+            part, value, soft_bad = lenient_sql(rs, text, "`__v`", p)
             decoded.append(F.expr(f"CASE WHEN {mt} = {quote(t)} AND {soft} THEN {part} END").alias(names[t] + "p"))
             bad = f"CASE WHEN {soft} THEN {soft_bad} ELSE {bad} END"
             record = f"CASE WHEN {soft} THEN if(undecodable, NULL, {value}) ELSE {record} END"

@@ -4,7 +4,7 @@ Strict decoding rejects a record as a whole when any value has the wrong JSON ty
 more forgiving (a number becomes a text, a bare date a time), so a second look at the record as VARIANT
 checks the JSON type of text, time, number and map leaves.
 
-Of keys that occur twice the last counts. Integers may be written as ``3.0`` or ``1e1``: only records that fail as they are get
+Of keys that occur twice the last counts, and keys may differ in case from the fields' names (see ``keys``). Integers may be written as ``3.0`` or ``1e1``: only records that fail as they are get
 a second decode with decimal leaves.
 
 Lenient decoding converts top-level scalars and collections where that is possible.
@@ -23,6 +23,7 @@ from tamis.functions.text import any_of, ident, quote
 from tamis.plans import nesting
 from tamis.plans.compiler import TIME_FORMAT
 from tamis.plans.ruleset import Field, RuleSet, type_of
+from tamis.sources import keys
 
 CORRUPT = "__corrupt"
 _OPTIONS = f"map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '{CORRUPT}', 'timestampFormat', {quote(TIME_FORMAT)})"
@@ -163,12 +164,13 @@ def decode(df: DataFrame, rules: RuleSet, column: str = "value", *, mode: str =
         return _decode_lenient(df, rules, column, into, failed)
     if mode != "strict":
         raise ValueError(f"mode must be 'strict' or 'lenient', not {mode!r}")
-    record, bad = strict_sql(rules, ident(column), ident("__variant"), ident("__first"), ident("__decoded"))
+    record, bad = strict_sql(rules, "`__text`", ident("__variant"), ident("__first"), ident("__decoded"))
     with last_key_wins(df.sparkSession):
-        out = df.select("*", F.expr(f"try_parse_json({ident(column)})").alias("__variant"), F.expr(record).alias("__first"))
-        out = out.select("*", F.expr(second_look_sql(rules, ident(column), ident("__first"))).alias("__decoded"))
+        out = df.select("*", F.expr(keys.folded_sql(rules, ident(column))).alias("__text"))
+        out = out.select("*", F.expr("try_parse_json(`__text`)").alias("__variant"), F.expr(record).alias("__first"))
+        out = out.select("*", F.expr(second_look_sql(rules, "`__text`", ident("__first"))).alias("__decoded"))
         out = out.select("*", F.expr(bad).alias(failed))
-    return _shape(out, rules, into, failed).drop("__first")
+    return _shape(out, rules, into, failed).drop("__first", "__text")
 
 
 def _typed(rules: RuleSet) -> str:
@@ -287,9 +289,10 @@ def lenient_sql(rules: RuleSet, text: str, variant: str, decoded: str) -> tuple[
 
 
 def _decode_lenient(df: DataFrame, rules: RuleSet, column: str, into: str, failed: str) -> DataFrame:
-    part, record, bad = lenient_sql(rules, ident(column), "`__variant`", "`__part`")
+    part, record, bad = lenient_sql(rules, "`__text`", "`__variant`", "`__part`")
     with last_key_wins(df.sparkSession):
-        out = df.select("*", F.expr(f"try_parse_json({ident(column)})").alias("__variant"), F.expr(part).alias("__part"))
+        out = df.select("*", F.expr(keys.folded_sql(rules, ident(column), top=False)).alias("__text"))
+        out = out.select("*", F.expr("try_parse_json(`__text`)").alias("__variant"), F.expr(part).alias("__part"))
         out = out.select("*", F.expr(bad).alias(failed))
     record = f"CASE WHEN NOT {ident(failed)} THEN {record} END"
-    return out.select("*", F.expr(record).alias(into)).drop("__variant", "__part")
+    return out.select("*", F.expr(record).alias(into)).drop("__variant", "__part", "__text")

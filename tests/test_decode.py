@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis import CATALOG, decode
-from tamis.plans.ruleset import flag, integer, natural, real, rule_set, text, text_map, texts, value_map, values
+from tamis.plans.ruleset import flag, integer, natural, real, record, records, rule_set, text, text_map, texts, value_map, values
 from tamis.sources.records import read_requests, record_identifier, request_records, typed_identifier, with_row_index
 
 MIXED = rule_set("Mixed", text("s"), integer("i"), real("f"), flag("b"), texts("l"), text_map("m"), value_map("v"), values("a"), natural("n"))
@@ -111,3 +111,47 @@ def test_envelopes(spark):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         decode(spark.createDataFrame([("{}",)], "value string"), MIXED, mode="other")
+
+
+# -- keys in other case ------------------------------------------------------------------------------
+CASED = rule_set("Cased", text("userId"), text("title"), integer("n"), text_map("free"), record("who", rule_set("Who", text("login"))),
+                 records("items", rule_set("Item", integer("id"), record("owner", rule_set("Owner", text("name"))))))
+
+
+def cased(spark, value, mode="strict", rules=CASED):
+    row = decode(spark.createDataFrame([(value if isinstance(value, str) else json.dumps(value),)], "value string"), rules, mode=mode).first()
+    return None if row.undecodable else row.record.asDict(recursive=True)
+
+
+@pytest.mark.parametrize("record, field, value", [
+    ({"Title": "a"}, "title", "a"), ({"TITLE": "a", "title": "b"}, "title", "b"), ({"title": "b", "TITLE": "a"}, "title", "b"),
+    ({"TITLE": "a", "Title": "c"}, "title", "c"), ({"USERID": "u"}, "userId", "u"), ({"userid": "u"}, "userId", "u"), ({"userId": "x", "userid": "y"}, "userId", "y"),
+    ({"Who": {"LOGIN": "l", "Other": 1}}, "who", {"login": "l"}), ({"WHO": None}, "who", None), ({"Free": {"Title": "t", "ID": "i"}}, "free", {"Title": "t", "ID": "i"}),
+    ({"Items": [{"ID": 1, "Owner": {"NAME": "o"}}, {}, {"id": 2}]}, "items", [{"id": 1, "owner": {"name": "o"}}, {"id": None, "owner": None}, {"id": 2, "owner": None}]),
+    ({"N": 3.0}, "n", 3), ({"tıtle": "no", "Title ": "no"}, "title", None), ('{"Title": "a \\"Title\\": b\\u00e9", "N": 1}', "title", 'a "Title": bé'),
+    ('{"Title": "a", "Title": "b"}', "title", "b"), ('{"TITLE"  \n: "a"}', "title", "a")], ids=str)
+def test_keys_in_other_case(spark, record, field, value):
+    assert cased(spark, record)[field] == value
+
+
+def test_the_long_s_and_the_kelvin_sign_fold(spark):
+    rules = rule_set("Folded", text("key"), text("sort"))
+    assert cased(spark, {"Key": "a", "ſort": "b"}, rules=rules) == {"key": "a", "sort": "b"}
+
+
+@pytest.mark.parametrize("record", [{"Title": 5}, {"Who": {"Login": 1}}, {"Items": [{"ID": "x"}]}, {"WHO": []}, {"ITEMS": {}}, '{"Title": "a"', '["Title"]'], ids=str)
+def test_wrong_types_under_other_keys_are_rejected(spark, record):
+    assert cased(spark, record) is None
+
+
+def test_lenient_records_fold_below_the_top_only(spark):
+    assert cased(spark, {"Title": "a", "who": {"LOGIN": "l"}, "items": [{"ID": 1}]}, "lenient") == {
+        "userId": None, "title": None, "n": None, "free": None, "who": {"login": "l"}, "items": [{"id": 1, "owner": None}]}
+
+
+def test_long_texts_are_searched_in_linear_time(spark):
+    import time
+    value = json.dumps({"title": "A\\" * 200_000 + "a" * 400_000, "n": 1})
+    start = time.perf_counter()
+    assert cased(spark, value)["n"] == 1
+    assert time.perf_counter() - start < 20
