@@ -136,7 +136,7 @@ def test_keys_in_other_case(spark, record, field, value):
 
 def test_the_long_s_and_the_kelvin_sign_fold(spark):
     rules = rule_set("Folded", text("key"), text("sort"))
-    assert cased(spark, {"Key": "a", "ſort": "b"}, rules=rules) == {"key": "a", "sort": "b"}
+    assert cased(spark, '{"\u212aey": "a", "\u017fort": "b"}', rules=rules) == {"key": "a", "sort": "b"}
 
 
 @pytest.mark.parametrize("record", [{"Title": 5}, {"Who": {"Login": 1}}, {"Items": [{"ID": "x"}]}, {"WHO": []}, {"ITEMS": {}}, '{"Title": "a"', '["Title"]'], ids=str)
