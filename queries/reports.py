@@ -11,10 +11,12 @@ from tamis.functions.predicates import register_rule
 from tamis.models import CATALOG
 from tamis.models.api import SCHEMA
 from tamis.models.github import TEAM
+from tamis.operators import ledger
 from tamis.operators import report as rep
 from tamis.operators import sessions as ses
 from tamis.operators.quarantine import bad_rows, good_rows, write_split
 from tamis.operators.routing import route, unknown_types
+from tamis.operators import waves
 from tamis.operators.validate import codes, validate
 from tamis.plans.ruleset import Check, RuleSet, integer, real, record, records, required, rule_set, text, text_map, texts
 from tamis.sources.decode import decode
@@ -187,6 +189,39 @@ def daily(spark, sf):
     return rep.counts(v, ["day"]).withColumn("success_rate", rep.success_rate())
 
 
+def kept_parts(spark, sf):
+    """Partial reports of the orders by year: some years, then those that are missing, then some once more."""
+    folder = work_folder(spark, "ledger")
+    v = orders(spark, sf).withColumn("year", F.year("o_orderdate").cast("string"))
+    ledger.add(v.where("year % 3 = 0"), folder, "year", ("o_orderstatus",))
+    ledger.add_missing(v, folder, "year", ("o_orderstatus",))
+    ledger.add(v.where("year % 2 = 0"), folder, "year", ("o_orderstatus",))
+    return ledger.read(spark, folder)
+
+
+def incremental_report(spark, sf):
+    return flat(ledger.report_of(kept_parts(spark, sf), 80.0), "status")
+
+
+def incremental_codes(spark, sf):
+    kept = kept_parts(spark, sf)
+    return ledger.codes_of(kept, "errors", ("part",)).unionByName(ledger.codes_of(kept, "warnings", ("part",))).withColumnRenamed("part", "year")
+
+
+def incremental_rollup(spark, sf):
+    out = ledger.rollup_of(kept_parts(spark, sf), "part", "o_orderstatus")
+    return out.select(F.col("part").cast("bigint").alias("year"), "o_orderstatus", *NUMBERS, "success_rate", "grouping_level")
+
+
+def fail_fast_orders(spark, sf):
+    """The first three invalid orders, looked for in growing waves of files, of which there is one for each year."""
+    folder = work_folder(spark, "waves")
+    by_year = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    by_year.repartition("year").write.partitionBy("year").parquet(folder)
+    files = sorted(spark.read.parquet(folder).inputFiles())
+    return waves.fail_fast(spark, files, lambda df: validate(df, order_rules()), K, budget=3).failures.select(K, "test_name")
+
+
 def code_map(spark, sf):
     m = rep.by_code_map(orders(spark, sf))
     return m.select(F.expr("array_join(transform(map_entries(errors_by_code), e -> concat(e.key, '=', e.value)), ',')").alias("errors_by_code"))
@@ -600,6 +635,10 @@ def all_queries() -> list[Query]:
               " FROM events WHERE event_id % 12 IN (0, 1, 2, 3, 4, 6, 7, 8)"),
         Query("g01_g03_g06_g08_summary", lambda s, d: flat(rep.summarize(orders(s, d))), V + summary),
         Query("g01_counts_by_customer", lambda s, d: rep.counts(orders(s, d), ["o_custkey"]), V + f"SELECT o_custkey, {COUNTS} FROM v GROUP BY o_custkey"),
+        Query("g01_incremental_report", incremental_report, V + summary[:-len(" FROM c")] + f", CASE WHEN {RATE} < 80 THEN 'failed' ELSE 'success' END AS status FROM c"),
+        Query("g09_incremental_codes", incremental_codes,
+              V + "SELECT year(o_orderdate)::varchar AS year, code, count(*) AS n FROM (SELECT o_orderdate, unnest(string_split(concat_ws(',', nullif(error_codes, ''), nullif(warning_codes, '')), ',')) AS code FROM v)"
+                  " WHERE code <> '' GROUP BY ALL"),
         Query("g04_gate_failed", with_threshold(60.0), threshold_sql(60.0)),
         Query("g04_gate_success", with_threshold(1.0), threshold_sql(1.0)),
         Query("g05_gate_without_threshold", with_threshold(None), threshold_sql(None)),
@@ -622,9 +661,14 @@ def all_queries() -> list[Query]:
               V + f"SELECT code, count(*) AS n FROM ({codes_of.format(c='error_codes')}) GROUP BY code ORDER BY n DESC, code LIMIT 2"),
         Query("g11_first_failure", lambda s, d: rep.first_failure(orders(s, d), K).select(K, "test_name"),
               V + "SELECT o_orderkey, test_name FROM v WHERE NOT is_valid ORDER BY o_orderkey LIMIT 1"),
+        Query("g11_fail_fast", fail_fast_orders,
+              V + "SELECT o_orderkey, test_name FROM v WHERE NOT is_valid ORDER BY year(o_orderdate), o_orderkey LIMIT 3"),
         Query("g12_rollup", rollup,
               V + f", c AS (SELECT year(o_orderdate) AS year, o_orderstatus, {COUNTS}, grouping(year(o_orderdate), o_orderstatus)::bigint AS grouping_level"
                   f" FROM v GROUP BY ROLLUP (year(o_orderdate), o_orderstatus)) SELECT year, o_orderstatus, {', '.join(NUMBERS)}, {RATE} AS success_rate, grouping_level FROM c"),
+        Query("g12_incremental_rollup", incremental_rollup,
+              V + f", c AS (SELECT year(o_orderdate) AS year, o_orderstatus, {COUNTS}, grouping(year(o_orderdate), o_orderstatus)::bigint AS grouping_level"
+                  f" FROM v GROUP BY ROLLUP (year(o_orderdate), o_orderstatus)) SELECT year, o_orderstatus, {', '.join(NUMBERS)}, {RATE} AS success_rate, grouping_level FROM c"),
         Query("g12_cube", cube,
               V + f", c AS (SELECT o_orderstatus, o_orderpriority, {COUNTS}, grouping(o_orderstatus, o_orderpriority)::bigint AS grouping_level"
                   f" FROM v GROUP BY CUBE (o_orderstatus, o_orderpriority)) SELECT o_orderstatus, o_orderpriority, total_records, {RATE} AS success_rate, grouping_level FROM c"),

@@ -67,6 +67,11 @@ def running(spark, sf):
 
 def windowed(spark, sf, length="1 hour", slide=None):
     folder = cont.work_folder(spark, "windows")
+    if slide:  # the state and what is written are panes; windows are added up from them
+        panes = cont.pane_counts(validated_stream(spark, sf), "ts", length, slide, watermark="10 minutes")
+        cont.start_upsert(panes, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        out = cont.windows_of_panes(cont.latest(spark, f"{folder}/out", ("pane_start",)), length, slide, 70.0)
+        return out.select(F.expr("unix_seconds(window_start)").alias("window_start"), "total_records", "valid_records", "success_rate", "status")
     gated = cont.windowed_gate(validated_stream(spark, sf), "ts", length, slide, 70.0, watermark="10 minutes")
     cont.start_upsert(gated, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     out = cont.latest(spark, f"{folder}/out", ("window_start", "window_end"))

@@ -57,7 +57,16 @@ def counters() -> list[Column]:
 
 def summarize(validated: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """The summary: counts, success rate and the distinct names of passing and failing tests."""
-    partial = validated.groupBy(*by, "is_valid", "test_name").agg(*counters())
+    return combine(partial_counts(validated, by), by)
+
+
+def partial_counts(validated: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """One row of counts per (group, verdict, test name). Partial counts of parts of a table add up to those of the whole."""
+    return validated.groupBy(*by, "is_valid", "test_name").agg(*counters())
+
+
+def combine(partial: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The summary, made of rows of ``partial_counts`` of one or several parts."""
     names = {True: "successful_test_names", False: "failed_test_names"}
     totals = ["total_records", "valid_records", "invalid_records", "warning_records", "validation_errors",
               "validation_warnings"]
@@ -74,7 +83,11 @@ def summarize(validated: DataFrame, by: list[str] | tuple[str, ...] = ()) -> Dat
 def report(validated: DataFrame, threshold: float | str | Column | None = None,
            by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """The full report: summary plus the gate's ``status``; one row, or one per group."""
-    out = summarize(validated, by).withColumn("status", gate(threshold))
+    return with_gate(summarize(validated, by), threshold)
+
+
+def with_gate(summary: DataFrame, threshold: float | str | Column | None) -> DataFrame:
+    out = summary.withColumn("status", gate(threshold))
     shown = F.lit(threshold).cast("double") if not isinstance(threshold, (str, Column)) else (
         F.col(threshold) if isinstance(threshold, str) else threshold)
     return out.withColumn("threshold", shown)

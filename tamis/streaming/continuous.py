@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,9 +36,39 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _micros(length: str) -> int:
+    return pd.Timedelta(length).value // 1000
+
+
+def pane_counts(validated: DataFrame, ts: str, length: str, slide: str, by: tuple[str, ...] = (), watermark: str | None = None) -> DataFrame:
+    """Counts per pane, for tables and streams: the panes are the largest pieces of time that sliding windows of this ``length`` and
+    ``slide`` are made of. Every row falls into one pane, however much the windows overlap."""
+    rows = validated.withWatermark(ts, watermark) if watermark else validated
+    pane = math.gcd(_micros(length), _micros(slide))
+    out = counts(rows, [F.window(ts, f"{pane} microseconds"), *by])
+    return out.withColumn("pane_start", F.col("window.start")).drop("window")
+
+
+def windows_of_panes(panes: DataFrame, length: str, slide: str, threshold: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, success rate and gate of every sliding window, added up from the (few) rows of ``pane_counts``."""
+    size, step = _micros(length), _micros(slide)
+    at = F.unix_micros("pane_start")
+    last = at - F.pmod(at, F.lit(step))  # the start of the last window that holds the pane
+    starts = F.filter(F.sequence(last - (-(-size // step) - 1) * step, last, F.lit(step)), lambda s: s + size > at)
+    totals = [c for c in panes.columns if c not in ("pane_start", *by)]
+    out = panes.select(*by, *totals, F.explode(starts).alias("start")).groupBy(*by, "start").agg(*[F.sum(c).cast("bigint").alias(c) for c in totals])
+    out = out.withColumn("success_rate", success_rate()).withColumn("status", gate(threshold))
+    return out.withColumn("window_start", F.timestamp_micros("start")).withColumn("window_end", F.timestamp_micros(F.col("start") + size)).drop("start")
+
+
 def windowed_gate(validated: DataFrame, ts: str, length: str, slide: str | None = None,
                   threshold: float | None = None, by: tuple[str, ...] = (), watermark: str | None = None) -> DataFrame:
-    """Counts, success rate and gate per time window (and group); for tables and streams."""
+    """Counts, success rate and gate per time window (and group); for tables and streams.
+
+    Sliding windows of a table are added up from panes. A stream in ``update`` mode cannot aggregate twice, so there its rows are
+    copied into each of their windows; to avoid that, run ``pane_counts`` and apply ``windows_of_panes`` to what it wrote."""
+    if slide and not validated.isStreaming:
+        return windows_of_panes(pane_counts(validated, ts, length, slide, by), length, slide, threshold, by)
     rows = validated.withWatermark(ts, watermark) if watermark else validated
     out = counts(rows, [F.window(ts, length, slide), *by] if slide else [F.window(ts, length), *by])
     out = out.withColumn("success_rate", success_rate()).withColumn("status", gate(threshold))
