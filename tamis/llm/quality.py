@@ -171,7 +171,9 @@ def _rows(docs: DataFrame) -> np.ndarray:
                 x = statistics(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(x))], ["doc_id", "x"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, x array<double>")
+    # a row per id, however many rows share it
+    out = found.groupBy("doc_id").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     return np.vstack(out["x"].to_list()) if len(out) else np.zeros((0, 0))
 
 

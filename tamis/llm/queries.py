@@ -31,7 +31,7 @@ def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_mixing_sources(spark: SparkSession, sf: str) -> DataFrame:
     out = mixture.mix(table(spark, sf, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("in_shards"), "shards")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:

@@ -301,9 +301,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4_000, most_bytes: int
     allowed = F.coalesce(fold("doc_id", parts) != held, F.lit(False))
     judged = labels.where(allowed & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IN (0, 1)")
     chosen = sampled(judged.where("toxic = 1"), most).unionByName(sampled(judged.where("toxic = 0"), most))
-    # bounded by 2 * most ids
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # bounded by 2 * most ids, and by a row per id, however many rows share it
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
     lengths = sample.select("toxic", F.coalesce(F.length("text"), F.lit(0)).alias("n")).toPandas()  # at most 2 * most rows
     sizes = lengths.groupby("toxic")["n"].count().to_dict()
     if len(sizes) < 2:

@@ -454,6 +454,42 @@ def test_quotas_are_exact(spark):
     assert sum(shards) == 120 and max(shards) - min(shards) <= 1
 
 
+def test_quotas_follow_the_hypergeometric_law(spark):
+    shards, per_shard, ones = 256, 16, 1024  # 4096 blocks, 1024 of them of the second source
+    quotas = spark.createDataFrame([(0, shards * per_shard - ones), (1, ones)], "nth int, quota bigint")
+    of = {r["shard"]: r["quota"] for r in mixture.split_quotas(quotas, shards, 3).collect() if r["nth"] == 1}
+    drawn = np.array([of.get(s, 0) for s in range(shards)])
+    assert drawn.sum() == ones
+    n, total = per_shard, shards * per_shard
+    share = ones / total
+    variance = n * share * (1 - share) * (total - n) / (total - 1)
+    assert 0.75 * variance < drawn.var() < 1.3 * variance  # in order it would be 48, dealt evenly 0
+    pairs = np.corrcoef(drawn[:-1], drawn[1:])[0, 1]
+    assert abs(pairs) < 0.2  # neighbours in the tree do not copy each other
+    # cells of the exact distribution
+    from math import comb
+    law = np.array([comb(ones, k) * comb(total - ones, n - k) / comb(total, n) for k in range(n + 1)]) * shards
+    cells = [(0, 2), (3, 3), (4, 4), (5, 5), (6, n)]
+    chi = sum(((drawn >= a) & (drawn <= b)).sum() ** 2 / law[a:b + 1].sum() for a, b in cells) - shards
+    assert chi < 18.5  # 0.999 quantile of 4 degrees of freedom
+
+
+def test_mixture_tells_its_shards(spark):
+    from tamis.llm.queries import op3_mixing_sources
+    out = op3_mixing_sources(spark, SF).collect()
+    for r in out:
+        assert r["taken"] == r["size"] * len(r["in_shards"]) and all(0 <= s < r["shards"] for s in r["in_shards"])
+
+
+def test_an_id_on_many_rows_counts_once(spark):
+    texts, labels = made(160)
+    many = docs(spark, texts + [texts[0]] * 3000 + [texts[1]] * 3000)
+    assert len(quality._rows(many)) == len(texts)  # what comes to the driver
+    lab = spark.createDataFrame([(*r, "t") for r in labels], LABELS)
+    once, again = toxicity.train(docs(spark, texts), lab), toxicity.train(many, lab)
+    assert once.words == again.words and once.words and np.allclose(once.weights, again.weights)
+
+
 # pipeline
 
 def test_pipeline(spark):
