@@ -116,8 +116,11 @@ _ATEXT = rf"a-zA-Z0-9!#$%&'*+/=?^_`{{|}}~{_WIDE}"
 _ALNUM = rf"[a-zA-Z0-9{_WIDE}]"
 _LETTER = rf"[a-zA-Z{_WIDE}]"
 _INNER = rf"[a-zA-Z0-9.~{_WIDE}-]"
+# in quotes, most characters may stand as they are, others behind a backslash; a line break only before a blank (the group is
+# possessive, which the matcher repeats in a loop)
+_QUOTED = rf"\"(?:[\x01-\x09\x0B\x0C\x0E-\x21\x23-\x5B\x5D-\x7F{_WIDE}]|\\[\x01-\x09\x0B-\x7F{_WIDE}]|\r\n(?=[ \t]))*+\""
 EMAIL_PATTERN = (
-    rf"^(?!\.)(?![^@]*\.[.@])[{_ATEXT}.-]+@"
+    rf"^(?:(?!\.)(?![^@]*\.[.@])[{_ATEXT}.-]+|{_QUOTED})@"
     rf"{_ALNUM}(?:{_INNER}*{_ALNUM})?\.{_LETTER}(?:{_INNER}*{_LETTER})?\z"
 )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +41,24 @@ def explode_array(df: DataFrame, column: str = "value") -> DataFrame:
     return out.select(*rest, index.alias("row_index"), column, "unreadable")
 
 
-def with_row_index(df: DataFrame, order: str, width: float | None = None, ranges: int = 200) -> DataFrame:
+RANGE_ROWS = 50_000  # rows of a range, about, as long as MAX_RANGES allows
+MAX_RANGES = 10_000
+
+
+def _range_sql(bounds: list[float], value: str) -> str:
+    """SQL of how many of the sorted ``bounds`` lie below ``value``: first whole chunks of them, then within a chunk, so that a
+    row is compared with about 2 * sqrt(n) of n bounds."""
+    step = math.isqrt(len(bounds)) or 1
+    listed = [f"{b!r}D" for b in bounds]
+    chunks = f"size(filter(array({', '.join(listed[step - 1::step])}), b -> b < {value}))"
+    within = f"size(filter(slice(array({', '.join(listed)}), c * {step} + 1, {step}), b -> b < {value}))"
+    return f"transform(array({chunks}), c -> c * {step} + {within})[0]"
+
+
+def with_row_index(df: DataFrame, order: str, width: float | None = None, ranges: int | None = None) -> DataFrame:
     """Number rows 0, 1, ... in the order of a unique numeric column, without one global sort in one task.
 
-    Rows are cut into about ``ranges`` ranges of equally many rows, by quantiles of the order column, so dense, sparse and skewed keys
+    Rows are cut into about ``ranges`` ranges (without it, as many as their number asks for) of equally many rows, by quantiles of the order column, so dense, sparse and skewed keys
     do alike; with ``width`` into ranges of that width instead. Each range is numbered on its own and shifted by the number of
     rows in the ranges before it, so the only single-task step sees one row per range. Rows without a key come first.
     """
@@ -50,9 +66,10 @@ def with_row_index(df: DataFrame, order: str, width: float | None = None, ranges
     if width is not None:
         cut = df.withColumn("__range", F.floor(at / F.lit(width)))
     else:
+        ranges = ranges or min(df.count() // RANGE_ROWS + 1, MAX_RANGES)
         # bounds only balance the work: any bounds give the same numbers
-        bounds = sorted(set(df.stat.approxQuantile([order], [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))[0]))
-        where = F.expr(f"size(filter(array({', '.join(f'{b!r}D' for b in bounds)}), b -> b < cast({ident(order)} AS DOUBLE)))") if bounds else F.lit(0)
+        bounds = sorted(set(df.stat.approxQuantile([order], [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))[0])) if ranges > 1 else []
+        where = F.expr(_range_sql(bounds, f"cast({ident(order)} AS DOUBLE)")) if bounds else F.lit(0)
         cut = df.withColumn("__range", F.when(at.isNotNull(), where))
     counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -113,6 +113,16 @@ def test_unknown_mode(spark):
         decode(spark.createDataFrame([("{}",)], "value string"), MIXED, mode="other")
 
 
+def test_ranges_of_row_numbers(spark):
+    import bisect
+    from tamis.sources.records import _range_sql
+    for n in (1, 2, 3, 10, 99, 100, 101):
+        bounds = [float(i * 3) for i in range(n)]
+        values = [-1.0, 0.0, *[b + d for b in bounds for d in (-0.5, 0.0, 0.5)]]
+        rows = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("v", f"{_range_sql(bounds, 'v')} AS r").collect()
+        assert [r.r for r in rows] == [bisect.bisect_left(bounds, r.v) for r in rows]
+
+
 # -- keys in other case ------------------------------------------------------------------------------
 CASED = rule_set("Cased", text("userId"), text("title"), integer("n"), text_map("free"), record("who", rule_set("Who", text("login"))),
                  records("items", rule_set("Item", integer("id"), record("owner", rule_set("Owner", text("name"))))))

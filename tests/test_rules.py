@@ -36,8 +36,8 @@ TABLE = {
              "http://h:", "urn:isbn:1", "http:///x#f", "x://é.de/ü", "http://a.b/" + "x" * 20000, "http://a.b/" + "%20" * 5000],
             ["", "not a url", "/path", "a.b.c", "http://", "http:", "http://a b/", "http://a.b/%zz", "http://h:port/", "://x",
              "1http://a", "http://a.b/\x01", "http:///x", "http://a.b/#%zz", "http://a{b}/"]),
-    "email": (["a@b.co", "a.b+c@sub.example.org", "é@exämple.de", "a@b.c"],
-              ["", "a", "a@b", "a@@b.co", "a..b@c.de", ".a@b.co", "a.@b.co", "a@b.c0", "a@-b.co", "a b@c.de"]),
+    "email": (["a@b.co", "a.b+c@sub.example.org", "é@exämple.de", "a@b.c", '"a b"@c.de', '"a@b..c"@d.de', '""@a.de', '"a\\"b"@c.de', '"a \r\n b"@c.de', '"' + "x y\\z " * 30000 + '"@c.de'],
+              ['"a"b"@c.de', '"a@c.de', '"a\r\nb"@c.de', '"a\n"@c.de', 'a"b"@c.de', '"a"', '"a"@', '"a"@@c.de', '"\\"@c.de', "", "a", "a@b", "a@@b.co", "a..b@c.de", ".a@b.co", "a.@b.co", "a@b.c0", "a@-b.co", "a b@c.de"]),
     "ip": (["1.2.3.4", "255.255.255.255", "::", "::1", "2001:db8::8:800:200c:417a", "1:2:3:4:5:6:7:8", "::ffff:1.2.3.4", "1::"],
            ["", "256.1.1.1", "01.2.3.4", "1.2.3", "1::2::3", "1:2:3:4:5:6:7", "::g", "fe80::1%eth0", "1:2:3:4:5:6:7:8:9"]),
 }
