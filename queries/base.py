@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tamis.sources.spread import spread
+
 AS_OF = "2024-02-01T00:00:00Z"
 AS_OF_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
 
@@ -28,7 +30,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def seed(spark: SparkSession, sf: str, name: str, columns: dict[str, str]) -> DataFrame:
-    return table(spark, sf, name).selectExpr(*[f"{e} AS `{c}`" for c, e in columns.items()])
+    return spread(table(spark, sf, name)).selectExpr(*[f"{e} AS `{c}`" for c, e in columns.items()])
 
 
 def seed_sql(name: str, columns: dict[str, str]) -> str:
