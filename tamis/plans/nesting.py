@@ -15,16 +15,22 @@ from tamis.functions.text import ident, quote
 from tamis.plans.ruleset import Field
 
 LAST = 2147483647  # sorts behind all children
+FEW = 64
 
 
 def depth_sql(text: str) -> str:
-    """SQL of how many objects of the JSON ``text`` lie in one another, at most."""
+    """SQL of how many objects of the JSON ``text`` lie in one another, at most.
+
+    Of a text with few opening brackets that is their number, as rounds without steps cost nothing; strings and siblings are told
+    apart from depth only where there are many."""
     # without strings, then without the innermost objects, which leaves few brackets of a wide record
     plain = f"regexp_replace(replace(replace({text}, '\\\\\\\\', ''), '\\\\\"', ''), '\"[^\"]*\"', '')"
     brackets = f"regexp_extract_all(regexp_replace({plain}, '[{{][^{{}}]*[}}]', ''), '[{{}}]', 0)"
     now = "b.d + if(c = '{', 1, -1)"
     step = f"named_struct('d', {now}, 'm', greatest(b.m, {now}))"
-    return f"aggregate({brackets}, named_struct('d', 0, 'm', 0), (b, c) -> {step}, b -> b.m + 1)"
+    exact = f"aggregate({brackets}, named_struct('d', 0, 'm', 0), (b, c) -> {step}, b -> b.m + 1)"
+    opened = f"regexp_count({text}, '[{{]')"
+    return f"CASE WHEN {opened} <= {FEW} THEN {opened} + 1 ELSE {exact} END"
 
 
 def levels_sql(start: str, below: Callable[[str], str], element: str, rounds: str, level: int) -> str:
@@ -32,6 +38,7 @@ def levels_sql(start: str, below: Callable[[str], str], element: str, rounds: st
     acc, n = f"acc{level}", f"n{level}"
     zero = f"named_struct('f', {start}, 'a', cast(array() AS ARRAY<ARRAY<{element}>>))"
     merge = f"named_struct('f', flatten(transform({acc}.f, {n} -> {below(n)})), 'a', concat({acc}.a, array({acc}.f)))"
+    merge = f"if(size({acc}.f) = 0, {acc}, {merge})"
     return (f"aggregate(sequence(1, {rounds}), {zero}, ({acc}, r{level}) -> {merge},"
             f" {acc} -> flatten(concat({acc}.a, array({acc}.f))))")
 

@@ -94,20 +94,23 @@ def _wrong(rs: RuleSet, v: str, path: str, level: int, places: dict | None) -> l
                 items = f"try_variant_get({v}, {quote(_step(path, f.name))}, 'array<variant>')"
                 out.append(f"coalesce(exists({items}, {e} -> {inner}), false)")
         elif f.kind == "deep":
-            out.append(_wrong_below(f, _at(v, _step(path, f.name)), level))
+            out.append(_wrong_below(f, v, _step(path, f.name), level))
         else:
             out += _wrong_leaf(f, v, path, level)
     return out
 
 
-def _wrong_below(f: Field, at: str, level: int) -> str:
-    """True when what is nested below ``at`` holds, at any depth, a value of the wrong JSON type."""
+def _wrong_below(f: Field, v: str, path: str, level: int) -> str:
+    """True when what is nested below ``path`` holds, at any depth, a value of the wrong JSON type.
+
+    To take a part out of a VARIANT builds it anew with all that lies in it, so a step is taken out once, for the next level; its kind
+    is looked at in place."""
     s = f"ws{level}"
     own = ", ".join(f"{quote(g.name)}, {_at(s, _step('$', g.name))}" for g in f.of.fields)
     # the step without what nests in it
     typed = f"from_json(to_json(named_struct({own})), {quote(f'{f.of.ddl}, `{CORRUPT}` STRING')}, {_OPTIONS})"
     leaf = any_of(_wrong(f.of, s, "$", level + 1, None))
-    bad = (f"{_present(s)} AND (NOT {_holds(s, many=False)} OR {leaf} OR {_misplaced(f, _at(s, _step('$', f.name)))}"
+    bad = (f"{_present(s)} AND (NOT {_holds(s, '$', many=False)} OR {leaf} OR {_misplaced(f, s, _step('$', f.name))}"
            f" OR {typed}.`{CORRUPT}` IS NOT NULL)")
     none = "cast(array() AS ARRAY<VARIANT>)"
 
@@ -116,8 +119,9 @@ def _wrong_below(f: Field, at: str, level: int) -> str:
             return f"coalesce(try_variant_get({v}, {quote(path)}, 'array<variant>'), {none})"
         return f"filter(array({_at(v, path)}), x -> {_present('x')})"
 
-    steps = nesting.levels_sql(below(at, "$"), lambda n: below(n, _step("$", f.name)), "VARIANT", nesting.depth_sql(f"to_json({at})"), level + 30)
-    return f"CASE WHEN {_present(at)} THEN {_misplaced(f, at)} OR coalesce(exists({steps}, {s} -> {bad}), false) ELSE false END"
+    at = _at(v, path)
+    steps = nesting.levels_sql(below(v, path), lambda n: below(n, _step("$", f.name)), "VARIANT", nesting.depth_sql(f"to_json({at})"), level + 30)
+    return f"CASE WHEN {_holds(v, path, f.many)} THEN coalesce(exists({steps}, {s} -> {bad}), false) ELSE {_present(at)} END"
 
 
 # the schema of a VARIANT is that of all it holds; these look at the value itself only
@@ -125,13 +129,13 @@ def _present(v: str) -> str:
     return f"({v} IS NOT NULL AND NOT is_variant_null({v}))"
 
 
-def _holds(v: str, many: bool) -> str:
-    """True for a JSON array, or else for an object."""
-    return f"(try_variant_get({v}, '$', '{'array<variant>' if many else 'map<string, variant>'}') IS NOT NULL)"
+def _holds(v: str, path: str, many: bool) -> str:
+    """True for a JSON array at ``path``, or else for an object; a struct without fields takes nothing out."""
+    return f"(try_variant_get({v}, {quote(path)}, '{'array<struct<>>' if many else 'struct<>'}') IS NOT NULL)"
 
 
-def _misplaced(f: Field, v: str) -> str:
-    return f"({_present(v)} AND NOT {_holds(v, f.many)})"
+def _misplaced(f: Field, v: str, path: str) -> str:
+    return f"(NOT {_holds(v, path, f.many)} AND {_present(_at(v, path))})"
 
 
 def _repeated(rs: RuleSet, counts: dict[str, list]) -> None:
