@@ -111,10 +111,11 @@ def broken(rule: Rule, f: Field, rs: RuleSet, x: str) -> str | None:
 
 @dataclass
 class Segment:
-    """A part of an array: one nullable element (``one``) or a whole array (``many``)."""
+    """A part of an array: one nullable element (``one``; ``array`` is the same as an array of one or none) or a whole array (``many``)."""
 
     kind: str
     sql: str
+    array: str = ""
 
 
 def assemble(segments: list[Segment], empty: str) -> str:
@@ -137,6 +138,24 @@ def assemble(segments: list[Segment], empty: str) -> str:
     return arrays[0] if len(arrays) == 1 else f"concat({', '.join(arrays)})"
 
 
+def join_arrays(segments: list[Segment], empty: str) -> str:
+    """As ``assemble``, for places outside of lambdas: Spark generates code for ``concat``, but interprets ``filter`` with all below it."""
+    arrays = [s.array if s.kind == "one" else s.sql for s in segments]
+    if not arrays:
+        return empty
+    return arrays[0] if len(arrays) == 1 else f"concat({', '.join(arrays)})"
+
+
+# elements of an array that have generated code of their own; longer arrays go through a lambda, which Spark interprets
+UNROLLED = 2
+# wider elements, and those that nest, are left to the lambda, which keeps generated code small
+MAX_UNROLLED_FIELDS = 16
+
+
+def _unrolls(rs: RuleSet) -> bool:
+    return len(rs.fields) <= MAX_UNROLLED_FIELDS and not any(f.kind in ("record", "records", "deep") for f in rs.fields)
+
+
 @dataclass
 class Scope:
     """Where a structure is being compiled."""
@@ -203,9 +222,12 @@ class Compiler:
         skip = absent(f, r) if f.omit_empty else None
         if tests:
             shown = "''" if f.kind == "record" else filled(f, r)
+            found = [(sql, self._error(rule, f.kind, label, path, shown)) for rule, sql in tests]
             whens = [f"WHEN {skip} THEN NULL"] if skip else []
-            whens += [f"WHEN {sql} THEN {self._error(rule, f.kind, label, path, shown)}" for rule, sql in tests]
-            segments.append(Segment("one", f"CASE {' '.join(whens)} END"))
+            whens += [f"WHEN {sql} THEN {error}" for sql, error in found]
+            arrays = [f"WHEN {skip} THEN {NO_ERRORS}"] if skip else []
+            arrays += [f"WHEN {sql} THEN array({error})" for sql, error in found]
+            segments.append(Segment("one", f"CASE {' '.join(whens)} END", f"CASE {' '.join(arrays)} ELSE {NO_ERRORS} END"))
             own = any_of([sql for _, sql in tests])
             fails.append(f"NOT ({skip}) AND {own}" if skip else own)
         inner = self._inner(f, r, prefix, level, scope)
@@ -246,8 +268,10 @@ class Compiler:
             if fails == "false":
                 return None
             found = f"coalesce(exists({r}, {e} -> {fails}), false)"
-            sql = f"flatten(transform({r}, ({e}, {i}) -> {assemble(parts, NO_ERRORS)}))"
-            return Segment("many", f"coalesce({sql}, {NO_ERRORS})"), found
+            sql = f"coalesce(flatten(transform({r}, ({e}, {i}) -> {assemble(parts, NO_ERRORS)})), {NO_ERRORS})"
+            if scope.top and _unrolls(f.of):
+                sql, found = self._unrolled(f, r, prefix + lit(element), level, sql, found)
+            return Segment("many", sql), found
         if f.kind == "record":
             place = prefix + lit(f.label + ".")
             gone = [*scope.gone, f"{r} IS NULL"] if f.nullable else scope.gone
@@ -262,7 +286,7 @@ class Compiler:
             parts, fails = self._structure(f.of, r, place, level, inner)
             if fails == "false":
                 return None
-            sql = assemble(parts, NO_ERRORS)
+            sql = join_arrays(parts, NO_ERRORS) if scope.top else assemble(parts, NO_ERRORS)
             if f.nullable:
                 return Segment("many", f"CASE WHEN {r} IS NOT NULL THEN {sql} ELSE {NO_ERRORS} END"), f"{r} IS NOT NULL AND {fails}"
             return Segment("many", sql), fails
@@ -270,6 +294,17 @@ class Compiler:
             return Segment("many", self._deep(f, r, prefix, level)), f"{r} IS NOT NULL"
         return None
 
+    def _unrolled(self, f: Field, r: str, element: Pieces, level: int, many: str, any_fails: str) -> tuple[str, str]:
+        """Errors and guard of the elements of ``r``, given those of the lambda over all of them, which only long arrays take."""
+        arrays, guards = [], []
+        for j in range(UNROLLED):
+            parts, fails = self._structure(f.of, f"get({r}, {j})", element + lit(f"{j}]."), level + 1, Scope(top=False))
+            arrays.append(f"CASE WHEN size({r}) > {j} THEN {join_arrays(parts, NO_ERRORS)} ELSE {NO_ERRORS} END")
+            guards.append(f"size({r}) > {j} AND {fails}")
+        few = f"{r} IS NULL OR size({r}) <= {UNROLLED}"
+        return (f"CASE WHEN {few} THEN concat({', '.join(arrays)}) ELSE {many} END",
+                f"coalesce(CASE WHEN {few} THEN {any_of(guards)} ELSE {any_fails} END, false)")
+
     def _deep(self, f: Field, r: str, prefix: Pieces, level: int) -> str:
         """Errors of the steps below ``r`` in the order of their paths: the fields declared before the nested one, what is
         nested, the other fields."""
@@ -342,7 +377,7 @@ class Compiler:
         return 1 + max((self._height(nested) for _, nested in self._holes(rs)), default=-1)
 
     def errors(self) -> str:
-        whens = f"WHEN {self._fails} THEN {assemble(self._parts, NO_ERRORS)}"
+        whens = f"WHEN {self._fails} THEN {join_arrays(self._parts, NO_ERRORS)}"
         extra = self.rules.extra_errors
         if extra:
             tests = [(x, self.resolve(x.when)) for x in extra]
