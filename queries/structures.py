@@ -23,6 +23,7 @@ NARROW = ("orders", "o_orderkey")
 WIDE = ("customer", "c_custkey")
 PERIOD = 41  # a leaf is good for most keys
 BASE_TIME = 1735689600  # 2025-01-01
+JVM_METHOD_LIMIT = 8000
 
 
 def q(text: str) -> str:
@@ -359,6 +360,9 @@ def structure_query(name: str, rs: RuleSet, wide: bool) -> Query:
     columns = {"k": key, **flat.columns}
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
+        # dozens of columns make one method of a whole stage, which the JVM never compiles beyond 8,000 bytes; Spark then generates a
+        # projection of many small methods instead
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", JVM_METHOD_LIMIT)
         df = seed(spark, sf, source, columns).select("k", F.expr(record).alias("record"))
         v = validate(df, plain, root="record")
         # paths are carried by the detailed styles only; the others name the field

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from queries.structures import Flat, NARROW
+from queries.structures import NARROW, Flat, structure_query
 from tamis.functions import predicates
 from tamis.models import STRUCTURES
 from tamis.operators.validate import validate
@@ -54,3 +54,10 @@ def test_sizes_are_counted_in_code_points(spark, value):
         test = predicates.breaks(name, f"'{value}'", "text", 3)
         assert spark.sql(f"SELECT {test} AS b").first().b == wrong, name
     assert "octet_length" in predicates.breaks("max", "v", "text", 3)
+
+
+def test_records_are_built_in_methods_the_jvm_compiles(spark, tmp_path):
+    spark.range(100).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    assert len(structure_query("m31", STRUCTURES["APIEndpoint"], False).run(spark, str(tmp_path)).collect()) == 100
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
