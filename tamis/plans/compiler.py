@@ -34,16 +34,6 @@ NO_TEXT = "cast(NULL AS STRING)"
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"
 
 
-def decoded_step(f: Field, text: str) -> str:
-    """SQL of one step of a structure that nests in itself under ``f``, decoded from JSON; what nests in it stays text."""
-    ddl = f"{f.of.ddl}, {ident(f.name)} {nesting.nested_type(f)}"
-    return f"from_json({text}, {quote(ddl)}, map('timestampFormat', {quote(TIME_FORMAT)}))"
-
-
-def step_type(f: Field) -> str:
-    return f"{f.of.struct_type[:-1]}, {ident(f.name)}: {nesting.nested_type(f)}>"
-
-
 def error_struct(field: str, message: str, code: str, value: str = NO_TEXT, expected: str = NO_TEXT,
                  constraint: str = NO_TEXT, path: str = NO_TEXT, severity: str = NO_TEXT) -> str:
     return (
@@ -314,7 +304,7 @@ class Compiler:
             parts, fails = self._structure(f.of, f"{d}.x", (("sql", f"{d}.p"),), level + 1, Scope(top=False), fields)
             if fails != "false":
                 halves.append(f"if({fails}, named_struct('k', {key}, 'e', {assemble(parts, NO_ERRORS)}), NULL)")
-        steps = nesting.steps_sql(f, r, to_sql(prefix), level, lambda text: decoded_step(f, text), step_type(f))
+        steps = nesting.steps_sql(f, r, to_sql(prefix), level, {"timestampFormat": TIME_FORMAT})
         # only what is wrong is put in order
         wrong = f"filter(flatten(transform({steps}, {d} -> array({', '.join(halves)}))), {e} -> {e} IS NOT NULL)"
         return f"flatten(transform(array_sort({wrong}), {e} -> {e}.e))"

@@ -23,9 +23,9 @@ from tamis.functions.text import any_of, ident, quote
 from tamis.plans import nesting
 from tamis.plans.compiler import TIME_FORMAT
 from tamis.plans.ruleset import Field, RuleSet, type_of
-from tamis.sources import keys
+from tamis.sources import keys, kinds
 
-CORRUPT = "__corrupt"
+CORRUPT = nesting.CORRUPT
 _OPTIONS = f"map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '{CORRUPT}', 'timestampFormat', {quote(TIME_FORMAT)})"
 
 # kinds whose JSON value must be a string / must not be a string
@@ -119,9 +119,14 @@ def _wrong_below(f: Field, v: str, path: str, level: int) -> str:
             return f"coalesce(try_variant_get({v}, {quote(path)}, 'array<variant>'), {none})"
         return f"filter(array({_at(v, path)}), x -> {_present('x')})"
 
+    t = f"wt{level}"
+    steps = nesting.levels_sql(below(v, path), lambda n: below(n, _step("$", f.name)), "VARIANT", nesting.depth_sql(t), level + 30)
+    looked = f"coalesce(exists({steps}, {s} -> {bad}), false)"
+    # the text is judged first, as most of what is nested is right, and what is wrong is mostly so for all to see
+    judged = f"CASE WHEN NOT {kinds.suspect_below_sql(f, t)} THEN false WHEN {kinds.wrong_below_sql(f, t)} THEN true ELSE {looked} END"
     at = _at(v, path)
-    steps = nesting.levels_sql(below(v, path), lambda n: below(n, _step("$", f.name)), "VARIANT", nesting.depth_sql(f"to_json({at})"), level + 30)
-    return f"CASE WHEN {_holds(v, path, f.many)} THEN coalesce(exists({steps}, {s} -> {bad}), false) ELSE {_present(at)} END"
+    once = f"get(transform(array(to_json({at})), {t} -> {judged}), 0)"
+    return f"CASE WHEN {_holds(v, path, f.many)} THEN {once} ELSE {_present(at)} END"
 
 
 # the schema of a VARIANT is that of all it holds; these look at the value itself only
@@ -198,10 +203,13 @@ def strict_sql(rules: RuleSet, text: str, variant: str, first: str, decoded: str
     """SQL of the first typed decode and of the failure flag, given the names of the helper columns: the record as VARIANT, its first
     decode and, by ``second_look_sql``, its last."""
     record = f"from_json({text}, {quote(_typed(rules))}, {_OPTIONS})"
+    clash = type_clash_sql(rules, variant)
+    if kinds.deep_fields(rules):
+        clash = f"CASE WHEN {kinds.suspect_sql(rules, kinds.plain_sql(text, variant))} THEN {clash} ELSE false END"
     bad = (
         f"{first} IS NULL OR {decoded} IS NULL OR {decoded}.`{CORRUPT}` IS NOT NULL"
         f" OR ({variant} IS NOT NULL AND NOT startswith(ltrim(' \\\\t\\\\n\\\\r', {text}), '{{'))"
-        f" OR {type_clash_sql(rules, variant)}"
+        f" OR {clash}"
     )
     return record, bad
 

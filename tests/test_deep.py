@@ -5,9 +5,12 @@ import json
 import pytest
 
 from tamis.models.api import SCHEMA
+from tamis.models.database import PLAN_OPERATION
 from tamis.models.github import TEAM
 from tamis.operators.validate import validate
 from tamis.plans import nesting
+from tamis.plans.ruleset import RuleSet, optional, record, rule_set, text
+from tamis.sources import kinds
 from tamis.sources.decode import decode, type_clash_sql
 
 
@@ -42,3 +45,62 @@ def test_few_brackets_are_counted_without_a_search_for_strings(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(nesting.depth_sql("t")).collect()]
     assert got[:4] == [1, 2, 4, 6]
     assert got[4] >= 100
+
+
+PLAN = rule_set("Plan", text("name", optional, min=2), record("top", PLAN_OPERATION))
+ODD = {
+    "single": [
+        '{"id": 1}', '{"id": "1"}', '{"id": 1.0}', '{"id": 1e1}', '{"id": 12345678901234567890}', '{"id": true}', '{"id": null, "name": null}', '{"name": 5}',
+        '{"name": "a\\"b", "slug": "\\\\"}', '{"n\\u0061me": 5}', '{"x": {"name": 5}}', '{"x": [{"id": "1"}], "name": "n"}', '{"name": "\\"id\\": \\"1\\""}',
+        '{"name": 5, "name": "n"}', '{"name": "n", "name": 5}', '{"name" : {}}', '{ "id"\n: "1" }', '[]', '[{}]', '"x"', '5', 'null', '{"parent": []}', '{"parent": null}',
+        '{"parent": {"parent": "x"}}', '{"Name": 5}', '{"x}, 5": 1, "url": "},5"}'],
+    "many": [
+        '[]', '[{}]', '[null]', '[{}, null, {"type": "a"}]', '[{}, 5]', '[{}, "x"]', '[{}, "x\\"y"]', '[null, true]', '[null, [1]]', '["x"]', '[[{}]]', '{}', '5', 'null', '"x"',
+        '[{"type": 1}]', '[{"rows": "5"}]', '[{"rows": 5.0}, {"type": "a", "rows": -1}]', '[{"rows": 1.5}]', '[{"cost": 1.5, "duration": -2}]', '[{"cost": "1.5"}]',
+        '[{"sort": ["a", null, ""]}]', '[{"sort": [1]}]', '[{"sort": {}}]', '[{"sort": [' + ", ".join(['"a"'] * 40) + ', ""]}]', '[{"join": {"type": "INNER", "rows": "5"}}]',
+        '[{"join": {"type": 5}}]', '[{"join": []}]', '[{"x": {"type": 5}}]', '[{"type": "},{ 5"}]', '[{"type": "a\\u007db", "children": [{"rows": -1}, null, {}]}]'],
+}
+
+
+def checked(spark, rules, values):
+    v = validate(decode(spark.createDataFrame(list(enumerate(values)), "k INT, value STRING"), rules), rules, root="record", undecodable="undecodable")
+    return [(r.undecodable, [(e.path, e.code, e.value) for e in r.errors]) for r in v.orderBy("k").collect()]
+
+
+def nested(name, depth):
+    if name == "single":
+        return [('{"id": 3, "slug": "s", "parent": ' * depth) + t + "}" * depth for t in ODD[name]]
+    return ['{"top": ' + ('{"type": "x", "children": [{"type": ""}, ' * depth) + '{"type": "y", "children": ' + t + "}" + "]}" * depth + "}" for t in ODD[name]]
+
+
+@pytest.mark.parametrize("name, rules", [("single", TEAM), ("many", PLAN)])
+def test_kinds_judged_by_the_text_are_those_of_the_variant(spark, monkeypatch, name, rules):
+    values = [v for depth in (0, 2, 3) for v in nested(name, depth)]
+    ours = checked(spark, rules, values)
+    monkeypatch.setattr(kinds, "suspect_sql", lambda rules, text: "true")
+    monkeypatch.setattr(kinds, "suspect_below_sql", lambda f, text: "true")
+    monkeypatch.setattr(kinds, "wrong_below_sql", lambda f, text: "false")
+    assert ours == checked(spark, rules, values)
+    assert 0 < sum(bad for bad, _ in ours) < len(ours)
+
+
+@pytest.mark.parametrize("name, rules", [("single", TEAM), ("many", PLAN)])
+def test_several_levels_at_once_give_the_steps_of_single_ones(spark, monkeypatch, name, rules):
+    values = [v for depth in (2, 9, 20) for v in nested(name, depth)]
+    ours = checked(spark, rules, values)
+
+    def singly(f, text, prefix, level, options):
+        found = nesting._steps_singly_sql(f, RuleSet(f.of.name, nesting.judged_fields(f.of)), text, prefix, level, options)
+        return f"if({text} IS NULL, array(), {found})"
+
+    monkeypatch.setattr(nesting, "steps_sql", singly)
+    assert ours == checked(spark, rules, values)
+    assert any(len(errors) > 20 for _, errors in ours)
+
+
+def test_right_records_are_not_taken_apart(spark):
+    f = kinds.deep_fields(TEAM)[0]
+    text = '{"id": 1, "name": "n", "parent": {"id": 0, "description": null}}'
+    df = spark.createDataFrame([(text,), (text.replace("0", '"0"'),)], "t string")
+    rows = df.selectExpr(kinds.suspect_sql(TEAM, "t"), kinds.suspect_below_sql(f, "t"), kinds.wrong_below_sql(f, "replace(t, ' ', '')")).collect()
+    assert [tuple(r) for r in rows] == [(False, False, False), (True, True, True)]
