@@ -29,8 +29,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def seed(spark: SparkSession, sf: str, name: str, columns: dict[str, str]) -> DataFrame:
-    return spread(table(spark, sf, name)).selectExpr(*[f"{e} AS `{c}`" for c, e in columns.items()])
+def seed(spark: SparkSession, sf: str, name: str, columns: dict[str, str], dealt: bool = True) -> DataFrame:
+    """The columns over the table, whose rows are dealt to all cores if its file is too small to be split."""
+    rows = table(spark, sf, name)
+    return (spread(rows) if dealt else rows).selectExpr(*[f"{e} AS `{c}`" for c, e in columns.items()])
 
 
 def seed_sql(name: str, columns: dict[str, str]) -> str:

@@ -42,11 +42,12 @@ class Model:
     def names(self, sql: str) -> str:
         return re.sub(r"\$([a-z_0-9.]+[#!]?(?:=\d)?)", lambda m: "(" + self.flat.names[m[1]] + ")", sql)
 
-    def records(self, spark: SparkSession, sf: str) -> DataFrame:
-        return seed(spark, sf, self.table, self.columns).select("k", F.expr(self.record).alias("record"))
+    def records(self, spark: SparkSession, sf: str, dealt: bool = True) -> DataFrame:
+        return seed(spark, sf, self.table, self.columns, dealt).select("k", F.expr(self.record).alias("record"))
 
-    def validated(self, spark: SparkSession, sf: str, **kw: object) -> DataFrame:
-        return validate(self.records(spark, sf), self.rules, as_of=AS_OF, root="record", **kw)
+    def validated(self, spark: SparkSession, sf: str, dealt: bool = False, **kw: object) -> DataFrame:
+        """The records where the table's rows lie, which takes no shuffle; the registered queries deal the rows first."""
+        return validate(self.records(spark, sf, dealt), self.rules, as_of=AS_OF, root="record", **kw)
 
     def result_sql(self) -> str:
         """CTEs that end in ``v(k, is_valid, findings, first_error, warning_codes, test_name)``."""
@@ -69,7 +70,7 @@ v AS (SELECT *, findings = '' AS is_valid, '{title}' || CASE
         root = self.rules.name
 
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            v = self.validated(spark, sf, field_count=self.field_count is not None)
+            v = self.validated(spark, sf, dealt=True, field_count=self.field_count is not None)
             where = f"coalesce(concat(replace(e.path, '{root}.', ''), ':'), if(e.code = 'VALIDATION_FAILED', concat(e.field, ':'), ''))"
             found = F.expr(f"array_join(transform(errors, e -> concat({where}, e.code)), ',')").alias("findings")
             count = ["field_count"] if self.field_count else []
@@ -80,7 +81,7 @@ v AS (SELECT *, findings = '' AS is_valid, '{title}' || CASE
 
     def code_query(self, name: str) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            return by_code(self.validated(spark, sf), "warnings")
+            return by_code(self.validated(spark, sf, dealt=True), "warnings")
 
         return Query(name, run, self.result_sql() + (
             "SELECT code, count(*) AS n FROM (SELECT unnest(string_split(warning_codes, ',')) AS code FROM v"
